@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensemblecast.llm import langid, packing, quality, sharding
+from ensemblecast.llm import langid, packing, quality, sharding, substring, suffix_dedup
 
 
 def tokenizer_path() -> str:
@@ -33,6 +33,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -43,11 +47,17 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, ("doc_id", "held_out"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
     "op2_pack": op2_pack,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
