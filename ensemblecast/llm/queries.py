@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensemblecast.llm import langid, packing, quality, sharding, substring, suffix_dedup
+from ensemblecast.llm import jaccard, langid, line_dedup, packing, quality, sharding, substring, suffix_dedup
 
 
 def tokenizer_path() -> str:
@@ -47,6 +47,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, ("doc_id", "held_out"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "rid")
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -57,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
