@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensemblecast.llm import jaccard, langid, line_dedup, packing, quality, sharding, substring, suffix_dedup
+from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, quality, sharding, substring, suffix_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -59,6 +59,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_hash(5) == 0)
+    labels = table(spark, sf_dir, "labels").where(id_hash(5) != 0)
+    model = toxicity.fit(docs.where("not held_out"), labels)
+    return toxicity.score(docs, model, ("doc_id", "held_out")).drop("hits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
     "op2_pack": op2_pack,
@@ -68,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
