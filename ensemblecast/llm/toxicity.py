@@ -90,6 +90,7 @@ class Model:
     words: frozenset[str]
     stems: frozenset[str]
     weights: np.ndarray
+    known: frozenset[str] = frozenset()  # words near a term that clean texts use
 
     @property
     def trie(self) -> Trie:
@@ -109,7 +110,7 @@ class Scanner:
             return 0
         if any(word[:k] in self.model.stems for k in STEMS if len(word) > k):
             return 1
-        return 2 if len(word) >= FUZZY_LENGTH - 1 and self.trie.near(word) else -1
+        return 2 if len(word) >= FUZZY_LENGTH - 1 and word not in self.model.known and self.trie.near(word) else -1
 
     def features(self, text: str) -> np.ndarray | None:
         """Counts by kind, or None without hits."""
@@ -224,16 +225,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_term
     draft = Model(words, stems, empty.weights)
     shared = spark.sparkContext.broadcast(draft)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                scanner.features(text or "")
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, kind in scanner.hot.items() if kind == 2], pa.string())], names=["word"])
+
+    # one half of the sample tells which near misses are ordinary words, the other half sets the weights
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    near = sample.where((half == 0) & (F.col("toxic") == 0)).select("text").mapInArrow(ordinary, "word string").distinct()
+    known = frozenset(r[0] for r in near.collect())  # of a bounded sample
+    final = spark.sparkContext.broadcast(Model(words, stems, empty.weights, known))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(final.value)
         for batch in batches:
             found = scanner.score(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(4)), batch.column(1)], names=["a", "b", "c", "d", "toxic"])
 
     # equal counts are equal rows of the regression
-    table = sample.mapInArrow(count, "a double, b double, c double, d double, toxic int").groupBy("a", "b", "c", "d", "toxic").count().toPandas()
+    other = sample.where(half == 1).select("text", "toxic").mapInArrow(count, "a double, b double, c double, d double, toxic int")
+    table = other.groupBy("a", "b", "c", "d", "toxic").count().toPandas()
     rows = table.loc[table.index.repeat(table["count"])]
-    return Model(words, stems, regress(design(rows[["a", "b", "c", "d"]].to_numpy(float)), rows["toxic"].to_numpy(float)))
+    x, y = design(rows[["a", "b", "c", "d"]].to_numpy(float)), rows["toxic"].to_numpy(float)
+    weights, active = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
+    while len(y):  # hits never speak against toxicity
+        weights[:] = 0
+        weights[active] = regress(x[:, active], y)
+        wrong = active & (weights < 0)
+        wrong[0] = False
+        if not wrong.any():
+            break
+        active &= ~wrong
+    return Model(words, stems, weights if len(y) else empty.weights, known)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
