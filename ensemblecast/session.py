@@ -45,14 +45,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder that the cluster names.
-
-    A folder is set here only where ``spark.checkpoint.dir`` is unset, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"ensemblecast-{uuid.uuid4().hex}"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` as a compressed table in the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
