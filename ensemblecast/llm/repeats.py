@@ -66,26 +66,37 @@ def sliding_argmin(values: np.ndarray, reach: int) -> np.ndarray:
 
 
 def anchors(values: np.ndarray, offs: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
-    """(key, context, row, position in the row, units to the left, units to the right) of all anchors."""
+    """(core's hash, hash with surroundings, row, place) of all anchors.
+
+    The surroundings are those of the windows that chose the anchor, as equal windows choose alike. A place packs
+    the anchor's position in its row (in units), and the units to the left and to the right of its core.
+    """
     size = np.diff(offs)
     if not len(values) or size.max() < spec.length:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z, z
-    sums0 = tk.prefix(values)
+        return z.astype(np.uint64), z.astype(np.uint64), z, z
+    sums = tk.prefix(values)
     at = np.arange(len(values) - spec.gram + 1)
     grams = np.full(len(values), np.iinfo(np.uint64).max, np.uint64)
-    grams[: len(at)] = tk.range_hash(sums0, at, at + spec.gram)
+    grams[: len(at)] = tk.range_hash(sums, at, at + spec.gram)
     best = sliding_argmin(grams, spec.reach)
     row = np.repeat(np.arange(len(size)), size)[: len(best)]
-    valid = np.arange(len(best)) + spec.length <= offs[1:][row]
-    a = best[valid]
-    a = a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
-    row = row[a]
-    left = np.minimum(a - offs[row], spec.reach - 1)
-    right = np.minimum(offs[row + 1] - a - spec.core, spec.reach - 1)
-    key = tk.range_hash(sums0, a, a + spec.core)
-    around = tk.range_hash(tk.prefix(values, 1), a - left, a + spec.core + right, 1)
-    return key, tk.mix(around + left.astype(np.uint64)), row, a - offs[row], left, right
+    start = np.flatnonzero(np.arange(len(best)) + spec.length <= offs[1:][row])
+    a, row = best[start], row[start]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (row[1:] != row[:-1]))
+    first, last = start[fresh], start[np.append(fresh[1:], True)]
+    a, row = a[fresh], row[fresh]
+    left, right = a - first, last + spec.length - a - spec.core
+    key = tk.range_hash(sums, a, a + spec.core)
+    around = tk.range_hash(tk.prefix(values, 1), first, last + spec.length, 1)
+    return key, tk.mix(around + left.astype(np.uint64)), row, (a - offs[row]) << 20 | left << 10 | right
+
+
+def unpack(place):
+    """Position, left and right of a place, as a column or a number."""
+    if isinstance(place, int):
+        return place >> 20, place >> 10 & 1023, place & 1023
+    return F.shiftright(place, 20), F.shiftright(place, 10).bitwiseAND(F.lit(1023)), place.bitwiseAND(F.lit(1023))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -97,12 +108,9 @@ def _anchor_rows(spec: Spec) -> Callable:
         for batch in batches:
             rid, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _, data, offs in tk.chunks(batch.column(2)):
-                key, ctx, row, pos, left, right = anchors(*units(data, offs, spec.unit), spec)
+                key, ctx, row, place = anchors(*units(data, offs, spec.unit), spec)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(key), _signed(ctx), pa.array(rid[lo + row]), pa.array(doc[lo + row]), pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
-                        names=["key", "ctx", "rid", "doc", "pos", "left", "right"],
-                    )
+                    yield pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), pa.array(rid[lo + row]), pa.array(doc[lo + row]), pa.array(place)], names=["key", "ctx", "rid", "doc", "place"])
 
     return run
 
@@ -112,21 +120,20 @@ def _segments(spec: Spec) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked = batch.column(3)
-            for lo, hi, data, offs in tk.chunks(batch.column(2)):
-                if spec.unit == "bytes":
-                    seq, at = data, offs
-                else:
-                    seq, at = units(data, offs, spec.unit)
-                out: dict[str, list] = {n: [] for n in ("key", "ctx", "doc", "n", "blocks", "left", "seg")}
-                for k in range(lo, hi):
-                    for p in picked[k].as_py():
-                        a = at[k - lo] + p["pos"] - p["left"]
-                        out["seg"].append(seq[a : a + p["left"] + spec.core + p["right"]].tobytes())
-                        for n in ("key", "ctx", "doc", "n", "blocks", "left"):
+            picked = batch.column(1)
+            for lo, hi, data, offs in tk.chunks(batch.column(0)):
+                seq, at = (data, offs) if spec.unit == "bytes" else units(data, offs, spec.unit)
+                out: dict[str, list] = {n: [] for n in ("key", "ctx", "doc", "blocks", "left", "seg")}
+                for k, own in enumerate(picked[lo:hi].to_pylist()):
+                    for p in own:
+                        pos, left, right = unpack(p["place"])
+                        a = at[k] + pos
+                        out["seg"].append(seq[a - left : a + spec.core + right].tobytes())
+                        out["left"].append(left)
+                        for n in ("key", "ctx", "doc", "blocks"):
                             out[n].append(p[n])
                 if out["key"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["ctx"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["blocks"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["seg"], pa.binary())], names=list(out))
+                    yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["ctx"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["blocks"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["seg"], pa.binary())], names=list(out))
 
     return run
 
@@ -161,7 +168,7 @@ def _kernel(spec: Spec, decide: Callable[[list[Group], Spec], list[list[tuple[np
         groups: list[tuple[int, bool, Group]] = []
         current, held = None, 0
         for batch in batches:
-            for key, ctx, doc, _, blocks, left, seg, salt in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, ctx, doc, blocks, left, seg, salt in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, salt) != current:
                     if held > 200_000 * per:
                         yield settle(groups)
@@ -179,56 +186,83 @@ def _kernel(spec: Spec, decide: Callable[[list[Group], Spec], list[list[tuple[np
     return run
 
 
-def covered_spans(docs: DataFrame, spec: Spec, decide: Callable) -> DataFrame:
-    """(rid, spans array<struct<a, b>>) of the units of ``docs(rid, doc, text)`` that repeated strings cover."""
+#: ``finish(texts, spans or None per text) -> columns`` computes an operator's result for a run of texts.
+Finish = Callable[[pa.Array, list], list[pa.Array]]
+
+
+def _finish(finish: Finish, names: list[str], touched: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if touched:  # doc_id, text, spans
+                for lo, hi, _, _ in tk.chunks(batch.column(1)):
+                    columns = finish(batch.column(1)[lo:hi], batch.column(2)[lo:hi].to_pylist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *columns], names=names)
+                continue
+            for lo, hi, _, _ in tk.chunks(batch.column(1)):  # doc_id, text, rid, picked
+                ids, text, rid, picked = (batch.column(c)[lo:hi] for c in range(4))
+                hit = picked.is_valid()
+                rest, own = pa.array(np.flatnonzero(~hit.to_numpy(zero_copy_only=False))), pa.array(np.flatnonzero(hit.to_numpy(zero_copy_only=False)))
+                if len(rest):
+                    columns = finish(text.take(rest), [None] * len(rest))
+                    yield pa.RecordBatch.from_arrays([ids.take(rest), *columns, pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), text.type), pa.nulls(len(rest), picked.type)], names=[*names, "rid", "text", "picked"])
+                if len(own):
+                    blank = [pa.nulls(len(own), c.type) for c in finish(text[:0], [])]
+                    yield pa.RecordBatch.from_arrays([ids.take(own), *blank, rid.take(own), text.take(own), picked.take(own)], names=[*names, "rid", "text", "picked"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finish, schema: str) -> DataFrame:
+    """``schema`` (doc_id first) for every row of ``docs``, the repeated units of each text given to ``finish``.
+
+    Texts are shuffled once. Those without a repeated core are finished then and there; the others are kept in a
+    table, for their segments and their results.
+    """
     ship(docs.sparkSession)
-    rows = cut(docs.select("rid", "doc", "text").mapInArrow(_anchor_rows(spec), "key long, ctx long, rid long, doc long, pos int, left short, right short"))
-    repeated = F.col("docs_of") > 1 if not spec.earlier_only else F.col("first") < F.col("last")
-    keys = rows.groupBy("key").agg(
-        F.count("*").alias("docs_of"), F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("ctx") == F.max("ctx")).alias("alike")
-    ).where(repeated)
-    found = rows.join(keys.select("key", "first", "alike"), "key")
-    whole = F.col("left") + F.lit(spec.core) + F.col("right") >= spec.length
-    ends = [(F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.lit(spec.core) + F.col("right")).alias("b")]
-    later = F.lit(True) if not spec.earlier_only else F.col("doc") > F.col("first")
-    plain = found.where(F.col("alike") & whole & later).select("rid", *ends)
-
-    mixed = found.where(~F.col("alike") & whole).drop("first", "alike")
-    classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.min(F.struct("doc", "rid", "pos", "left", "right")).alias("rep"))
-    classes = cut(classes)
+    docs = with_rid(docs)
+    rows = cut(docs.select("rid", "doc", "text").mapInArrow(_anchor_rows(spec), "key long, ctx long, rid long, doc long, place long"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("ctx") == F.max("ctx")).alias("alike"))
+    keys = keys.where("first < last" if spec.earlier_only else "n > 1").select("key", "first", "alike")
+    found = cut(rows.join(keys, "key"))
+    mixed = found.where("not alike").select("key", "ctx", "rid", "doc", "place")
+    classes = cut(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.min(F.struct("doc", "rid", "place")).alias("rep")))
     sizes = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    picked = (
-        classes.join(sizes, "key")
-        .select(F.col("rep.rid").alias("rid"), F.struct("key", "ctx", "rep.doc", "n", "blocks", "rep.pos", "rep.left", "rep.right").alias("p"))
-        .groupBy("rid").agg(F.collect_list("p").alias("picked"))
-    )
-    segments = docs.select("rid", "doc", "text").join(picked.hint("shuffle_hash"), "rid").mapInArrow(
-        _segments(spec), "key long, ctx long, doc long, n long, blocks int, left int, seg binary"
+    wanted = classes.join(sizes, "key").select(F.col("rep.rid").alias("rid"), F.struct("key", "ctx", "rep.doc", "blocks", "rep.place").alias("p"))
+    # every text with a repeated core has a list, if only an empty one
+    touched = found.select("rid").distinct().select("rid", F.lit(None).cast(wanted.schema["p"].dataType).alias("p"))
+    picked = wanted.unionByName(touched).groupBy("rid").agg(F.collect_list("p").alias("picked"))
+    names = [c.split()[0] for c in schema.split(", ")]
+    kept = cut(
+        docs.select("doc_id", "text", "rid").join(picked.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "rid", "picked")
+        .mapInArrow(_finish(finish, names, False), f"{schema}, rid long, text string, picked array<{wanted.schema['p'].dataType.simpleString()}>")
     )
-    decided = (
+    segments = kept.where("size(picked) > 0").select("text", "picked").mapInArrow(_segments(spec), "key long, ctx long, doc long, blocks int, left int, seg binary")
+    decided = cut(
         segments.withColumn("salt", F.pmod("ctx", "blocks"))
         .repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "ctx")
         .mapInArrow(_kernel(spec, decide), "key long, ctx long, a int, b int, h1 long, h2 long, doc long")
     )
-    decided = cut(decided)
     across = decided.where("h1 is not null")
-    # a window that some block marks and another has once, or that several blocks have
     settled = across.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"))
-    settled = settled.where("n > 1" if not spec.earlier_only else "least < most").select("key", "h1", "h2", "least")
-    hot = across.join(settled, ["key", "h1", "h2"]).where(F.lit(True) if not spec.earlier_only else F.col("doc") > F.col("least"))
+    settled = settled.where("least < most" if spec.earlier_only else "n > 1").select("key", "h1", "h2", "least")
+    hot = across.join(settled, ["key", "h1", "h2"]).where("doc > least" if spec.earlier_only else "true")
     windows = decided.where("h1 is null").select("key", "ctx", "a", "b").unionByName(hot.select("key", "ctx", "a", "b"))
 
-    info = classes.select("key", "ctx", "n", "first")
-    placed = mixed.join(info, ["key", "ctx"])
-    taken = F.col("n") > 1 if not spec.earlier_only else F.col("doc") > F.col("first")
-    direct = placed.where(taken).select("rid", *ends)
+    pos, left, right = unpack(F.col("place"))
+    whole = [(pos - left).cast("int").alias("a"), (pos + spec.core + right).cast("int").alias("b")]
+    plain = found.where("alike" + (" and doc > first" if spec.earlier_only else "")).select("rid", *whole)
+    known = mixed.join(classes.select("key", "ctx", "n", "first"), ["key", "ctx"])
+    taken = "doc > first" if spec.earlier_only else "n > 1"
     per_class = windows.groupBy("key", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("w"))
-    start = F.col("pos") - F.col("left")
-    by_kernel = placed.where(~taken).join(per_class, ["key", "ctx"]).select("rid", "pos", "left", F.explode("w").alias("w")).select(
-        "rid", (start + F.col("w.a")).alias("a"), (start + F.col("w.b")).alias("b")
+    by_kernel = known.where(f"not ({taken})").join(per_class, ["key", "ctx"]).select("rid", (pos - left).cast("int").alias("at"), F.explode("w").alias("w"))
+    spans = (
+        plain.unionByName(known.where(taken).select("rid", *whole))
+        .unionByName(by_kernel.select("rid", (F.col("at") + F.col("w.a")).alias("a"), (F.col("at") + F.col("w.b")).alias("b")))
+        .groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     )
-    spans = plain.unionByName(direct).unionByName(by_kernel)
-    return spans.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    rest = kept.where("picked is not null").select("doc_id", "text", "rid").join(spans.hint("shuffle_hash"), "rid", "left")
+    rest = rest.select("doc_id", "text", "spans").mapInArrow(_finish(finish, names, True), schema)
+    return kept.where("picked is null").select(*names).unionByName(rest)
 
 
 def mask_of(spans: list[dict] | None, n: int) -> np.ndarray:

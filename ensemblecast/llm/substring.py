@@ -14,7 +14,6 @@ other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ensemblecast.llm import textkit as tk
-from ensemblecast.llm.repeats import Group, Spec, covered_spans, mask_of, with_rid
+from ensemblecast.llm.repeats import Group, Spec, mask_of, without_repeats
 
 
 class SuffixAutomaton:
@@ -108,21 +107,18 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 
 def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words of every row."""
-    spec = Spec(window, reach=window // 2, gram=min(3, window - window // 2 + 1), unit="words", earlier_only=True)
-    rows = with_rid(docs)
-    spans = covered_spans(rows, spec, decide)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tk.chunks(batch.column(1)):
-                found = batch.column(2)[lo:hi].to_pylist()
-                out: list[list] = [[], [], [], []]
-                for k in range(hi - lo):
-                    words = data[offs[k] : offs[k + 1]].tobytes().split()  # at the separators of tk.SPACE
-                    kept = list(compress(words, ~mask_of(found[k], len(words)))) if found[k] else words
-                    body = b" ".join(kept)
-                    for c, v in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode() if with_text else None)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.select("doc_id", "text", "rid").join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, SCHEMA)
+    reach = min(1 + 3 * window // 4, 500)
+    spec = Spec(window, reach, gram=min(3, window - reach + 1), unit="words", earlier_only=True)
+
+    def finish(texts: pa.Array, spans: list) -> list[pa.Array]:
+        out: list[list] = [[], [], [], []]
+        for lo, _, data, offs in tk.chunks(texts):
+            for k in range(len(offs) - 1):
+                words, found = data[offs[k] : offs[k + 1]].tobytes().split(), spans[lo + k]  # at the separators of tk.SPACE
+                kept = list(compress(words, ~mask_of(found, len(words)))) if found else words
+                body = b" ".join(kept)
+                for c, v in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode() if with_text else None)):
+                    c.append(v)
+        return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+
+    return without_repeats(docs, spec, decide, finish, SCHEMA)

@@ -13,62 +13,78 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ensemblecast.llm import textkit as tk
-from ensemblecast.llm.repeats import Group, Spec, covered_spans, mask_of, with_rid
+from ensemblecast.llm.repeats import Group, Spec, mask_of, without_repeats
+
+
+def _heads(fresh: np.ndarray) -> np.ndarray:
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only suffixes that still tie are sorted again."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    first = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = head
-    step = 1
+    """Suffix array by prefix doubling, for a text whose last symbol is unlike all others.
+
+    Only suffixes that still tie are sorted again, by one integer of both ranks.
+    """
+    n, bits = len(text), max(1, int(text.max()).bit_length())
+    packed, step = text.astype(np.int64), 1
+    while 2 * step * bits <= 62:  # several symbols make the first key
+        shifted = np.zeros(n, np.int64)
+        shifted[: n - step] = packed[step:]
+        packed, step = packed << (bits * step) | shifted, 2 * step
+    order = np.argsort(packed)
+    key = packed[order]
+    first = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = _heads(first)
     while True:
-        tied = ~first | ~np.append(first[1:], True)
-        slots = np.flatnonzero(tied)
+        slots = np.flatnonzero(~first | ~np.append(first[1:], True))
         if not len(slots):
             return order
         who = order[slots]
-        nxt = who + step
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        sub = np.lexsort((second, rank[who]))
-        who, second, base = who[sub], second[sub], rank[who][sub]
+        key = rank[who] * (n + 2) + rank[np.minimum(who + step, n)] + 1
+        sub = np.argsort(key)
+        who, key = who[sub], key[sub]
         order[slots] = who
-        fresh = np.concatenate([[True], (base[1:] != base[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.append(True, key[1:] != key[:-1])
         first[slots] = fresh
-        rank[who] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+        rank[who] = slots[_heads(fresh)]
         step *= 2
 
 
 def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """Whether each suffix shares ``least`` symbols or more with the one before it in ``order``."""
+    """Whether each suffix shares ``least`` symbols or more with the one before it in ``order``.
+
+    An interval holds the suffixes that begin with one string. Extended backward by a symbol, it ends where a
+    common prefix of the string's length is found, unless a shorter one was found there before.
+    """
     n = len(text)
-    bwt = text[order - 1]
-    by_symbol = np.argsort(bwt, kind="stable")
+    bwt = text[order - 1].astype(np.int64)
     step = np.empty(n, np.int64)  # where the suffix that is one symbol longer stands
-    step[by_symbol] = np.arange(n)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    step = place[order - 1]
     width = int(text.max()) + 1
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     lo, size = np.array([0]), np.array([n])
     for _ in range(least):
-        if not len(lo) or known.all():
+        if not len(lo):
             break
         owner = np.repeat(np.arange(len(lo)), size)
         rows = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        _, at, times = np.unique(owner * width + bwt[rows], return_index=True, return_counts=True)
-        lo = step[rows[at]]
-        fresh = ~known[lo + times]
-        lo, size = lo[fresh], times[fresh]
+        key = owner * width + bwt[rows]
+        sub = np.argsort(key)
+        key = key[sub]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lo, size = np.minimum.reduceat(step[rows[sub]], at), np.diff(np.append(at, len(key)))
+        fresh = ~known[lo + size]
+        lo, size = lo[fresh], size[fresh]
         known[lo + size] = True
     return ~known[:n]
 
@@ -76,7 +92,7 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray
 def decide(groups: list[Group], spec: Spec) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """For each segment the window starts that repeat, and those that other blocks must know of."""
     parts, marks, cores = [], [], {}
-    n = sum(len(g) for g in groups)
+    n = sum(len(g) for g in groups)  # symbols: a separator a segment, then bytes, then cores
     for g in groups:
         for _, _, left, seg in g:
             raw = np.frombuffer(seg, np.uint8).astype(np.int64) + n
@@ -86,7 +102,6 @@ def decide(groups: list[Group], spec: Spec) -> list[list[tuple[np.ndarray, np.nd
     if not parts:
         return []
     text = np.concatenate(parts)
-    text = np.unique(text, return_inverse=True)[1]
     order = suffix_order(text)
     deep = long_prefixes(text, order, spec.reach)
     again = deep | np.append(deep[1:], False)
@@ -112,22 +127,24 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every row."""
-    spec = Spec(length, reach=length // 2, gram=min(16, length - length // 2 + 1), unit="bytes", earlier_only=False)
-    rows = with_rid(docs)
-    spans = covered_spans(rows, spec, decide)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offs in tk.chunks(batch.column(1)):
-                found = batch.column(2)[lo:hi].to_pylist()
-                out: list[list] = [[], [], [], [], []]
-                for k in range(hi - lo):
-                    own = data[offs[k] : offs[k + 1]]
-                    gone = mask_of(found[k], len(own)) if found[k] else np.zeros(len(own), bool)
-                    kept = own[~gone].tobytes() if found[k] else own.tobytes()
-                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    for c, v in zip(out, (len(own), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.select("doc_id", "text", "rid").join(spans.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, SCHEMA)
+    reach = min(1 + length // 2, 500)
+    spec = Spec(length, reach, gram=min(16, length - reach + 1), unit="bytes", earlier_only=False)
+
+    def finish(texts: pa.Array, spans: list) -> list[pa.Array]:
+        out: list[list] = [[], [], [], [], []]
+        for lo, _, data, offs in tk.chunks(texts):
+            for k in range(len(offs) - 1):
+                own, found = data[offs[k] : offs[k + 1]], spans[lo + k]
+                removed = runs = 0
+                if found:
+                    gone = mask_of(found, len(own))
+                    removed, runs = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    own, n = own[~gone], len(own)
+                else:
+                    n = len(own)
+                body = own.tobytes()
+                for c, v in zip(out, (n, removed, runs, hashlib.sha256(body).hexdigest(), body if with_text else None)):
+                    c.append(v)
+        return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+
+    return without_repeats(docs, spec, decide, finish, SCHEMA)
