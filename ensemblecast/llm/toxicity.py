@@ -94,7 +94,8 @@ class Model:
 
     @property
     def trie(self) -> Trie:
-        return Trie([w for w in sorted(self.words) if len(w) >= FUZZY_LENGTH])
+        """Of the words that stand alone; those of a family have near neighbours that mean something else."""
+        return Trie([w for w in sorted(self.words) if len(w) >= FUZZY_LENGTH and not any(w[:k] in self.stems for k in STEMS)])
 
 
 class Scanner:
@@ -213,13 +214,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_term
     if not n or not 0 < base < 1:
         return empty
     evidence = sample.mapInArrow(_evidence, "term string, ctx long, clean long").groupBy("term", "ctx").agg(F.sum("clean").alias("clean"))
-    terms = evidence.groupBy("term").agg(F.count("ctx").alias("bad"), F.sum("clean").alias("clean")).where("bad > 2 and bad > clean")
+    terms = evidence.groupBy("term").agg(F.count("ctx").alias("bad"), F.sum("clean").alias("clean")).where("bad > 2 and bad > 2 * clean")
     # with k toxic surroundings by chance at base**k, over all candidates
     p = F.col("bad") / (F.col("bad") + F.col("clean"))
     gain = F.col("bad") * F.log(p / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - base))).otherwise(0.0)
     kept = terms.withColumn("gain", gain).where(F.col("gain") > float(np.log(20.0 * max(n, 100)))).orderBy(F.desc("gain"), "term").limit(most_terms).collect()
-    words = frozenset(r["term"][1:] for r in kept if r["term"][0] == "w")
-    stems = frozenset(r["term"][1:] for r in kept if r["term"][0] == "s")
+    support = {r["term"]: r["bad"] for r in kept}
+    words = frozenset(t[1:] for t in support if t[0] == "w")
+    # a stem stands for a family of words, not for one word
+    single = {w[:k] for w in words for k in STEMS if 2 * support["w" + w] > support.get("s" + w[:k], 0)}
+    stems = frozenset(t[1:] for t in support if t[0] == "s" and t[1:] not in single)
     if not words and not stems:
         return empty
     draft = Model(words, stems, empty.weights)
@@ -249,8 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_term
     table = other.groupBy("a", "b", "c", "d", "toxic").count().toPandas()
     rows = table.loc[table.index.repeat(table["count"])]
     x, y = design(rows[["a", "b", "c", "d"]].to_numpy(float)), rows["toxic"].to_numpy(float)
+    # a misspelt term counts as abuse until the sample says otherwise
+    prior = np.zeros((4, 4))
+    prior[:, 2] = 1
+    x, y = np.vstack([x, design(prior)]), np.append(y, np.ones(4))
     weights, active = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
-    while len(y):  # hits never speak against toxicity
+    while True:  # hits never speak against toxicity
         weights[:] = 0
         weights[active] = regress(x[:, active], y)
         wrong = active & (weights < 0)
@@ -258,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_term
         if not wrong.any():
             break
         active &= ~wrong
-    return Model(words, stems, weights if len(y) else empty.weights, known)
+    return Model(words, stems, weights, known)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
