@@ -1,16 +1,77 @@
-"""A corpus cleaning pipeline: language, repeated lines, near duplicates, benchmark leaks, packing."""
+"""A corpus cleaning pipeline: language, repeated lines, near duplicates, benchmark leaks, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
+``docs``. A row that a stage rejects is gone for the stages after it. Columns beyond those of ``documents`` are
+kept as they are, null texts go at the first stage, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, queries
+from ensemblecast.session import cut
+
+
+def _rid(docs: DataFrame) -> DataFrame:
+    """With the hash of doc_id and text that the operators return."""
+    return docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and texts of no language that the model is surer of than not, go; ``lang`` stays."""
+    model = langid.fit(docs.where(queries.id_hash(4) != 2))
+    judged = langid.classify(docs.withColumn("body", F.col("text")), model, tuple(c for c in docs.columns if c != "text") + ("body",))
+    return judged.where("lang_pred != 'und' and score >= 0.5").withColumnRenamed("body", "text").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the runs of lines that stand earlier; what has no word left goes."""
+    kept = line_dedup.remove_repeats(docs).where("n_removed > 0").select("rid", "kept_text").dropDuplicates(["rid"])
+    out = _rid(docs).join(kept.hint("shuffle_hash"), "rid", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the least doc_id of each group of near copies stays."""
+    grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "class_id"))
+    first = grouped.groupBy("class_id").agg(F.min(F.struct("doc", "rid")).alias("head")).where("class_id is not null")
+    heads = first.select("head.rid").unionByName(grouped.where("class_id is null").select("rid")).distinct()
+    kept = _rid(docs).join(heads.hint("shuffle_hash"), "rid", "left_semi")
+    return kept.dropDuplicates(["rid"]).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that cover a benchmark item go."""
+    leaks = decontam.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("rid").distinct()
+    return _rid(docs).join(leaks.hint("shuffle_hash"), "rid", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the token sequences."""
+    return packing.pack(docs, queries.tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language),
+    ("line_dedup", lines),
+    ("near_copies", near_copies),
+    ("benchmark_leaks", benchmark_leaks),
+    ("packing", packed),
+]
+#: SQL can't express the learned model, the MinHash forest and the tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
+    """The stages applied to ``documents``; what each returns is written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
