@@ -1 +1 @@
-"""See the package README."""
+"""Column builders: transforms, metrics, ranks and aggregates that stay in the JVM."""

@@ -1 +1 @@
-"""See the package README."""
+"""Numpy kernels that run inside Spark tasks, and their DataFrame wrappers."""

@@ -1 +1 @@
-"""See the package README."""
+"""The estimator, the two-stage experiment, and the registered queries."""

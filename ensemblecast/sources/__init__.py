@@ -1 +1 @@
-"""See the package README."""
+"""Tables of series, and the stores for what is computed from them."""

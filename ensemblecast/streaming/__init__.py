@@ -1 +1 @@
-"""See the package README."""
+"""Keeping forecasts up to date on a stream of observations."""
