@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ def combine(rows: DataFrame, by: list[str], how: str | Callable, value: str = "v
         if how not in SIMPLE:
             raise ValueError(f"unknown aggregator {how!r}; one of {sorted([*SIMPLE, 'trimmed'])}")
         return rows.groupBy(*by).agg(SIMPLE[how](value).alias(value))
-    import pandas as pd
-
     @F.pandas_udf("double")
     def custom(v: pd.Series) -> float:
         return float(how(v.to_numpy()))

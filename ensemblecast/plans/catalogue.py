@@ -1,14 +1,543 @@
-"""Registered queries over the star-schema tables, with the equivalent DuckDB SQL."""
+"""Registered queries over the star-schema tables, with the equivalent DuckDB SQL.
+
+Doubles are rounded where two engines may add in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ensemblecast.functions import aggregates, metrics, ranks, transforms
+from ensemblecast.operators import bootstrap, boxcox, clustering, decompose
+from ensemblecast.plans import experiment
+from ensemblecast.session import ship
+from ensemblecast.sources import series as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Months of a year, of the test part, and of blocks; members of the arithmetic bootstrap.
+M, H, BLOCK, MEMBERS = 12, 18, 24, 25
+#: Points of the monthly series, and of the monthly series by nation.
+N, NATION_N = 78, 79
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def near(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+MONTHLY = f"with s as ({sources.MONTHLY_SQL})"
+packed = lambda spark, d, h=H: sources.from_long(sources.monthly(spark, d), M, h)
+
+
+@query(f"{MONTHLY} select uid, idx, y from s")
+def monthly_series(spark, sf_dir):
+    return sources.monthly(spark, sf_dir)
+
+
+@query(f"{MONTHLY} select uid, idx, idx > {N - H} as in_test, round(sum(y) over (partition by uid, idx > {N - H}), 2) as part_total, round(lag(y) over (partition by uid, idx > {N - H} order by idx), 2) as previous from s")
+def series_pack_split(spark, sf_dir):
+    """Packs series into arrays, splits them, and lays the parts out again."""
+    p = packed(spark, sf_dir)
+    part = lambda test, y, at: F.struct(F.lit(test).alias("in_test"), F.col(y).alias("part"), at.alias("at"))
+    parts = F.explode(F.array(part(False, "y_train", F.lit(0)), part(True, "y_test", F.col("n_train"))))
+    rows = p.select("uid", parts.alias("p")).select("uid", "p.in_test", "p.at", "p.part", F.aggregate("p.part", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    return rows.select("uid", "in_test", "part", "total", "at", F.posexplode("part").alias("k", "v")).select(
+        "uid", (F.col("at") + F.col("k") + 1).cast("int").alias("idx"), "in_test", F.round("total", 2).alias("part_total"),
+        F.when(F.col("k") > 0, F.round(F.get("part", F.col("k") - 1), 2)).alias("previous"),
+    )
+
+
+@query(f"{MONTHLY}, l as (select unnest([0.0, 0.25, 0.5, 1.0]) as lam) select uid, idx, cast(lam as double) as lam, round(case when lam = 0 then ln(y) else (sign(y) * pow(abs(y), lam) - 1) / lam end, 4) as x from s cross join l")
+def boxcox_fixed_lambda(spark, sf_dir):
+    lam = F.explode(F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 1.0)])).alias("lam")
+    rows = sources.monthly(spark, sf_dir).select("uid", "idx", "y", lam)
+    return rows.select("uid", "idx", "lam", near(transforms.boxcox(F.col("y"), F.col("lam")), 4).alias("x"))
+
+
+_CENTRED = "select uid, idx, y / (sum(y) over (partition by uid) / count(*) over (partition by uid)) * 4 - 6 as x from s"
+
+
+@query(f"{MONTHLY}, c as ({_CENTRED}) select uid, idx, round(pow(greatest(0.5 * x + 1, 2.2250738585072014e-308), 2), 6) as y, 0.5 * x + 1 <= 0 as clipped from c")
+def inv_boxcox_clip(spark, sf_dir):
+    w = Window.partitionBy("uid")
+    c = sources.monthly(spark, sf_dir).withColumn("x", F.col("y") / (F.sum("y").over(w) / F.count("*").over(w)) * 4 - 6)
+    lam = F.lit(0.5)
+    return c.select("uid", "idx", near(transforms.inv_boxcox(F.col("x"), lam)).alias("y"), transforms.is_clipped(F.col("x"), lam).alias("clipped"))
+
+
+@query(f"""{MONTHLY}, b as (select uid, floor((idx - 1 - ({N} - {N // M} * {M})) / {M}) as block, avg(y) as mu, stddev_samp(y) as sd from s group by all),
+g as (select i / 100.0 as lam from (select unnest(range(0, 101)) as i)),
+o as (select uid, lam, stddev_samp(sd / pow(mu, 1 - lam)) / avg(sd / pow(mu, 1 - lam)) as cv from b cross join g where block >= 0 group by all)
+select uid, cast(arg_min(lam, round(cv, 9)) as double) as lam, round(min(cv), 6) as cv from o group by uid""")
+def guerrero_grid(spark, sf_dir):
+    """The best exponent on a grid, by variation of block sd over a power of the block mean."""
+    rows = sources.monthly(spark, sf_dir).withColumn("block", transforms.trailing_block(F.lit(N), F.lit(M))).where("block >= 0")
+    blocks = rows.groupBy("uid", "block").agg(F.avg("y").alias("mu"), F.stddev_samp("y").alias("sd"))
+    grid = blocks.withColumn("lam", F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i / 100.0)))
+    ratio = F.col("sd") / F.pow("mu", 1 - F.col("lam"))
+    cv = grid.groupBy("uid", "lam").agg((F.stddev_samp(ratio) / F.avg(ratio)).alias("cv"))
+    return cv.groupBy("uid").agg(F.min_by("lam", F.struct(F.round("cv", 9), "lam")).alias("lam"), near(F.min("cv")).alias("cv"))
+
+
+@query(f"""{MONTHLY}, d as (select uid, idx, y - avg(y) over (partition by uid order by idx rows between {M - 1} preceding and current row) as dev from s)
+select uid, idx, round(avg(dev) over (partition by uid, (idx - 1) % {M}), 4) as seasonal from d""")
+def cycle_means(spark, sf_dir):
+    """Mean deviation from the trailing mean, by position in the cycle."""
+    trailing = F.avg("y").over(Window.partitionBy("uid").orderBy("idx").rowsBetween(-(M - 1), 0))
+    dev = sources.monthly(spark, sf_dir).withColumn("dev", F.col("y") - trailing)
+    return dev.select("uid", "idx", near(transforms.cycle_mean("dev", F.lit(M)), 4).alias("seasonal"))
+
+
+_TRAIN = N - H
+
+
+def _replicas(spark, sf_dir) -> DataFrame:
+    """Member rows of a block bootstrap whose random places are arithmetic, so that SQL has them too."""
+    p = packed(spark, sf_dir).select("uid", "y_train", "y_test", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1))).alias("member"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(_TRAIN // BLOCK + 1)), lambda i: F.pmod(i * 7919 + F.col("member") * 104729, F.lit(_TRAIN - BLOCK + 1)).cast("int"))
+    return p.withColumn("y", F.when(F.col("member") == 0, F.col("y_train")).otherwise(transforms.block_replica("y_train", starts, F.pmod(F.col("member") * 31, F.lit(BLOCK)).cast("int"), BLOCK)))
+
+
+_REPLICAS = f"""{MONTHLY}, mem as (select unnest(range(0, {MEMBERS})) as member), pos as (select unnest(range(1, {_TRAIN + 1})) as k),
+places as (select member, k, case when member = 0 then k else ((((k - 1 + member * 31 % {BLOCK}) // {BLOCK}) * 7919 + member * 104729) % {_TRAIN - BLOCK + 1}) + ((k - 1 + member * 31 % {BLOCK}) % {BLOCK}) + 1 end as src from mem cross join pos),
+rep as (select uid, member, cast(k as integer) as idx, y from places join s on src = s.idx)"""
+
+
+@query(f"{_REPLICAS} select uid, cast(member as integer) as member, idx, y from rep")
+def block_replicas(spark, sf_dir):
+    return _replicas(spark, sf_dir).select("uid", "member", F.posexplode("y").alias("k", "y")).select("uid", "member", (F.col("k") + 1).cast("int").alias("idx"), "y")
+
+
+@query(f"""{MONTHLY}, w as (select uid, idx, avg(abs(y)) over (partition by uid order by idx rows between 35 preceding and current row) as level, count(*) over (partition by uid order by idx rows between 35 preceding and current row) as n,
+ lead(y, 1) over (partition by uid order by idx) as t1, lead(y, 12) over (partition by uid order by idx) as t12 from s)
+select uid, idx - 35 as first_idx, round(level, 4) as scale, round(t1 / level, 6) as target_first, round(t12 / level, 6) as target_last from w where n = 36 and t12 is not null""")
+def sliding_windows(spark, sf_dir):
+    """Lookback and target windows with their scale."""
+    lookback, horizon = F.lit(36), F.lit(12)
+    full = packed(spark, sf_dir, 0).select("uid", F.posexplode(transforms.windows("y_train", lookback, horizon)).alias("at", "w"))
+    s = full.withColumn("scale", transforms.scale(F.col("w.x")))
+    return s.select(
+        "uid", (F.col("at") + 1).cast("int").alias("first_idx"), near(F.col("scale"), 4).alias("scale"),
+        near(F.col("w.target")[0] / F.col("scale")).alias("target_first"), near(F.col("w.target")[11] / F.col("scale")).alias("target_last"),
+    )
+
+
+@query(f"{MONTHLY} select a.uid, a.idx - {_TRAIN} as step, b.y as forecast, a.y as actual from s a join s b on a.uid = b.uid and b.idx = {_TRAIN} - {M} + 1 + (a.idx - {_TRAIN} - 1) % {M} where a.idx > {_TRAIN}")
+def seasonal_naive_forecast(spark, sf_dir):
+    p = packed(spark, sf_dir).select("uid", "y_train", F.posexplode("y_test").alias("k", "actual"))
+    return p.select("uid", (F.col("k") + 1).cast("int").alias("step"), F.get("y_train", F.col("k") % M + (_TRAIN - M)).alias("forecast"), "actual")
+
+
+_SNAIVE = f"f as ({SQL['seasonal_naive_forecast'].removeprefix(MONTHLY)})"
+
+
+@query(f"""{MONTHLY}, {_SNAIVE}, d as (select uid, avg(abs(y - p)) as scale from (select uid, idx, y, lag(y, {M}) over (partition by uid order by idx) as p from s where idx <= {_TRAIN}) group by uid)
+select f.uid, round(avg(200 * abs(actual - forecast) / (abs(actual) + abs(forecast))), 6) as smape, round(avg(100 * abs((actual - forecast) / actual)), 6) as mape,
+ round(avg(abs(actual - forecast)) / any_value(scale), 6) as mase, round(sqrt(avg((actual - forecast) * (actual - forecast))) / any_value(scale), 6) as scaled_rms from f join d on f.uid = d.uid group by f.uid""")
+def smape_mape_mase(spark, sf_dir):
+    f = seasonal_naive_forecast(spark, sf_dir)
+    train = sources.monthly(spark, sf_dir).where(F.col("idx") <= _TRAIN).withColumn("d", metrics.seasonal_step("y", M))
+    scale = train.groupBy("uid").agg(F.avg("d").alias("scale"))
+    y, g = F.col("actual"), F.col("forecast")
+    both = f.join(F.broadcast(scale), "uid")  # a row a series of this small family
+    return both.groupBy("uid").agg(
+        near(metrics.smape(y, g)).alias("smape"), near(metrics.mape(y, g)).alias("mape"), near(metrics.mae(y, g) / F.first("scale")).alias("mase"),
+        near(metrics.rms(y, g) / F.first("scale")).alias("scaled_rms"),
+    )
+
+
+def _ensemble(spark, sf_dir) -> DataFrame:
+    """Seasonal naive forecasts of all replicas: uid, member, step, value, actual."""
+    rows = _replicas(spark, sf_dir).select("uid", "member", "y", F.posexplode("y_test").alias("k", "actual"))
+    return rows.select("uid", "member", (F.col("k") + 1).cast("int").alias("step"), F.get("y", F.col("k") % M + (_TRAIN - M)).alias("value"), "actual")
+
+
+_ENSEMBLE = f"""{_REPLICAS}, ens as (select r.uid, cast(r.member as integer) as member, a.idx - {_TRAIN} as step, r.y as value, a.y as actual
+ from s a join rep r on a.uid = r.uid and r.idx = {_TRAIN} - {M} + 1 + (a.idx - {_TRAIN} - 1) % {M} where a.idx > {_TRAIN})"""
+
+
+@query(f"""{_ENSEMBLE}, t as (select *, row_number() over (partition by uid, step order by value) as rn, count(*) over (partition by uid, step) as n from ens),
+tm as (select uid, step, avg(value) as trimmed from t where rn > floor(0.1 * n) and rn <= n - floor(0.1 * n) group by all),
+q as (select uid, step, median(value) as med, avg(value) as mean, min(value) as lo, max(value) as hi, quantile_cont(value, 0.1) as q10, quantile_cont(value, 0.9) as q90 from ens group by all)
+select q.uid, q.step, round(med, 4) as median, round(mean, 4) as mean, round(trimmed, 4) as trimmed, lo as least, hi as most, round(q10, 4) as q_10, round(q90, 4) as q_90 from q join tm on q.uid = tm.uid and q.step = tm.step""")
+def ensemble_aggregates(spark, sf_dir):
+    e, by = _ensemble(spark, sf_dir), ["uid", "step"]
+    plain = e.groupBy(*by).agg(F.median("value").alias("median"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    out = plain.join(aggregates.trimmed_mean(e, by).withColumnRenamed("value", "trimmed"), by).join(aggregates.quantiles(e, by, [0.1, 0.9]), by)
+    return out.select(*by, *(near(F.col(c), 4).alias(c) for c in ("median", "mean", "trimmed")), "least", "most", *(near(F.col(c), 4).alias(c) for c in ("q_10", "q_90")))
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    return _ensemble(spark, sf_dir).groupBy("uid", "member").agg(near(metrics.smape(F.col("actual"), F.col("value")), 9).alias("err"))
+
+
+_ERRORS = f"{_ENSEMBLE}, err as (select uid, member, round(avg(200 * abs(actual - value) / (abs(actual) + abs(value))), 9) as err from ens group by all)"
+
+
+@query(f"""{_ERRORS}, r as (select *, row_number() over (partition by uid order by err, member) as rn, row_number() over (partition by uid order by (member * 7919 + 13) % 1009, member) as dice from err)
+select uid, 'topk' as strategy, member from r where rn <= 8 union all select uid, 'first8', member from r where member < 8 union all select uid, 'random', member from r where dice <= 8""")
+def select_members(spark, sf_dir):
+    """Best, first and arithmetically random members."""
+    e = _errors(spark, sf_dir)
+    dice = F.row_number().over(Window.partitionBy("uid").orderBy((F.col("member") * 7919 + 13) % 1009, "member"))
+    r = e.withColumns({"topk": ranks.ordinal_rank("err", "member", "uid") <= 8, "first8": F.col("member") < 8, "random": dice <= 8})
+    named = F.explode(F.array_compact(F.array(*[F.when(F.col(s), F.lit(s)) for s in ("topk", "first8", "random")])))
+    return r.select("uid", named.alias("strategy"), "member")
+
+
+@query(f"""{_ERRORS}, r as (select *, row_number() over (partition by uid order by err, member) as rn from err), k as (select uid, member from r where rn <= 8)
+select e.uid, step, round(avg(value), 6) as point, round(max(abs(value - actual)), 4) as worst from ens e join k on e.uid = k.uid and e.member = k.member group by all""")
+def selected_ensemble(spark, sf_dir):
+    """Forecast of the best members: a semi-join, then the aggregate."""
+    best = _errors(spark, sf_dir).withColumn("rn", ranks.ordinal_rank("err", "member", "uid")).where("rn <= 8").select("uid", "member")
+    kept = _ensemble(spark, sf_dir).join(best, ["uid", "member"], "left_semi")
+    return kept.groupBy("uid", "step").agg(near(F.avg("value")).alias("point"), near(F.max(F.abs(F.col("value") - F.col("actual"))), 4).alias("worst"))
+
+
+@query("""with c as (select label, count(*) as size from embeddings group by label), q as (select label, size, sum(size) over () as pool from c),
+b as (select *, size / pool * 100 as share, floor(size / pool * 100) as low from q),
+r as (select *, row_number() over (order by share - low desc, label) as rn, 100 - sum(low) over () as spare from b)
+select label, size, cast(greatest(1, round_even(share, 0)) as integer) as rounded, cast(least(size, greatest(1, low + case when rn <= spare then 1 else 0 end)) as integer) as largest_remainder from r""")
+def allocations(spark, sf_dir):
+    """Shares of 100 by cluster size: rounded half to even, and by largest remainders."""
+    c = spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("size"))
+    one = Window.partitionBy()  # a row a cluster
+    b = c.withColumn("share", F.col("size") / F.sum("size").over(one) * 100).withColumn("low", F.floor("share"))
+    r = b.withColumns({"rn": F.row_number().over(one.orderBy(F.desc(F.col("share") - F.col("low")), "label")), "spare": 100 - F.sum("low").over(one)})
+    return r.select(
+        "label", "size", F.greatest(F.lit(1), F.bround("share")).cast("int").alias("rounded"),
+        F.least("size", F.greatest(F.lit(1), F.col("low") + (F.col("rn") <= F.col("spare")).cast("int"))).cast("int").alias("largest_remainder"),
+    )
+
+
+@query("""with e as (select vec_id, label, round(list_inner_product(cast(embedding as double[]), cast(embedding as double[])), 6) as err from embeddings),
+r as (select *, row_number() over (partition by label order by err, vec_id) as rn from e) select label, vec_id, err, cast(rn as integer) as rn from r where rn <= 5""")
+def best_within_cluster(spark, sf_dir):
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", near(norm).alias("err"))
+    return e.withColumn("rn", ranks.ordinal_rank("err", "vec_id", "label")).where("rn <= 5").select("label", "vec_id", "err", "rn")
+
+
+_L2 = "list_distance(cast(a.embedding as double[]), cast(b.embedding as double[]))"
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Distances between the vectors of a label (a pool of bounded size)."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    a, b = v.select("label", F.col("vec_id").alias("i"), F.col("v").alias("a")), v.select("label", F.col("vec_id").alias("j"), F.col("v").alias("b"))
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, "label").where("i < j").select("label", "i", "j", F.sqrt(gap).alias("d"))
+
+
+@query(f"select a.label, a.vec_id as i, b.vec_id as j, round({_L2}, 5) as d from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
+def pairwise_l2(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("label", "i", "j", near(F.col("d"), 5).alias("d"))
+
+
+@query(f"""with e as (select * from embeddings where vec_id < 200), d as (select a.vec_id as i, a.label as own, b.label as other, {_L2} as d from e a join e b on a.vec_id <> b.vec_id),
+m as (select i, own, other, avg(d) as mean from d group by all),
+w as (select i, any_value(own) as label, max(case when own = other then mean end) as a, min(case when own <> other then mean end) as b from m group by i)
+select label, count(*) as n, round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 5) as width from w group by label""")
+def silhouette_given_labels(spark, sf_dir):
+    """Silhouette by label of a pool of 200 vectors; the pool's bound belongs to the method."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    a, b = v.select(F.col("vec_id").alias("i"), F.col("label").alias("own"), F.col("v").alias("a")), v.select(F.col("vec_id").alias("j"), F.col("label").alias("other"), F.col("v").alias("b"))
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    means = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i", "own", "other").agg(F.avg(F.sqrt(gap)).alias("mean"))  # 200 rows at most
+    inside, outside = F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))), F.min(F.when(F.col("own") != F.col("other"), F.col("mean")))
+    w = means.groupBy("i").agg(F.first("own").alias("label"), inside.alias("a"), outside.alias("b"))
+    width = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return w.groupBy("label").agg(F.count("*").alias("n"), near(F.avg(width), 5).alias("width"))
+
+
+_NT = 67
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    """Scores of four benchmark learners on the last 12 months of every nation's orders."""
+    p = sources.nation_months(spark, sf_dir).groupBy("uid").agg(transforms.pack().alias("y"))
+    s = sources.split(p.withColumn("n_train", F.lit(_NT)))
+    mean = metrics.array_mean(F.col("y_train"))
+    year = metrics.array_mean(F.slice("y_train", _NT - M + 1, M))
+    points = {"naive": F.array_repeat(F.element_at("y_train", -1), M), "seasonal": F.slice("y_train", _NT - M + 1, M), "mean": F.array_repeat(mean, M), "year": F.array_repeat(year, M)}
+    made = F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("f")) for k, v in points.items()])
+    rows = s.select("uid", "y_train", "y_test", F.explode(made).alias("p")).select("uid", "y_train", "y_test", "p.strategy", "p.f")
+    smape = metrics.array_mean(F.zip_with("y_test", "f", lambda y, f: F.when(y + f > 0, 200 * F.abs(y - f) / F.greatest(y + f, F.lit(1e-9))).otherwise(0.0)))
+    return rows.select("uid", "strategy", near(smape).alias("smape"), near(metrics.array_mase("y_test", "f", "y_train", F.lit(M))).alias("mase"))
+
+
+_SCORES = f"""with s as ({sources.NATIONS_SQL}), tr as (select uid, arg_max(y, idx) as last, avg(y) as mean, avg(y) filter (where idx > {_NT - M}) as year from s where idx <= {_NT} group by uid),
+fc as (select a.uid, a.idx, a.y, st.strategy, case st.strategy when 'naive' then last when 'mean' then mean when 'year' then year else b.y end as f
+ from s a join tr on a.uid = tr.uid join s b on a.uid = b.uid and b.idx = a.idx - {M} cross join (select unnest(['naive', 'seasonal', 'mean', 'year']) as strategy) st where a.idx > {_NT}),
+sc as (select uid, avg(abs(y - p)) as scale from (select uid, idx, y, lag(y, {M}) over (partition by uid order by idx) as p from s where idx <= {_NT}) group by uid),
+scores as (select fc.uid, strategy, round(avg(case when y + f > 0 then 200 * abs(y - f) / (y + f) else 0 end), 6) as smape, round(avg(abs(y - f)) / any_value(scale), 6) as mase from fc join sc on fc.uid = sc.uid group by fc.uid, strategy)"""
+
+
+@query(f"{_SCORES} select * from scores")
+def strategy_scores(spark, sf_dir):
+    return _scores(spark, sf_dir)
+
+
+_RANKED = ", rk as (select *, rank() over (partition by uid order by smape) + (count(*) over (partition by uid, smape) - 1) / 2.0 as rs, rank() over (partition by uid order by mase) + (count(*) over (partition by uid, mase) - 1) / 2.0 as rm from scores)"
+
+
+@query(f"{_SCORES}{_RANKED} select strategy, round(avg(rs), 6) as rank_smape, round(avg(smape), 6) as mean_smape, round(median(smape), 6) as median_smape, round(avg(rm), 6) as rank_mase, round(avg(mase), 6) as mean_mase, round(median(mase), 6) as median_mase from rk group by strategy")
+def average_rank_summary(spark, sf_dir):
+    s = ranks.summary(_scores(spark, sf_dir))
+    return s.select("strategy", *(near(F.col(c)).alias(c) for c in s.columns if c != "strategy"))
+
+
+@query(f"""{_SCORES}{_RANKED}, t as (select sum(c * c * c - c) as ties from (select count(*) as c from rk group by uid, smape)), r as (select strategy, sum(rs) as total, count(*) as n from rk group by strategy),
+p as (select max(n) as n, count(*) as k, sum(total * total) as sq from r)
+select n, k, round((12.0 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))), 6) as statistic from p cross join t""")
+def friedman_statistic(spark, sf_dir):
+    return ranks.friedman_parts(_scores(spark, sf_dir), "smape").select("n", "k", near(F.col("statistic")).alias("statistic"))
+
+
+@query(f"""{_SCORES}{_RANKED}, r as (select strategy, avg(rs) as mean_rank, count(*) as n from rk group by strategy)
+select strategy, round(mean_rank, 6) as mean_rank, round((mean_rank - min(mean_rank) over ()) / sqrt(count(*) over () * (count(*) over () + 1) / (6.0 * n)), 6) as z from r""")
+def rank_z(spark, sf_dir):
+    z = ranks.rank_z(_scores(spark, sf_dir), "smape")
+    return z.select("strategy", near(F.col("mean_rank")).alias("mean_rank"), near(F.col("z")).alias("z"))
+
+
+@query("""with p as (select n_name as name, (n_nationkey * 37 % 101 + 1) / 2000.0 as p_raw from nation), o as (select *, row_number() over (order by p_raw desc) as k from p)
+select name, round(p_raw, 6) as p_raw, round(least(1.0, min(p_raw * k) over (order by p_raw desc rows between unbounded preceding and current row)), 6) as p_hochberg from o""")
+def hochberg_adjust(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"), ((F.col("n_nationkey") * 37 % 101 + 1) / 2000.0).alias("p_raw"))
+    return ranks.adjust(p).select("name", near(F.col("p_raw")).alias("p_raw"), near(F.col("p_hochberg")).alias("p_hochberg"))
+
+
+_WIDE = ", w as (select uid, max(smape) filter (where strategy = 'naive') as a, max(smape) filter (where strategy = 'seasonal') as b, max(smape) filter (where strategy = 'year') as c from scores group by uid)"
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    wide = _scores(spark, sf_dir).groupBy("uid").pivot("strategy", ["naive", "seasonal", "year"]).agg(F.max("smape"))
+    return wide.select("uid", F.col("naive").alias("a"), F.col("seasonal").alias("b"), F.col("year").alias("c"))
+
+
+@query(f"""{_SCORES}{_WIDE}, d as (select round(a - b, 9) as d from w where a <> b), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d)
+select count(*) as n, round(coalesce(sum(r) filter (where d > 0), 0), 2) as w_plus, round(coalesce(sum(r) filter (where d < 0), 0), 2) as w_minus, round(least(coalesce(sum(r) filter (where d > 0), 0), coalesce(sum(r) filter (where d < 0), 0)), 2) as w from r""")
+def wilcoxon_w(spark, sf_dir):
+    w = _wide(spark, sf_dir).select(F.round(F.col("a") - F.col("b"), 9).alias("a"), F.lit(0.0).alias("b"))
+    p = ranks.wilcoxon_parts(w, "a", "b")
+    return p.select("n", *(F.round(c, 2).alias(c) for c in ("w_plus", "w_minus", "w")))
+
+
+@query(f"""{_SCORES}{_WIDE}, r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from w)
+select round(corr(ra, rb), 6) as rho, count(*) as n from r""")
+def spearman_rho(spark, sf_dir):
+    return ranks.spearman(_wide(spark, sf_dir), "a", "b").select(near(F.col("rho")).alias("rho"), "n")
+
+
+@query(f"{_SCORES}{_WIDE} select count(*) as n, round(avg(case when b < a then 1.0 else 0.0 end), 6) as win_rate, round(avg(a), 6) as mean_a, round(avg(b), 6) as mean_b from w")
+def win_rate(spark, sf_dir):
+    w = experiment.win_rate(_scores(spark, sf_dir), "naive", "seasonal")
+    return w.select("n", *(near(F.col(c)).alias(c) for c in ("win_rate", "mean_a", "mean_b")))
+
+
+@query(f"""{_SCORES}{_WIDE}, r as (select uid, a, b, c, row_number() over (order by a, uid) as r, count(*) over () as n from w)
+select cast(greatest(1, ceil((r - 1) * 4 / (n - 1))) as integer) as q, count(*) as n, round(avg(a), 6) as a, round(avg(b), 6) as b, round(avg(c), 6) as c from r group by 1""")
+def quartile_table(spark, sf_dir):
+    q = experiment.quartiles(_wide(spark, sf_dir), "a", ["b", "c"])
+    return q.select("q", "n", *(near(F.col(c)).alias(c) for c in "abc"))
+
+
+@query(f"""{_SCORES}, g as (select uid, strategy, smape, row_number() over (partition by strategy order by uid) % 2 as half from scores)
+select strategy, round(avg(smape) filter (where half = 0), 6) as even, round(avg(smape) filter (where half = 1), 6) as odd, round(avg(smape) filter (where half = 0) - avg(smape) filter (where half = 1), 6) as gap, round(stddev_samp(smape), 6) as sd from g group by strategy""")
+def arm_pivot(spark, sf_dir):
+    """Arms side by side, their difference and spread, as in the ablation."""
+    g = _scores(spark, sf_dir).withColumn("arm", F.when(F.row_number().over(Window.partitionBy("strategy").orderBy("uid")) % 2 == 0, "even").otherwise("odd"))
+    wide = g.groupBy("strategy").pivot("arm", ["even", "odd"]).agg(F.avg("smape"))
+    sd = g.groupBy("strategy").agg(F.stddev_samp("smape").alias("sd"))
+    return wide.join(sd, "strategy").select("strategy", near(F.col("even")).alias("even"), near(F.col("odd")).alias("odd"), near(F.col("even") - F.col("odd")).alias("gap"), near(F.col("sd")).alias("sd"))
+
+
+_FAMILIES = """with f as (select s_nationkey as uid, s_suppkey as family, round(100 + abs(s_acctbal) / 500, 4) as aicc, s_acctbal as value from supplier)"""
+
+
+def _families(spark, sf_dir) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return s.select(F.col("s_nationkey").alias("uid"), F.col("s_suppkey").alias("family"), F.round(100 + F.abs("s_acctbal") / 500, 4).alias("aicc"), F.col("s_acctbal").alias("value"))
+
+
+@query(f"""{_FAMILIES}, w as (select *, exp(-0.5 * (aicc - min(aicc) over (partition by uid))) as raw from f), p as (select *, raw / sum(raw) over (partition by uid) as weight from w)
+select uid, count(*) as n_families, round(max(weight), 6) as w_best, round(-sum(case when weight > 0 then weight * ln(weight) else 0 end), 6) + 0.0 as aicc_entropy, round(sum(weight * value), 4) as weighted from p group by uid""")
+def aicc_weights(spark, sf_dir):
+    p = aggregates.with_weights(_families(spark, sf_dir), ["uid"])
+    return p.groupBy("uid").agg(F.count("*").alias("n_families"), near(F.max("weight")).alias("w_best"), (near(aggregates.entropy("weight")) + 0.0).alias("aicc_entropy"), near(F.sum(F.col("weight") * F.col("value")), 4).alias("weighted"))
+
+
+@query(f"""{_FAMILIES}, t as (select uid, row_number() over (partition by uid order by aicc, family) as j, avg(value) over (partition by uid order by aicc, family rows between unbounded preceding and current row) as top from f)
+select uid, cast(j as integer) as j, round(top, 4) as top from t where j <= 15""")
+def top_prefix_means(spark, sf_dir):
+    """Means over the best 1, 2, ... forms in one pass."""
+    ordered = _families(spark, sf_dir).withColumn("o", F.struct("aicc", "family"))
+    return aggregates.prefix_means(ordered, ["uid"], "o").where("j <= 15").select("uid", "j", near(F.col("top"), 4).alias("top"))
+
+
+@query("""with c as (select user_id as uid, event_type as method, count(*) as c from events group by all), p as (select *, c / sum(c) over (partition by uid) as p from c)
+select uid, cast(sum(c) as bigint) as n_members_refit, count(*) as n_families, round(-sum(p * ln(p)), 6) + 0.0 as family_entropy, round(max(p), 6) as modal_share, arg_max(method, (c, method)) as modal_family, round(exp(-sum(p * ln(p))), 6) as n_eff_families from p group by uid""")
+def family_entropy(spark, sf_dir):
+    """How mixed the methods of a group are."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("uid"), F.col("event_type").alias("method"))
+    f = experiment.family_entropy(e)
+    return f.select("uid", "n_members_refit", "n_families", (near(F.col("family_entropy")) + 0.0).alias("family_entropy"), near(F.col("modal_share")).alias("modal_share"), "modal_family", near(F.col("n_eff_families")).alias("n_eff_families"))
+
+
+@query(f"""{_ENSEMBLE}, m as (select uid, member, step, value from ens where member < 6)
+select a.uid, a.member as i, b.member as j, round(sqrt(avg((a.value - b.value) * (a.value - b.value))), 4) as rms from m a join m b on a.uid = b.uid and a.step = b.step and a.member < b.member group by all""")
+def pair_rms(spark, sf_dir):
+    """Differences between all pairs of seeds of a series (six of them)."""
+    m = _ensemble(spark, sf_dir).where("member < 6")
+    a, b = m.select("uid", "step", F.col("member").alias("i"), F.col("value").alias("a")), m.select("uid", "step", F.col("member").alias("j"), F.col("value").alias("b"))
+    return a.join(b, ["uid", "step"]).where("i < j").groupBy("uid", "i", "j").agg(near(metrics.rms(F.col("a"), F.col("b")), 4).alias("rms"))
+
+
+@query("""with h as (select o_custkey, count(*) as n, cast(sum(o_totalprice) * 100 as bigint) as cents from orders group by o_custkey) select c.c_custkey as uid, coalesce(n, 0) as done from customer c left join h on h.o_custkey = c.c_custkey where n is null""")
+def unfinished_series(spark, sf_dir):
+    """Wanted series without an artifact: an anti-join."""
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"))
+    done = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("uid"))
+    from ensemblecast.sources.store import missing
+
+    return missing(wanted, done).select("uid", F.lit(0).cast("long").alias("done"))
+
+
+# What SQL can't express: kernels, compared with published values in tests/.
+
+
+@query()
+def stl_components(spark, sf_dir):
+    ship(spark)
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for uid, m, y in zip(frame["uid"], frame["m"], frame["y_train"]):
+                trend, seasonal, rest = decompose.decompose(np.log(np.asarray(y)), int(m))
+                yield pd.DataFrame({"uid": uid, "idx": range(1, len(y) + 1), "trend": trend, "seasonal": seasonal, "remainder": rest})
+
+    return packed(spark, sf_dir).select("uid", "m", "y_train").mapInPandas(run, "uid string, idx int, trend double, seasonal double, remainder double")
+
+
+@query()
+def lowess_trend(spark, sf_dir):
+    ship(spark)
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for uid, y in zip(frame["uid"], frame["y_train"]):
+                yield pd.DataFrame({"uid": uid, "idx": range(1, len(y) + 1), "trend": decompose.decompose(np.asarray(y), 1)[0]})
+
+    return packed(spark, sf_dir).select("uid", "y_train").mapInPandas(run, "uid string, idx int, trend double")
+
+
+@query()
+def guerrero_exponent(spark, sf_dir):
+    ship(spark)
+
+    def run(frames):
+        import numpy as np
+
+        for frame in frames:
+            yield frame[["uid"]].assign(lam=[boxcox.guerrero_lambda(np.asarray(y), M) for y in frame["y_train"]])
+
+    return packed(spark, sf_dir).select("uid", "y_train").mapInPandas(run, "uid string, lam double")
+
+
+@query()
+def bootstrap_members(spark, sf_dir):
+    return experiment.pool(packed(spark, sf_dir), MEMBERS).select("uid", "member", "lam", "n_clipped", F.aggregate("y", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query()
+def ets_forecast(spark, sf_dir):
+    s = packed(spark, sf_dir).select("uid", "m", "h", F.lit(0).alias("h_val"), F.lit(0).alias("member"), F.col("y_train").alias("y"))
+    out = experiment.forecasts(s, "ets", validate=False, most=300, starts=1)
+    return out.select("uid", "method", "fallback", F.posexplode("fc").alias("step", "value"))
+
+
+@query()
+def nbeats_forecast(spark, sf_dir):
+    s = packed(spark, sf_dir).select("uid", "m", "h", F.lit(0).alias("h_val"), F.lit(0).alias("member"), F.col("y_train").alias("y"))
+    out = experiment.forecasts(s, "nbeats-i", validate=False, interpretable=True, max_epochs=40, width=64, seed=1)
+    return out.select("uid", "method", "fallback", F.posexplode("fc").alias("step", "value"))
+
+
+@query()
+def family_averaging(spark, sf_dir):
+    s = packed(spark, sf_dir)
+    return experiment.family_scores(experiment.family_table(s, most=200, starts=1), s).select("uid", "strategy", "smape", "mase", "n_members")
+
+
+@query()
+def pam_labels(spark, sf_dir):
+    """Members of each series' pool by cluster."""
+    ship(spark)
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for uid, y in zip(frame["uid"], frame["y_train"]):
+                members = bootstrap.bootstrap_pool(np.asarray(y), 60, M, bootstrap.series_rng(1, uid)).series
+                k, labels = clustering.best_k(clustering.distances(members), 2, 10)
+                yield pd.DataFrame({"uid": uid, "member": range(len(labels)), "k": k, "label": labels})
+
+    return packed(spark, sf_dir).select("uid", "y_train").mapInPandas(run, "uid string, member int, k int, label int")
+
+
+def _selected(spark, sf_dir, strategies: list[str]) -> DataFrame:
+    s = packed(spark, sf_dir)
+    artifacts = experiment.stage_a(s, MEMBERS, engine="snaive")
+    return experiment.stage_b(artifacts, s, strategies, 8).select("uid", "strategy", "smape", "mase", "n_members")
+
+
+@query()
+def greedy_selection(spark, sf_dir):
+    return _selected(spark, sf_dir, ["greedy", "greedy:trimmed", "greedy:mean"])
+
+
+@query()
+def portfolio_selection(spark, sf_dir):
+    return _selected(spark, sf_dir, ["portfolio", "portfolio:mean"])
+
+
+@query()
+def strategy_sweep(spark, sf_dir):
+    """Every strategy over one stage A."""
+    return _selected(spark, sf_dir, ["original", "none", "none10:trimmed", "topk", "random", "greedy", "portfolio", "cluster-k3", "cluster-auto", "paper-k3"])
+
+
+@query()
+def bagged_pipeline(spark, sf_dir):
+    """Bootstrap, validate and fit smoothing models, select by cluster, combine, score."""
+    s = packed(spark, sf_dir)
+    artifacts = experiment.stage_a(s, MEMBERS, engine="ets", most=150, starts=1)
+    return experiment.stage_b(artifacts, s, ["original", "none:trimmed", "topk", "cluster-k3"], 10).select("uid", "strategy", "smape", "mase", "n_members", "k_chosen")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    return bagged_pipeline(spark, sf_dir)
