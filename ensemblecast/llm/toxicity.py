@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_term
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     n, bad = sample.agg(F.count("*"), F.sum("toxic")).first()
     base = (bad or 0) / max(1, n)
-    empty = Model(frozenset(), frozenset(), np.array([np.log((base * n + 0.5) / ((1 - base) * n + 0.5))] + [0.0] * 8))
+    empty = Model(frozenset(), frozenset(), np.array([np.log((base * n + 0.5) / ((1 - base) * n + 1.5))] + [0.0] * 8))
     if not n or not 0 < base < 1:
         return empty
     evidence = sample.mapInArrow(_evidence, "term string, ctx long, clean long").groupBy("term", "ctx").agg(F.sum("clean").alias("clean"))
