@@ -28,12 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the runs of lines that stand earlier; what has no word left goes."""
-    kept = line_dedup.remove_repeats(docs).where("n_removed > 0").select("rid", "kept_text").dropDuplicates(["rid"])
-    out = _rid(docs).join(kept.hint("shuffle_hash"), "rid", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    kept = line_dedup.remove_repeats(docs, carry=True).where("not emptied")
+    columns = {c: F.col(f"row.{c}") for c in docs.columns if c != "text"} | {"text": F.col("kept_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

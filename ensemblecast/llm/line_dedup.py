@@ -24,13 +24,17 @@ _LAST = (1 << 63) - 1
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def remove_repeats(docs: DataFrame, run: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text, kept_sha256 of every row."""
+def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text, kept_sha256 and emptied (no line with a word is left) of every row.
+
+    With ``carry`` the other columns come along in a struct named ``row``.
+    """
     core = run - WINDOW + 1
     lines = F.split("text", "\n", -1)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
+        *([F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] if carry else []),
     )
     hashed = rows.where("text is not null").select(
         "rid", "doc", F.transform(F.filter(lines, lambda x: x.rlike(_WORD)), lambda x: F.xxhash64(x)).alias("h")
@@ -44,7 +48,7 @@ def remove_repeats(docs: DataFrame, run: int = 3) -> DataFrame:
     fingerprints = (
         hashed.withColumn("grams", grams).withColumn("f", F.explode(F.array_distinct(windows)))
         .select(
-            "rid", "doc", "f.key", "f.pos",
+            "rid", "doc", "f.key", "f.pos", F.size("h").alias("total"),
             F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0)).alias("from"),
             F.slice("h", F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0)) + 1, F.col("f.pos") + core + WINDOW - 1 - F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0))).alias("h"),
         )
@@ -52,26 +56,27 @@ def remove_repeats(docs: DataFrame, run: int = 3) -> DataFrame:
     fingerprints = cut(fingerprints)
     again = fingerprints.groupBy("key").count().where("count > 1").select("key")
     extended = fingerprints.join(again, "key").select(
-        "rid", "doc", "from", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: joint(s, run))).alias("s", "runkey")
-    ).select("rid", "doc", (F.col("from") + F.col("s")).alias("at"), "runkey", F.col("runkey").alias("k"))
+        "rid", "doc", "from", "total", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: joint(s, run))).alias("s", "runkey")
+    ).select("rid", "doc", "total", (F.col("from") + F.col("s")).alias("at"), "runkey", F.col("runkey").alias("k"))
     firsts = extended.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
     firsts = firsts.where("first < last").select("k", "first")
     later = extended.drop("k").join(firsts, F.col("runkey") == F.col("k")).where(F.struct("doc", "at") > F.col("first"))
-    gone = later.groupBy("rid").agg(F.collect_set("at").alias("starts"))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
+    gone = later.groupBy("rid").agg(F.collect_set("at").alias("starts"), F.max("total").alias("total"))
+    gone = gone.select("rid", covered.alias("covered"), (F.size(covered) == F.col("total")).alias("all"))
 
     full = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.element_at("l", i + 1).rlike(_WORD))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform(covered, lambda j: F.element_at(F.col("full"), j + 1)))
-    split = rows.select("doc_id", "text", "rid").join(gone.hint("shuffle_hash"), "rid", "left").withColumn("l", lines)
-    out = split.withColumn("full", F.when(F.col("starts").isNotNull(), full)).withColumn("kept", F.when(F.col("starts").isNotNull(), kept))
-    out = out.withColumn("kept_text", F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.element_at(F.col("l"), i + 1)), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform("covered", lambda j: F.element_at(F.col("full"), j + 1)))
+    split = rows.drop("doc").join(gone.hint("shuffle_hash"), "rid", "left").withColumn("l", lines)
+    out = split.withColumn("full", F.when(F.col("covered").isNotNull(), full)).withColumn("kept", F.when(F.col("covered").isNotNull(), kept))
+    out = out.withColumn("kept_text", F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.element_at(F.col("l"), i + 1)), "\n")))
     return out.select(
         "doc_id",
         F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("starts").isNull(), 0).otherwise(F.size("l") - F.size("kept")).cast("long").alias("n_removed"),
+        F.when(F.col("covered").isNull(), 0).otherwise(F.size("l") - F.size("kept")).cast("long").alias("n_removed"),
         "kept_text",
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
-        "rid",
+        "rid", F.coalesce("all", F.lit(False)).alias("emptied"), *(["row"] if carry else []),
     )
 
 

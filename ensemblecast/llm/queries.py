@@ -48,7 +48,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "rid")
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "rid", "emptied")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
