@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ensemblecast.functions import aggregates, metrics, ranks, transforms
 from ensemblecast.operators import bootstrap, boxcox, clustering, decompose
-from ensemblecast.plans import experiment
+from ensemblecast.plans import experiment, reports
 from ensemblecast.session import ship
 from ensemblecast.sources import series as sources
 
@@ -541,3 +541,82 @@ def bagged_pipeline(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagged_pipeline(spark, sf_dir)
+
+
+# Comparisons and choices of series.
+
+
+@query(f"""{_SCORES}, e as (select uid, strategy as engine, smape, mase from scores where strategy <> 'mean' or uid < 'M'), k as (select uid from e group by uid having count(distinct engine) = (select count(distinct engine) from e))
+select engine, round(avg(smape), 6) as mean_smape, round(median(smape), 6) as median_smape, round(avg(mase), 6) as mean_mase, round(median(mase), 6) as median_mase from e where uid in (select uid from k) group by engine""")
+def engine_summary(spark, sf_dir):
+    """Engines compared on the series that all of them have."""
+    e = _scores(spark, sf_dir).where("strategy != 'mean' or uid < 'M'").withColumnRenamed("strategy", "engine")
+    s = reports.engine_summary(e)
+    return s.select("engine", *(near(F.col(c)).alias(c) for c in s.columns if c != "engine"))
+
+
+@query(f"{_SCORES} select count(*) as n, round(avg(smape), 6) as mean_smape, round(median(smape), 6) as median_smape, round(avg(mase), 6) as mean_mase, round(avg(smape) - 14.135, 6) as delta, abs(avg(smape) - 14.135) <= 0.5 as passed from scores where strategy = 'seasonal'")
+def calibration_gate(spark, sf_dir):
+    c = reports.calibration(_scores(spark, sf_dir).where("strategy = 'seasonal'"), 14.135, 0.5)
+    return c.select("n", *(near(F.col(k)).alias(k) for k in ("mean_smape", "median_smape", "mean_mase", "delta")), "passed")
+
+
+@query("""with m as (select c_custkey as uid, cast(c_nationkey as bigint) as n_train from customer), o as (select uid, n_train, row_number() over (order by n_train, uid) - 1 as pos, count(*) over () as total from m)
+select uid, n_train from o where pos in (select cast(round_even(i * (total - 1) / 6.0, 0) as bigint) from (select unnest(range(0, 7)) as i) s)""")
+def pick_diverse(spark, sf_dir):
+    """Seven series spread over the lengths."""
+    m = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").cast("long").alias("n_train"))
+    return sources.pick_diverse(m, 7).select("uid", "n_train")
+
+
+@query("with o as (select c_custkey as uid, row_number() over (order by c_custkey) - 1 as pos, count(*) over () as total from customer) select uid from o where pos in (select cast(floor(i * total / 9.0) as bigint) from (select unnest(range(0, 9)) as i) s)")
+def systematic_sample(spark, sf_dir):
+    """Nine series at even steps."""
+    from ensemblecast.sources.store import every_nth
+
+    return every_nth(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid")), 9)
+
+
+@query("select distinct o_custkey as uid from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O' intersect select c_custkey from customer where c_acctbal > 0")
+def matched_arms(spark, sf_dir):
+    """Series that every arm has."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    arm = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("uid"))
+    rich = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("uid"))
+    return arm("F").intersect(arm("O")).intersect(rich)
+
+
+@query(f"""{MONTHLY}, d as (select uid, idx, y, lag(y, {M}) over (partition by uid order by idx) as p, lag(y) over (partition by uid order by idx) as q from s)
+select a.uid, round(avg(abs(a.q - a.p)) / avg(abs(a.y - a.p)), 6) as scaled_distance from d a where p is not null group by a.uid""")
+def scaled_distance(spark, sf_dir):
+    """Mean distance of two forecasts (last value, last season) in units of the mean seasonal step."""
+    w = Window.partitionBy("uid").orderBy("idx")
+    d = sources.monthly(spark, sf_dir).withColumns({"p": F.lag("y", M).over(w), "q": F.lag("y").over(w)}).where("p is not null")
+    return d.groupBy("uid").agg(near(F.avg(F.abs(F.col("q") - F.col("p"))) / F.avg(F.abs(F.col("y") - F.col("p")))).alias("scaled_distance"))
+
+
+@query(f"{_ENSEMBLE} select uid, step, round(avg(value), 4) as mean, median(value) as median, min(value) as low, max(value) as high, round(avg(value) - any_value(actual), 4) as error from ens group by all")
+def published_forecast_table(spark, sf_dir):
+    """Mean, median and range of the members, as the method's first publication reports them."""
+    return _ensemble(spark, sf_dir).groupBy("uid", "step").agg(
+        near(F.avg("value"), 4).alias("mean"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), near(F.avg("value") - F.first("actual"), 4).alias("error")
+    )
+
+
+@query()
+def member0_ablation(spark, sf_dir):
+    """What the original series adds to an ensemble, by size and aggregator."""
+    s = packed(spark, sf_dir)
+    return experiment.ablation_pivot(experiment.ablation(experiment.stage_a(s, MEMBERS, engine="snaive"), s, [5, 10], 10))
+
+
+@query()
+def family_diagnostics(spark, sf_dir):
+    return experiment.family_diagnostics(experiment.family_table(packed(spark, sf_dir), most=200, starts=1))
+
+
+@query()
+def strategy_tests(spark, sf_dir):
+    """Friedman's test and Hochberg's comparisons with the best learner, tails included."""
+    found = experiment.compare(_scores(spark, sf_dir))
+    return spark.createDataFrame(found["table"]).withColumns({"control": F.lit(found["control"]), "friedman_p": F.lit(found["friedman_pvalue"])})

@@ -85,3 +85,26 @@ from nation cross join (select unnest(range(1, 80)) as i) s
 left join (select c_nationkey, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) as month, count(*) as c
            from orders join customer on o_custkey = c_custkey group by all) k on c_nationkey = n_nationkey and month = i
 """
+
+
+def pick_diverse(meta: DataFrame, n: int) -> DataFrame:
+    """``n`` series spread evenly over the lengths: places round(linspace(0, N - 1, n)), halves to even."""
+    total = meta.count()
+    if n >= total:
+        return meta
+    from pyspark.sql import Window
+
+    ordered = meta.withColumn("at", F.row_number().over(Window.partitionBy().orderBy("n_train", "uid")) - 1)  # metadata: a row a series
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (total - 1) / (n - 1)).cast("int"))
+    return ordered.where(F.array_contains(wanted, F.col("at"))).drop("at")
+
+
+def synthetic(n: int = 120, phi: float = 0.6, seed: int = 20180748, burn: int = 0):
+    """A trend, two waves and first-order autoregressive noise."""
+    import numpy as np
+
+    t, rng = np.arange(n), np.random.default_rng(seed)
+    noise = np.zeros(n + burn)
+    for k, e in enumerate(rng.normal(0, 5, n + burn)):
+        noise[k] = (phi * noise[k - 1] if k else 0.0) + e
+    return 200 + 1.5 * t + 25 * np.sin(2 * np.pi * t / 12) + 10 * np.cos(2 * np.pi * t / 6) + noise[burn:]

@@ -6,7 +6,7 @@ from ensemblecast.functions import aggregates, metrics, transforms
 from ensemblecast.operators import selection
 from ensemblecast.operators.engines import NBeatsEngine, build_engine
 from ensemblecast.operators.nbeats import NBeats
-from ensemblecast.plans import experiment, strategies
+from ensemblecast.plans import cli, experiment, reports, strategies
 from ensemblecast.plans.model import BaggedForecaster
 from ensemblecast.sources import series as sources
 from ensemblecast.sources import store
@@ -200,3 +200,39 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r["uid"]: r["next"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {"a", "b"} and min(got.values()) >= 8
+
+
+def test_reports(spark, series):
+    assert len(sources.synthetic()) == 120
+    scores = spark.createDataFrame([("a", "x", 10.0, 1.0), ("b", "x", 12.0, 1.0), ("a", "y", 20.0, 2.0)], "uid string, engine string, smape double, mase double")
+    got = reports.engine_summary(scores).collect()
+    assert [r["engine"] for r in got] == ["x", "y"] and got[0]["mean_smape"] == 10
+    one = reports.calibration(scores.where("engine = 'x'"), 11.2, 0.5).first()
+    assert one["passed"] and one["delta"] == pytest.approx(-0.2)
+    points = spark.createDataFrame([("c", s, [1.0 * s, 2.0], 10.0 + s) for s in range(3)], "case string, seed int, point array<double>, smape double")
+    outside = spark.createDataFrame([("c", [1.0, 2.0], 11.5, 0.2)], "case string, point array<double>, smape double, engine_delta double")
+    row = reports.seed_band(points, outside).first()
+    assert row["in_band"] and row["counts"] and row["delta"] == pytest.approx(-0.5) and row["rms_between_seeds"] == pytest.approx(2**-0.5)
+    fits = series.select("uid", F.transform("y_train", lambda v: v + 1).alias("fitted"))
+    assert {round(r["residual"], 9) for r in reports.fitted_ensemble(fits, series).collect()} == {-1.0}
+    assert reports.markdown(scores.orderBy("uid", "engine"), "T").splitlines()[4] == "| a | x | 10.000 | 1.000 |"
+
+
+def test_commands(spark, tmp_path, capsys):
+    rows, meta = [], []
+    for u, y in long_series().items():
+        rows += [f"{u},{i},{'train' if i < 73 else 'test'},{v}" for i, v in enumerate(y, 1)]
+        meta.append(f"{u},monthly,12,72,18")
+    (tmp_path / "m3_monthly.csv").write_text("unique_id,idx,split,y\n" + "\n".join(rows))
+    (tmp_path / "meta.csv").write_text("unique_id,group,m,n_train,h\n" + "\n".join(meta))
+    base = ["--data", str(tmp_path), "--root", str(tmp_path / "runs")]
+    small = ["--members", "8", "--n-select", "3", "--strategies", "original,topk,random", "--draws", "2", "--sizes", "2"]
+    for engine in ("naive", "snaive"):
+        assert cli.main([*base, "precompute", *small, "--engine", engine]) == 0
+    before = spark.read.parquet(str(tmp_path / "runs" / "artifacts")).count()
+    cli.main([*base, "precompute", *small, "--engine", "snaive"])  # nothing is left to do
+    assert spark.read.parquet(str(tmp_path / "runs" / "artifacts")).count() == before == 2 * 4 * 8
+    for command in ("evaluate", "report", "stats", "ablate"):
+        assert cli.main([*base, command, *small, "--engine", "snaive"]) == 0
+    assert cli.main([*base, "compare", *small, "--engine", "naive,snaive"]) == 0
+    assert "friedman_pvalue" in capsys.readouterr().out
