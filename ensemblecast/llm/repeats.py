@@ -222,7 +222,8 @@ def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finis
     docs = with_rid(docs)
     rows = cut(docs.select("rid", "doc", "text").mapInArrow(_anchor_rows(spec), "key long, ctx long, rid long, doc long, place long"))
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("ctx") == F.max("ctx")).alias("alike"))
-    keys = keys.where("first < last" if spec.earlier_only else "n > 1").select("key", "first", "alike")
+    # as a table, so that Spark can split the rows of a hot core over several tasks when it joins
+    keys = cut(keys.where("first < last" if spec.earlier_only else "n > 1").select("key", "first", "alike"))
     found = cut(rows.join(keys, "key"))
     mixed = found.where("not alike").select("key", "ctx", "rid", "doc", "place")
     classes = cut(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.min(F.struct("doc", "rid", "place")).alias("rep")))
