@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, quality, sharding, substring, suffix_dedup, toxicity
+from ensemblecast.llm import decontam, jaccard, langid, line_dedup, oracles, packing, quality, sharding, substring, suffix_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = dict(oracles.SQL)
