@@ -68,4 +68,5 @@ def wilcoxon_parts(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     ranked = pairs.select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")  # none where all values tie
+    return ranked.agg(F.when(spread > 0, F.covar_pop("rx", "ry") / F.when(spread > 0, spread)).alias("rho"), F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""``python -m ensemblecast.plans.cli <command>``: precompute, evaluate, report, stats, families, ablate, compare."""
+"""``python -m ensemblecast.plans.cli <command>``: precompute, evaluate, report, stats, families, entropy, ablate, instability, calibrate, compare."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ensemblecast.functions import ranks
 from ensemblecast.operators import ranktests
-from ensemblecast.plans import experiment
+from ensemblecast.plans import experiment, reports
 from ensemblecast.session import local_session
 from ensemblecast.sources import series as sources
 from ensemblecast.sources import store
@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--data", default="data/m3")
     top.add_argument("--root", default="data/runs")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("precompute", "evaluate", "report", "stats", "families", "ablate", "compare"):
+    for name in ("precompute", "evaluate", "report", "stats", "families", "entropy", "ablate", "instability", "calibrate", "compare"):
         p = commands.add_parser(name)
         p.add_argument("--group", default="monthly")
         p.add_argument("--members", type=int, default=1000)
@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--control")
         p.add_argument("--sizes", default="10,25,50,100")
         p.add_argument("--draws", type=int, default=20)
+        p.add_argument("--anchor", type=float, default=14.135, help="published mean sMAPE, for calibrate")
+        p.add_argument("--gate", type=float, default=0.5)
     return top
 
 
@@ -66,6 +68,20 @@ def main(argv: list[str] | None = None) -> int:
         families.drop("fc").write.mode("overwrite").parquet(f"{args.root}/families")
         experiment.family_diagnostics(families).write.mode("overwrite").parquet(f"{args.root}/family_diagnostics")
         experiment.family_scores(families, series).write.mode("overwrite").parquet(scores)
+    elif args.command == "entropy":
+        experiment.family_entropy(store.read_artifacts(spark, path, keyed(args.engine))).write.mode("overwrite").parquet(f"{args.root}/family_entropy")
+    elif args.command == "instability":
+        specs = args.strategies.split(",")
+        gained = experiment.gains(spark.read.parquet(scores), specs[0], **{f"gain_{i}": s for i, s in enumerate(specs[1:], 1)})
+        found = experiment.instability(spark.read.parquet(f"{args.root}/family_entropy"), gained)
+        print(f"n = {found['n']}, least rho at 80 % power: {found['least_rho']}")
+        print(found["table"].to_string(index=False))
+        found["quartiles"].orderBy("q").show()
+    elif args.command == "calibrate":
+        done = store.read_artifacts(spark, path, keyed(args.engine))
+        fallback = done.where("member = 0").select("uid", "fallback")
+        plain = experiment.stage_b(done, series, ["original"]).join(fallback, "uid")
+        print(reports.markdown(reports.calibration(plain, args.anchor, args.gate, F.col("fallback")), "Calibration"))
     elif args.command == "ablate":
         done = store.read_artifacts(spark, path, keyed(args.engine))
         rows = experiment.ablation(done, series, [int(s) for s in args.sizes.split(",")], args.draws, args.seed)

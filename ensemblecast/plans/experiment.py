@@ -312,3 +312,31 @@ def quartiles(frame: DataFrame, by: str, values: list[str]) -> DataFrame:
     ranked = frame.withColumns({"r": F.row_number().over(one.orderBy(by, "uid")), "n": F.count("*").over(one)})
     quarter = F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * 4 / (F.col("n") - 1)))
     return ranked.withColumn("q", quarter.cast("int")).groupBy("q").agg(F.count("*").alias("n"), F.avg(by).alias(by), *(F.avg(v).alias(v) for v in values))
+
+PREDICTORS = ("n_families", "family_entropy", "n_eff_families", "modal_share")
+
+
+def gains(scores: DataFrame, plain: str, **others: str) -> DataFrame:
+    """(uid, one column a keyword): how much lower each named strategy's sMAPE is than the plain one's."""
+    wide = scores.groupBy("uid").pivot("strategy", [plain, *others.values()]).agg(F.avg("smape")).dropna()
+    return wide.select("uid", *((F.col(f"`{plain}`") - F.col(f"`{s}`")).alias(name) for name, s in others.items()))
+
+
+def instability(entropy: DataFrame, gained: DataFrame, alpha: float = 0.05) -> dict:
+    """Does disagreement of the members on a form predict the gain of bagging?
+
+    Rank correlations of every predictor with every gain (a handful of pairs, tails on the driver), averages by
+    quarter of the first predictor, and the least correlation that the number of series could show.
+    """
+    both = entropy.join(gained, "uid").cache()
+    names = [c for c in gained.columns if c != "uid"]
+    rows = []
+    for predictor in PREDICTORS:
+        for gain in names:
+            r = ranks.spearman(both, predictor, gain).first()
+            rho, n = r["rho"], r["n"]
+            p = 1.0 if rho is None or n < 3 else 0.0 if abs(rho) >= 1 else ranktests.student_two_sided(rho * ((n - 2) / (1 - rho * rho)) ** 0.5, n - 2)
+            rows.append((predictor, gain, rho, p, p < alpha and (rho or 0) > 0))
+    total = both.count()
+    table = pd.DataFrame(rows, columns=["predictor", "gain", "rho", "p", "supported"])
+    return {"n": total, "least_rho": ranktests.least_detectable_rho(total, alpha) if total > 3 else None, "table": table, "quartiles": quartiles(both, PREDICTORS[0], names)}

@@ -234,5 +234,17 @@ def test_commands(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "runs" / "artifacts")).count() == before == 2 * 4 * 8
     for command in ("evaluate", "report", "stats", "ablate"):
         assert cli.main([*base, command, *small, "--engine", "snaive"]) == 0
+    for command in ("entropy", "instability", "calibrate"):
+        assert cli.main([*base, command, *small, "--engine", "snaive"]) == 0
     assert cli.main([*base, "compare", *small, "--engine", "naive,snaive"]) == 0
     assert "friedman_pvalue" in capsys.readouterr().out
+
+
+def test_instability(spark):
+    rows = [(f"u{k:02d}", k, 0.1 * k, 1.0 + k, 1.0 / (k + 1)) for k in range(20)]
+    e = spark.createDataFrame(rows, "uid string, n_families int, family_entropy double, n_eff_families double, modal_share double")
+    scores = spark.createDataFrame([(f"u{k:02d}", s, v) for k in range(20) for s, v in (("original", 20.0), ("bag", 20.0 - k * k))], "uid string, strategy string, smape double")
+    found = experiment.instability(e, experiment.gains(scores, "original", gain="bag"))
+    first = found["table"].iloc[0]
+    assert first["rho"] == pytest.approx(1) and first["supported"] and not found["table"].iloc[3]["supported"]
+    assert [r["n"] for r in found["quartiles"].orderBy("q").collect()] == [5, 5, 5, 5]
