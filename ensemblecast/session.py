@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Spark's own bound on the bytes of a batch for Python, and a lower one: batches of long texts are held several times.
+_BATCH, _DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "8m"
+
 
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -32,7 +37,13 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers import it from anywhere."""
+    """Get a session ready for Python workers.
+
+    The package is sent to the executors once per application, so that workers import it from anywhere; Spark's
+    default for the bytes of a batch is lowered (a value that was set otherwise stays).
+    """
+    if spark.conf.get(_BATCH).startswith(_DEFAULT_BYTES):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -50,7 +61,10 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"ensemblecast-{uuid.uuid4().hex}"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="ensemblecast-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
