@@ -66,15 +66,16 @@ def sliding_argmin(values: np.ndarray, reach: int) -> np.ndarray:
 
 
 def anchors(values: np.ndarray, offs: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
-    """(core's hash, hash with surroundings, row, place) of all anchors.
+    """(core's hash, hash with surroundings, row, place, run) of all anchors.
 
     The surroundings are those of the windows that chose the anchor, as equal windows choose alike. A place packs
-    the anchor's position in its row (in units), and the units to the left and to the right of its core.
+    the anchor's position in its row (in units), and the units to the left and to the right of its core. Periodic
+    text has equal anchors at even steps; they are one entry, whose run packs the step and their number.
     """
     size = np.diff(offs)
     if not len(values) or size.max() < spec.length:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
     sums = tk.prefix(values)
     at = np.arange(len(values) - spec.gram + 1)
     grams = np.full(len(values), np.iinfo(np.uint64).max, np.uint64)
@@ -89,7 +90,15 @@ def anchors(values: np.ndarray, offs: np.ndarray, spec: Spec) -> tuple[np.ndarra
     left, right = a - first, last + spec.length - a - spec.core
     key = tk.range_hash(sums, a, a + spec.core)
     around = tk.range_hash(tk.prefix(values, 1), first, last + spec.length, 1)
-    return key, tk.mix(around + left.astype(np.uint64)), row, (a - offs[row]) << 20 | left << 10 | right
+    around = tk.mix(around + left.astype(np.uint64))
+    step = np.diff(a, prepend=a[:1])
+    same = np.append(False, (key[1:] == key[:-1]) & (around[1:] == around[:-1]) & (row[1:] == row[:-1]))
+    even = same & np.append(True, ~same[:-1] | (step[1:] == step[:-1]))
+    head = np.flatnonzero(~even)
+    times = np.diff(np.append(head, len(a)))
+    stride = np.where(times > 1, step[np.minimum(head + 1, len(a) - 1)], 0)
+    place = (a - offs[row]) << 20 | left << 10 | right
+    return key[head], around[head], row[head], place[head], stride << 32 | times
 
 
 def unpack(place):
@@ -108,9 +117,9 @@ def _anchor_rows(spec: Spec) -> Callable:
         for batch in batches:
             rid, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _, data, offs in tk.chunks(batch.column(2)):
-                key, ctx, row, place = anchors(*units(data, offs, spec.unit), spec)
+                key, ctx, row, place, run_ = anchors(*units(data, offs, spec.unit), spec)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), pa.array(rid[lo + row]), pa.array(doc[lo + row]), pa.array(place)], names=["key", "ctx", "rid", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), pa.array(rid[lo + row]), pa.array(doc[lo + row]), pa.array(place), pa.array(run_)], names=["key", "ctx", "rid", "doc", "place", "run"])
 
     return run
 
@@ -220,13 +229,14 @@ def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finis
     """
     ship(docs.sparkSession)
     docs = with_rid(docs)
-    rows = cut(docs.select("rid", "doc", "text").mapInArrow(_anchor_rows(spec), "key long, ctx long, rid long, doc long, place long"))
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("ctx") == F.max("ctx")).alias("alike"))
+    rows = cut(docs.select("rid", "doc", "text").mapInArrow(_anchor_rows(spec), "key long, ctx long, rid long, doc long, place long, run long"))
+    times, step = F.col("run").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("run", 32)
+    keys = rows.groupBy("key").agg(F.sum(times).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("ctx") == F.max("ctx")).alias("alike"))
     # as a table, so that Spark can split the rows of a hot core over several tasks when it joins
     keys = cut(keys.where("first < last" if spec.earlier_only else "n > 1").select("key", "first", "alike"))
     found = cut(rows.join(keys, "key"))
-    mixed = found.where("not alike").select("key", "ctx", "rid", "doc", "place")
-    classes = cut(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.min(F.struct("doc", "rid", "place")).alias("rep")))
+    mixed = found.where("not alike").select("key", "ctx", "rid", "doc", "place", "run")
+    classes = cut(mixed.groupBy("key", "ctx").agg(F.sum(times).alias("n"), F.min("doc").alias("first"), F.min(F.struct("doc", "rid", "place")).alias("rep")))
     sizes = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = classes.join(sizes, "key").select(F.col("rep.rid").alias("rid"), F.struct("key", "ctx", "rep.doc", "blocks", "rep.place").alias("p"))
     # every text with a repeated core has a list, if only an empty one
@@ -250,12 +260,14 @@ def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finis
     windows = decided.where("h1 is null").select("key", "ctx", "a", "b").unionByName(hot.select("key", "ctx", "a", "b"))
 
     pos, left, right = unpack(F.col("place"))
-    whole = [(pos - left).cast("int").alias("a"), (pos + spec.core + right).cast("int").alias("b")]
+    # steps are shorter than what one anchor covers, so a run covers everything from its first to its last
+    whole = [(pos - left).cast("int").alias("a"), (pos + (times - 1) * step + spec.core + right).cast("int").alias("b")]
     plain = found.where("alike" + (" and doc > first" if spec.earlier_only else "")).select("rid", *whole)
     known = mixed.join(classes.select("key", "ctx", "n", "first"), ["key", "ctx"])
     taken = "doc > first" if spec.earlier_only else "n > 1"
     per_class = windows.groupBy("key", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("w"))
-    by_kernel = known.where(f"not ({taken})").join(per_class, ["key", "ctx"]).select("rid", (pos - left).cast("int").alias("at"), F.explode("w").alias("w"))
+    by_kernel = known.where(f"not ({taken})").join(per_class, ["key", "ctx"]).select("rid", (pos - left).alias("at"), step.alias("step"), F.explode("w").alias("w"), times.alias("times"))
+    by_kernel = by_kernel.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).select("rid", (F.col("at") + F.col("k") * F.col("step")).cast("int").alias("at"), "w")
     spans = (
         plain.unionByName(known.where(taken).select("rid", *whole))
         .unionByName(by_kernel.select("rid", (F.col("at") + F.col("w.a")).alias("a"), (F.col("at") + F.col("w.b")).alias("b")))
