@@ -14,22 +14,24 @@ from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, que
 from ensemblecast.session import cut
 
 
-def _rid(docs: DataFrame) -> DataFrame:
-    """With the hash of doc_id and text that the operators return."""
-    return docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+def _rows(docs: DataFrame, *but: str) -> DataFrame:
+    """The columns in a struct named ``row``, so that no name clashes, and the hash ``rid`` that the operators return."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("row")
+    return docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"), *but)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts of no language that the model is surer of than not, go; ``lang`` stays."""
     model = langid.fit(docs.where(queries.id_hash(4) != 2))
-    judged = langid.classify(docs.withColumn("body", F.col("text")), model, tuple(c for c in docs.columns if c != "text") + ("body",))
-    return judged.where("lang_pred != 'und' and score >= 0.5").withColumnRenamed("body", "text").select(*docs.columns)
+    judged = langid.classify(_rows(docs, "text").withColumn("body", F.col("text")), model, ("row", "body"))
+    kept = judged.where("lang_pred != 'und' and score >= 0.5")
+    return kept.select(*(F.col("body").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the runs of lines that stand earlier; what has no word left goes."""
     kept = line_dedup.remove_repeats(docs, carry=True).where("not emptied")
-    columns = {c: F.col(f"row.{c}") for c in docs.columns if c != "text"} | {"text": F.col("kept_text")}
+    columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept_text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*(columns[c].alias(c) for c in docs.columns))
@@ -40,14 +42,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "class_id"))
     first = grouped.groupBy("class_id").agg(F.min(F.struct("doc", "rid")).alias("head")).where("class_id is not null")
     heads = first.select("head.rid").unionByName(grouped.where("class_id is null").select("rid")).distinct()
-    kept = _rid(docs).join(heads.hint("shuffle_hash"), "rid", "left_semi")
-    return kept.dropDuplicates(["rid"]).select(*docs.columns)
+    return _rows(docs).join(heads.hint("shuffle_hash"), "rid", "left_semi").dropDuplicates(["rid"]).select("row.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that cover a benchmark item go."""
     leaks = decontam.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("rid").distinct()
-    return _rid(docs).join(leaks.hint("shuffle_hash"), "rid", "left_anti").select(*docs.columns)
+    return _rows(docs).join(leaks.hint("shuffle_hash"), "rid", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

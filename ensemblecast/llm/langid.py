@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ensemblecast.llm import textkit as tk
 from ensemblecast.session import ship
@@ -132,5 +133,4 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 langs, score = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1])
-    return out.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

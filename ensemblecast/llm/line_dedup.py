@@ -34,7 +34,7 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False) -> DataFr
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-        *([F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] if carry else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []),
     )
     hashed = rows.where("text is not null").select(
         "rid", "doc", F.transform(F.filter(lines, lambda x: x.rlike(_WORD)), lambda x: F.xxhash64(x)).alias("h")

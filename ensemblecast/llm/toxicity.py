@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ensemblecast.llm import textkit as tk
 from ensemblecast.session import ship
@@ -287,5 +288,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                     names=[*keep, "score", "predicted", "hits"],
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1])
-    return out.mapInArrow(run, f"{fields}, score double, predicted int, hits long")
+    return out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("hits", T.LongType())]))

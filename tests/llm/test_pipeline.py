@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from ensemblecast.llm import langid, packing, queries
 
@@ -94,6 +96,8 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame(rows + [(990, None, None, None, None), (991, "", "aa", "s", 0)], schema).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    clash = ["row", "rid", "body", "score", "lang_pred", "class_id", "emptied", "kept_text", "contaminated", "a b.c"]
+    wide = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(clash)))
     model = langid.fit(docs.where(queries.id_hash(4) != 2))
     steps = [lambda r: brute_language(r, model), brute_lines, brute_near, lambda r: brute_leaks(r, items)]
     want = rows
@@ -102,6 +106,9 @@ def test_stages(spark, tmp_path):
         assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         assert sorted(map(tuple, docs.collect())) == sorted(want), name
         assert len(want) < before or name == "language"
+        wide = pipeline.cut(stage(spark, wide, str(tmp_path)))
+        assert wide.columns == [*docs.columns, *clash]
+        assert sorted(map(tuple, wide.collect())) == sorted((*w, *range(len(clash))) for w in want), name
     got = pipeline.run(spark, str(tmp_path)).collect()
     encode = packing.encoder(queries.tokenizer_path())
     sizes = {}
