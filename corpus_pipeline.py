@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the runs of lines that stand earlier; what has no word left goes."""
-    kept = line_dedup.remove_repeats(docs, carry=True).where("not emptied")
+    """Texts lose the runs of lines, and shorter passages of 50 words, that stand earlier; what has no word left goes."""
+    kept = line_dedup.remove_repeats(docs, carry=True, words=line_dedup.PASSAGE).where("not emptied")
     columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept_text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))

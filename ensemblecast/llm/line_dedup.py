@@ -7,6 +7,9 @@ fingerprint at the same place. Positions are joined only for fingerprints that o
 extended both ways to all runs that hold the fingerprint, and runs that aren't the first of their kind go.
 Counts and firsts are pre-aggregated, no pairs are made.
 
+With ``words``, shorter runs count too if they hold that many words (anything between white space): each such run is
+a fingerprint of itself, so passages that stand on fewer than ``run`` lines are found as well.
+
 A null text has no lines and stays null; a null doc_id counts as the largest; rows with the same doc_id and place
 never remove from each other; an empty table gives an empty result; other columns are ignored.
 """
@@ -20,14 +23,16 @@ from ensemblecast.session import cut
 
 #: Fingerprint candidates a window.
 WINDOW = 2
+#: Words of a passage that counts on however few lines, where that is asked for.
+PASSAGE = 50
 _LAST = (1 << 63) - 1
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text, kept_sha256 and emptied (no line with a word is left) of every row.
 
-    With ``carry`` the other columns come along in a struct named ``row``.
+    A repeat is a run of ``run`` lines, or, with ``words``, fewer lines with at least so many words in all. With ``carry`` the other columns come along in a struct named ``row``.
     """
     core = run - WINDOW + 1
     lines = F.split("text", "\n", -1)
@@ -36,33 +41,49 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False) -> DataFr
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []),
     )
-    hashed = rows.where("text is not null").select(
-        "rid", "doc", F.transform(F.filter(lines, lambda x: x.rlike(_WORD)), lambda x: F.xxhash64(x)).alias("h")
-    ).where(F.size("h") >= run)
+    sized = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.lit(0) if words is None else F.regexp_count(x, F.lit(_WORD + "+"))).alias("w"))
+    hashed = rows.where("text is not null").select("rid", "doc", F.transform(F.filter(lines, lambda x: x.rlike(_WORD)), sized).alias("l"))
+    hashed = hashed.select("rid", "doc", F.col("l.h").alias("h"), F.col("l.w").alias("w")).where(F.size("h") >= (run if words is None else 1))
 
     def joint(at, n):
         return F.xxhash64(*[F.col("h")[at + F.lit(k)] for k in range(n)])
 
     grams = F.transform(F.sequence(F.lit(0), F.size("h") - core), lambda p: F.struct(joint(p, core).alias("key"), p.alias("pos")))
     windows = F.transform(F.sequence(F.lit(1), F.size("h") - run + 1), lambda s: F.array_min(F.slice("grams", s, WINDOW)))
-    fingerprints = (
-        hashed.withColumn("grams", grams).withColumn("f", F.explode(F.array_distinct(windows)))
+    def enough(at, n):
+        return sum((F.col("w")[at + F.lit(k)] for k in range(n)), F.lit(0)) >= words
+
+    def short(n):
+        """Runs of ``n`` lines with enough words, but for those that two shorter ones cover."""
+        at = F.filter(F.sequence(F.lit(0), F.size("h") - n), lambda p: enough(p, n) & ~(enough(p, n - 1) & enough(p + F.lit(1), n - 1) if n > 1 else F.lit(False)))
+        return _from_size(n, F.transform(at, lambda p: F.struct(joint(p, n).alias("key"), p.alias("pos"), F.lit(n).alias("n"))))
+
+    def _from_size(n, found):
+        return F.when(F.size("h") >= n, found).otherwise(F.array().cast("array<struct<key: long, pos: int, n: int>>"))
+
+    marks = [_from_size(run, F.transform(F.array_distinct(windows), lambda f: F.struct(f["key"].alias("key"), f["pos"].alias("pos"), F.lit(run).alias("n"))))]
+    marks += [short(n) for n in range(1, run)] if words is not None else []
+    start = F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0))
+    marked = cut(
+        hashed.withColumn("grams", F.when(F.size("h") >= run, grams)).withColumn("f", F.explode(F.concat(*marks)))
         .select(
-            "rid", "doc", "f.key", "f.pos", F.size("h").alias("total"),
-            F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0)).alias("from"),
-            F.slice("h", F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0)) + 1, F.col("f.pos") + core + WINDOW - 1 - F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0))).alias("h"),
+            "rid", "doc", "f.key", "f.pos", "f.n", F.size("h").alias("total"), start.alias("from"),
+            F.when(F.col("f.n") == run, F.slice("h", start + 1, F.col("f.pos") + core + WINDOW - 1 - start)).alias("h"),
         )
     )
-    fingerprints = cut(fingerprints)
+    fingerprints = marked.where(F.col("n") == run)
     again = fingerprints.groupBy("key").count().where("count > 1").select("key")
     extended = fingerprints.join(again, "key").select(
         "rid", "doc", "from", "total", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: joint(s, run))).alias("s", "runkey")
-    ).select("rid", "doc", "total", (F.col("from") + F.col("s")).alias("at"), "runkey", F.col("runkey").alias("k"))
+    ).select("rid", "doc", "total", (F.col("from") + F.col("s")).alias("at"), F.lit(run).alias("n"), "runkey", F.col("runkey").alias("k"))
+    if words is not None:
+        few = marked.where(F.col("n") < run)
+        extended = extended.unionByName(few.select("rid", "doc", "total", F.col("pos").alias("at"), "n", F.col("key").alias("runkey"), F.col("key").alias("k")))
     firsts = extended.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
     firsts = firsts.where("first < last").select("k", "first")
     later = extended.drop("k").join(firsts, F.col("runkey") == F.col("k")).where(F.struct("doc", "at") > F.col("first"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
-    gone = later.groupBy("rid").agg(F.collect_set("at").alias("starts"), F.max("total").alias("total"))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    gone = later.groupBy("rid").agg(F.collect_set(F.struct("at", "n")).alias("starts"), F.max("total").alias("total"))
     gone = gone.select("rid", covered.alias("covered"), (F.size(covered) == F.col("total")).alias("all"))
 
     full = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.element_at("l", i + 1).rlike(_WORD))
@@ -92,3 +113,20 @@ o as (select l.r, count(*) as n_lines, count(*) filter (where gone) as n_removed
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join o on d.r = o.r
 """
+
+
+def passage_sql(words: int = PASSAGE) -> str:
+    """The same result for a run of 3 and ``words``, from the contract: windows of one, two and three lines."""
+    return rf"""
+with d as (select doc_id, text, row_number() over () as r from documents),
+l as (select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as raw from d where text is not null),
+n as (select *, coalesce(doc_id, 9223372036854775807) as doc, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as c, row_number() over (partition by r order by raw) as p from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+w as (select *, lead(line, 1) over o as l2, lead(line, 2) over o as l3, lead(c, 1) over o as c2 from n window o as (partition by r order by p)),
+k as (select *, c >= {words} and rank() over (partition by line order by doc, p) > 1 as hit1,
+ l2 is not null and c + c2 >= {words} and rank() over (partition by line, l2 order by doc, p) > 1 as hit2,
+ l3 is not null and rank() over (partition by line, l2, l3 order by doc, p) > 1 as hit3 from w),
+c as (select r, raw, hit1 or hit2 or hit3 or coalesce(lag(hit2, 1) over o, false) or coalesce(lag(hit3, 1) over o, false) or coalesce(lag(hit3, 2) over o, false) as gone from k window o as (partition by r order by p)),
+o as (select l.r, count(*) as n_lines, count(*) filter (where gone) as n_removed, string_agg(line, chr(10) order by l.raw) filter (where not coalesce(gone, false)) as kept from l left join c on l.r = c.r and l.raw = c.raw group by l.r)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join o on d.r = o.r
+"""

@@ -31,6 +31,28 @@ def test_lines_match_sql(spark):
     assert sum(r[2] for r in got) > 50
 
 
+def test_short_passages_match_sql(spark):
+    """Passages with enough words go though they stand on one or two lines; the old rule saw runs of three only."""
+    rnd = random.Random(9)
+    words = lambda n: " ".join(rnd.choice("abcdef") * rnd.randint(1, 5) for _ in range(n))
+    pool = [words(rnd.randint(1, 9)) for _ in range(25)] + ["", " \t", "x"]
+    rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 6)))) for k in range(80)]
+    one, two = words(60), words(30) + "\n\n" + words(30)
+    rows += [(200, f"a\n{one}\nb"), (201, f"c\n{one}"), (202, f"d\n{two}"), (203, f"{two}\ne"), (204, one), (None, one), (205, f"f\n{one}\n{one}"), (206, None)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    for least in (50, 8):
+        made = line_dedup.remove_repeats(df, words=least)
+        got = sorted(map(tuple, made.select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()), key=str)
+        assert got == sorted(con.sql(line_dedup.passage_sql(least)).fetchall(), key=str)
+        if least == 50:
+            kept = {r["doc_id"]: (r["kept_text"], r["emptied"]) for r in made.collect() if r["doc_id"] is None or r["doc_id"] >= 200}
+    assert kept[200][0] == f"a\n{one}\nb" and kept[201][0] == "c" and kept[202][0] == f"d\n{two}"
+    assert kept[203][0] == "\ne" and kept[205][0] == "f" and kept[204][1] and kept[None][1]
+
+
 def brute(rows):
     sets = []
     for _, t in rows:

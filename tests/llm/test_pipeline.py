@@ -124,3 +124,14 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_short_passages_go(spark):
+    """The lines stage takes out 50 words that stand earlier, on one line or two."""
+    long = " ".join(f"w{k}" for k in range(60))
+    halves = "\n".join(" ".join(f"{c}{k}" for k in range(30)) for c in "xy")
+    rows = [(1, f"{long}\nfirst"), (2, f"second\n{long}"), (3, f"{halves}\nthird"), (4, f"fourth\n\n{halves}"), (5, long), (6, "x0 x1\nfirst")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.lines(spark, docs, "").collect()}
+    want = {1: rows[0][1], 2: "second", 3: rows[2][1], 4: "fourth\n", 6: rows[5][1]}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
