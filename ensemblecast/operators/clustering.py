@@ -11,6 +11,28 @@ def distances(rows: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((rows - r) ** 2).sum(axis=1)) for r in rows])
 
 
+def distance_sums(a: np.ndarray, b: np.ndarray, member: np.ndarray, same: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Sum of the distances of each row of ``a`` to the rows of ``b``, by column of ``member`` (b's clusters).
+
+    ``same`` holds the row of ``b`` that is the same point, or -1; it adds nothing. Products give the distances;
+    close pairs, where these cancel, are taken again by differences.
+    """
+    size_b, out = (b * b).sum(axis=1), np.empty((len(a), member.shape[1]))
+    for lo in range(0, len(a), rows):
+        x = a[lo : lo + rows]
+        scale = (x * x).sum(axis=1)[:, None] + size_b
+        square = scale - 2 * (x @ b.T)
+        i, j = np.nonzero(square <= 1e-6 * scale)
+        square[i, j] = 0
+        for at in range(0, len(i), 1 << 16):
+            u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            square[u, v] = ((x[u] - b[v]) ** 2).sum(axis=1)
+        own = same[lo : lo + rows]
+        square[np.flatnonzero(own >= 0), own[own >= 0]] = 0
+        out[lo : lo + rows] = np.sqrt(square) @ member
+    return out
+
+
 def _two_nearest(d: np.ndarray, medoids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = d[:, medoids]
     first = own.argmin(axis=1)

@@ -249,6 +249,14 @@ def pairwise_l2(spark, sf_dir):
     return p.select("label", "i", "j", near(F.col("d"), 5).alias("d"))
 
 
+def _widths(means: DataFrame) -> DataFrame:
+    """Count and average width by label, from the mean distances of each point to each cluster."""
+    inside, outside = F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))), F.min(F.when(F.col("own") != F.col("other"), F.col("mean")))
+    w = means.groupBy("i").agg(F.first("own").alias("label"), inside.alias("a"), outside.alias("b"))
+    width = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return w.groupBy("label").agg(F.count("*").alias("n"), near(F.avg(width), 5).alias("width"))
+
+
 @query(f"""with e as (select * from embeddings where vec_id < 200), d as (select a.vec_id as i, a.label as own, b.label as other, {_L2} as d from e a join e b on a.vec_id <> b.vec_id),
 m as (select i, own, other, avg(d) as mean from d group by all),
 w as (select i, any_value(own) as label, max(case when own = other then mean end) as a, min(case when own <> other then mean end) as b from m group by i)
@@ -259,10 +267,45 @@ def silhouette_given_labels(spark, sf_dir):
     a, b = v.select(F.col("vec_id").alias("i"), F.col("label").alias("own"), F.col("v").alias("a")), v.select(F.col("vec_id").alias("j"), F.col("label").alias("other"), F.col("v").alias("b"))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     means = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i", "own", "other").agg(F.avg(F.sqrt(gap)).alias("mean"))  # 200 rows at most
-    inside, outside = F.max(F.when(F.col("own") == F.col("other"), F.col("mean"))), F.min(F.when(F.col("own") != F.col("other"), F.col("mean")))
-    w = means.groupBy("i").agg(F.first("own").alias("label"), inside.alias("a"), outside.alias("b"))
-    width = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return w.groupBy("label").agg(F.count("*").alias("n"), near(F.avg(width), 5).alias("width"))
+    return _widths(means)
+
+
+#: Vectors of a block (about, as they are dealt by hash); a task holds two.
+_VECTORS = 4096
+
+
+@query(SQL["silhouette_given_labels"].replace(" where vec_id < 200", ""))
+def silhouette_all_vectors(spark, sf_dir):
+    """Silhouette by label of the whole table: sums of distances by point and cluster, a pair of blocks at a time."""
+    ship(spark)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("v"))
+    blocks = max(1, -(-v.count() // _VECTORS))
+    v = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = v.select("vec_id", "label", "v", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+
+    def sums(key, frame):
+        import numpy as np
+        import pandas as pd
+
+        sides = [frame[frame["block"] == k] for k in key]
+        points = [np.array(side["v"].tolist(), float) for side in sides]
+        out = []
+        for one, two in ((0, 1), (1, 0)) if key[0] != key[1] else ((0, 1),):
+            if not len(points[0]) or not len(points[1]):
+                continue
+            names, cluster = np.unique(sides[two]["label"], return_inverse=True)
+            member = np.eye(len(names))[cluster]
+            n = np.tile(member.sum(axis=0), (len(points[one]), 1))
+            same = np.arange(len(n)) if key[0] == key[1] else np.full(len(n), -1)
+            if key[0] == key[1]:
+                n -= member
+            total = clustering.distance_sums(points[one], points[two], member, same)
+            i, k = np.nonzero(n)
+            out.append(pd.DataFrame({"i": sides[one]["vec_id"].to_numpy()[i], "own": sides[one]["label"].to_numpy()[i], "other": names[k], "total": total[i, k], "n": n[i, k].astype(int)}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("i", "own", "other", "total", "n")})
+
+    parts = dealt.groupBy("first", "second").applyInPandas(sums, "i long, own int, other int, total double, n long")
+    return _widths(parts.groupBy("i", "own", "other").agg((F.sum("total") / F.sum("n")).alias("mean")))
 
 
 _NT = 67
@@ -404,7 +447,16 @@ def family_entropy(spark, sf_dir):
 select a.uid, a.member as i, b.member as j, round(sqrt(avg((a.value - b.value) * (a.value - b.value))), 4) as rms from m a join m b on a.uid = b.uid and a.step = b.step and a.member < b.member group by all""")
 def pair_rms(spark, sf_dir):
     """Differences between all pairs of seeds of a series (six of them)."""
-    m = _ensemble(spark, sf_dir).where("member < 6")
+    return _pair_rms(_ensemble(spark, sf_dir).where("member < 6"))
+
+
+@query(SQL["pair_rms"].replace(" where member < 6", ""))
+def pair_rms_all_members(spark, sf_dir):
+    """Differences between all pairs of members of a series."""
+    return _pair_rms(_ensemble(spark, sf_dir))
+
+
+def _pair_rms(m: DataFrame) -> DataFrame:
     a, b = m.select("uid", "step", F.col("member").alias("i"), F.col("value").alias("a")), m.select("uid", "step", F.col("member").alias("j"), F.col("value").alias("b"))
     return a.join(b, ["uid", "step"]).where("i < j").groupBy("uid", "i", "j").agg(near(metrics.rms(F.col("a"), F.col("b")), 4).alias("rms"))
 
@@ -550,8 +602,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 select engine, round(avg(smape), 6) as mean_smape, round(median(smape), 6) as median_smape, round(avg(mase), 6) as mean_mase, round(median(mase), 6) as median_mase from e where uid in (select uid from k) group by engine""")
 def engine_summary(spark, sf_dir):
     """Engines compared on the series that all of them have."""
-    e = _scores(spark, sf_dir).where("strategy != 'mean' or uid < 'M'").withColumnRenamed("strategy", "engine")
-    s = reports.engine_summary(e)
+    return _engines(_scores(spark, sf_dir).where("strategy != 'mean' or uid < 'M'"))
+
+
+@query(SQL["engine_summary"].replace(" where strategy <> 'mean' or uid < 'M'", ""))
+def engine_summary_all(spark, sf_dir):
+    """All engines compared on the series that all of them have."""
+    return _engines(_scores(spark, sf_dir))
+
+
+def _engines(scores: DataFrame) -> DataFrame:
+    s = reports.engine_summary(scores.withColumnRenamed("strategy", "engine"))
     return s.select("engine", *(near(F.col(c)).alias(c) for c in s.columns if c != "engine"))
 
 
