@@ -38,10 +38,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least doc_id of each group of near copies stays."""
-    grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "class_id"))
-    first = grouped.groupBy("class_id").agg(F.min(F.struct("doc", "rid")).alias("head")).where("class_id is not null")
-    heads = first.select("head.rid").unionByName(grouped.where("class_id is null").select("rid")).distinct()
+    """The row with the least doc_id of each group of near copies stays; groups are told apart by their links, not by ids."""
+    grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "group_id"))
+    first = grouped.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc", "rid")).alias("head"))
+    heads = first.select("head.rid").unionByName(grouped.where("group_id is null").select("rid")).distinct()
     return _rows(docs).join(heads.hint("shuffle_hash"), "rid", "left_semi").dropDuplicates(["rid"]).select("row.*")
 
 

@@ -179,7 +179,7 @@ def _compare(threshold: Fraction):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, trees: int = 16, recall: float = 0.999) -> DataFrame:
-    """doc_id, rid, class_id (the least doc_id of the group) and n_links (other documents at the threshold)."""
+    """doc_id, rid, group_id (of the group; null without a word), class_id (its least doc_id) and n_links (other documents at the threshold)."""
     ship(docs.sparkSession)
     depth = prefix_depth(threshold, trees, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
@@ -214,10 +214,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tre
         .select("sid", "least", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
     heads = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_set = grouped.join(heads, "root").select("sid", "class_id", "n_links")
-    by_row = signed.select("rid", "sid").distinct().join(by_set, "sid").select("rid", "class_id", "n_links")
+    by_set = grouped.join(heads, "root").select("sid", "root", "class_id", "n_links")
+    by_row = signed.select("rid", "sid").distinct().join(by_set, "sid").select("rid", "root", "class_id", "n_links")
     joined = rows.select("doc_id", "rid").join(by_row, "rid", "left")
     return joined.select(
-        "doc_id", "rid", F.when(F.col("class_id") == _LAST, F.lit(None)).otherwise(F.coalesce("class_id", "doc_id")).cast("long").alias("class_id"),
+        "doc_id", "rid", F.col("root").alias("group_id"), F.when(F.col("class_id") == _LAST, F.lit(None)).otherwise(F.coalesce("class_id", "doc_id")).cast("long").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

@@ -57,7 +57,7 @@ def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("rid", "group_id")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

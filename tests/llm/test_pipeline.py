@@ -135,3 +135,12 @@ def test_short_passages_go(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.lines(spark, docs, "").collect()}
     want = {1: rows[0][1], 2: "second", 3: rows[2][1], 4: "fourth\n", 6: rows[5][1]}
     assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_groups_without_ids(spark):
+    """Different texts with one doc_id both stay; near copies without ids are one group."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (None, text("c")), (None, text("c") + " y"), (None, text("d")), (3, text("d") + " z"), (4, "..."), (5, None)]
+    got = {tuple(r) for r in pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert {rows[0], rows[1], rows[6], rows[7]} <= got and not {rows[2], rows[5]} & got
+    assert len({rows[3], rows[4]} & got) == 1
