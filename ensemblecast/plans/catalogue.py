@@ -526,21 +526,21 @@ def bootstrap_members(spark, sf_dir):
 @query()
 def ets_forecast(spark, sf_dir):
     s = packed(spark, sf_dir).select("uid", "m", "h", F.lit(0).alias("h_val"), F.lit(0).alias("member"), F.col("y_train").alias("y"))
-    out = experiment.forecasts(s, "ets", validate=False, most=300, starts=1)
+    out = experiment.forecasts(s, "ets", validate=False)
     return out.select("uid", "method", "fallback", F.posexplode("fc").alias("step", "value"))
 
 
 @query()
 def nbeats_forecast(spark, sf_dir):
     s = packed(spark, sf_dir).select("uid", "m", "h", F.lit(0).alias("h_val"), F.lit(0).alias("member"), F.col("y_train").alias("y"))
-    out = experiment.forecasts(s, "nbeats-i", validate=False, interpretable=True, max_epochs=40, width=64, seed=1)
+    out = experiment.forecasts(s, "nbeats-i", validate=False, interpretable=True, seed=1)
     return out.select("uid", "method", "fallback", F.posexplode("fc").alias("step", "value"))
 
 
 @query()
 def family_averaging(spark, sf_dir):
     s = packed(spark, sf_dir)
-    return experiment.family_scores(experiment.family_table(s, most=200, starts=1), s).select("uid", "strategy", "smape", "mase", "n_members")
+    return experiment.family_scores(experiment.family_table(s), s).select("uid", "strategy", "smape", "mase", "n_members")
 
 
 @query()
@@ -587,7 +587,7 @@ def strategy_sweep(spark, sf_dir):
 def bagged_pipeline(spark, sf_dir):
     """Bootstrap, validate and fit smoothing models, select by cluster, combine, score."""
     s = packed(spark, sf_dir)
-    artifacts = experiment.stage_a(s, MEMBERS, engine="ets", most=150, starts=1)
+    artifacts = experiment.stage_a(s, MEMBERS, engine="ets")
     return experiment.stage_b(artifacts, s, ["original", "none:trimmed", "topk", "cluster-k3"], 10).select("uid", "strategy", "smape", "mase", "n_members", "k_chosen")
 
 
@@ -673,7 +673,7 @@ def member0_ablation(spark, sf_dir):
 
 @query()
 def family_diagnostics(spark, sf_dir):
-    return experiment.family_diagnostics(experiment.family_table(packed(spark, sf_dir), most=200, starts=1))
+    return experiment.family_diagnostics(experiment.family_table(packed(spark, sf_dir)))
 
 
 @query()

@@ -59,3 +59,21 @@ def test_silhouette_by_blocks(spark, duck, monkeypatch):
     monkeypatch.setattr(catalogue, "_VECTORS", 60)
     got = catalogue.QUERIES["silhouette_all_vectors"](spark, DATA)
     assert rows(got.collect(), got.columns) == rows(duck.sql(catalogue.SQL["silhouette_all_vectors"]).fetchall(), got.columns)
+
+
+@pytest.mark.parametrize("name, step", [("ets_forecast", "forecasts"), ("nbeats_forecast", "forecasts"), ("family_averaging", "family_table"), ("family_diagnostics", "family_table"), ("bagged_pipeline", "stage_a")])
+def test_whole_searches(spark, monkeypatch, name, step):
+    """Registered queries search with the operators' defaults."""
+    found = {}
+
+    class Seen(Exception):
+        pass
+
+    def seen(*_, **knobs):
+        found.update(knobs)
+        raise Seen
+
+    monkeypatch.setattr(catalogue.experiment, step, seen)
+    with pytest.raises(Seen):
+        catalogue.QUERIES[name](spark, DATA)
+    assert not {"most", "starts", "max_epochs", "width"} & found.keys()
