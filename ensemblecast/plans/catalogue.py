@@ -257,25 +257,15 @@ def _widths(means: DataFrame) -> DataFrame:
     return w.groupBy("label").agg(F.count("*").alias("n"), near(F.avg(width), 5).alias("width"))
 
 
-@query(f"""with e as (select * from embeddings where vec_id < 200), d as (select a.vec_id as i, a.label as own, b.label as other, {_L2} as d from e a join e b on a.vec_id <> b.vec_id),
-m as (select i, own, other, avg(d) as mean from d group by all),
-w as (select i, any_value(own) as label, max(case when own = other then mean end) as a, min(case when own <> other then mean end) as b from m group by i)
-select label, count(*) as n, round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 5) as width from w group by label""")
-def silhouette_given_labels(spark, sf_dir):
-    """Silhouette by label of a pool of 200 vectors; the pool's bound belongs to the method."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = v.select(F.col("vec_id").alias("i"), F.col("label").alias("own"), F.col("v").alias("a")), v.select(F.col("vec_id").alias("j"), F.col("label").alias("other"), F.col("v").alias("b"))
-    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    means = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i", "own", "other").agg(F.avg(F.sqrt(gap)).alias("mean"))  # 200 rows at most
-    return _widths(means)
-
-
 #: Vectors of a block (about, as they are dealt by hash); a task holds two.
 _VECTORS = 4096
 
 
-@query(SQL["silhouette_given_labels"].replace(" where vec_id < 200", ""))
-def silhouette_all_vectors(spark, sf_dir):
+@query(f"""with e as (select * from embeddings), d as (select a.vec_id as i, a.label as own, b.label as other, {_L2} as d from e a join e b on a.vec_id <> b.vec_id),
+m as (select i, own, other, avg(d) as mean from d group by all),
+w as (select i, any_value(own) as label, max(case when own = other then mean end) as a, min(case when own <> other then mean end) as b from m group by i)
+select label, count(*) as n, round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 5) as width from w group by label""")
+def silhouette_given_labels(spark, sf_dir):
     """Silhouette by label of the whole table: sums of distances by point and cluster, a pair of blocks at a time."""
     ship(spark)
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("v"))
@@ -443,15 +433,9 @@ def family_entropy(spark, sf_dir):
     return f.select("uid", "n_members_refit", "n_families", (near(F.col("family_entropy")) + 0.0).alias("family_entropy"), near(F.col("modal_share")).alias("modal_share"), "modal_family", near(F.col("n_eff_families")).alias("n_eff_families"))
 
 
-@query(f"""{_ENSEMBLE}, m as (select uid, member, step, value from ens where member < 6)
+@query(f"""{_ENSEMBLE}, m as (select uid, member, step, value from ens)
 select a.uid, a.member as i, b.member as j, round(sqrt(avg((a.value - b.value) * (a.value - b.value))), 4) as rms from m a join m b on a.uid = b.uid and a.step = b.step and a.member < b.member group by all""")
 def pair_rms(spark, sf_dir):
-    """Differences between all pairs of seeds of a series (six of them)."""
-    return _pair_rms(_ensemble(spark, sf_dir).where("member < 6"))
-
-
-@query(SQL["pair_rms"].replace(" where member < 6", ""))
-def pair_rms_all_members(spark, sf_dir):
     """Differences between all pairs of members of a series."""
     return _pair_rms(_ensemble(spark, sf_dir))
 
@@ -461,14 +445,14 @@ def _pair_rms(m: DataFrame) -> DataFrame:
     return a.join(b, ["uid", "step"]).where("i < j").groupBy("uid", "i", "j").agg(near(metrics.rms(F.col("a"), F.col("b")), 4).alias("rms"))
 
 
-@query("""with h as (select o_custkey, count(*) as n, cast(sum(o_totalprice) * 100 as bigint) as cents from orders group by o_custkey) select c.c_custkey as uid, coalesce(n, 0) as done from customer c left join h on h.o_custkey = c.c_custkey where n is null""")
+@query("select c_custkey as uid from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
 def unfinished_series(spark, sf_dir):
-    """Wanted series without an artifact: an anti-join."""
-    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"))
-    done = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("uid"))
+    """Wanted series without a finished artifact: an anti-join."""
     from ensemblecast.sources.store import missing
 
-    return missing(wanted, done).select("uid", F.lit(0).cast("long").alias("done"))
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("uid"))
+    done = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("uid"))
+    return missing(wanted, done)
 
 
 # What SQL can't express: kernels, compared with published values in tests/.
@@ -598,15 +582,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Comparisons and choices of series.
 
 
-@query(f"""{_SCORES}, e as (select uid, strategy as engine, smape, mase from scores where strategy <> 'mean' or uid < 'M'), k as (select uid from e group by uid having count(distinct engine) = (select count(distinct engine) from e))
+@query(f"""{_SCORES}, e as (select uid, strategy as engine, smape, mase from scores), k as (select uid from e group by uid having count(distinct engine) = (select count(distinct engine) from e))
 select engine, round(avg(smape), 6) as mean_smape, round(median(smape), 6) as median_smape, round(avg(mase), 6) as mean_mase, round(median(mase), 6) as median_mase from e where uid in (select uid from k) group by engine""")
 def engine_summary(spark, sf_dir):
-    """Engines compared on the series that all of them have."""
-    return _engines(_scores(spark, sf_dir).where("strategy != 'mean' or uid < 'M'"))
-
-
-@query(SQL["engine_summary"].replace(" where strategy <> 'mean' or uid < 'M'", ""))
-def engine_summary_all(spark, sf_dir):
     """All engines compared on the series that all of them have."""
     return _engines(_scores(spark, sf_dir))
 

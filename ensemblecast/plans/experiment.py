@@ -92,7 +92,7 @@ def select(artifacts: DataFrame, specs: list[Spec], n: int = 100, seeds: tuple[i
     """(uid, strategy, seed, member): the chosen members of every strategy and seed.
 
     Simple strategies are windows. The others need a series' whole pool (a bounded number of members) at once.
-    Series without validation get a random subset.
+    Members whose error isn't a number come last; series without any validation get a random subset.
     """
     ship(artifacts.sparkSession)
     windowed = [s for s in specs if s.strategy is None or isinstance(s.strategy, FirstN)]
@@ -104,15 +104,16 @@ def select(artifacts: DataFrame, specs: list[Spec], n: int = 100, seeds: tuple[i
         rows = artifacts if count is None else artifacts.where(F.col("member") < count)
         frames.append(rows.select("uid", F.lit(s.label).alias("strategy"), every_seed, "member", F.lit(None).cast("int").alias("k_chosen"), F.lit("selected").alias("how")))
     top = [s for s in others if isinstance(s.strategy, TopK)]
-    checked = artifacts.where("val_err is not null")
     if top:
-        best = checked.withColumn("rn", ranks.ordinal_rank("val_err", "member", "uid")).where(F.col("rn") <= n)
+        judged = artifacts.withColumn("checked", F.max(F.col("val_err").isNotNull()).over(Window.partitionBy("uid")))
+        order = F.struct(F.coalesce("val_err", F.lit(float("nan"))).alias("e"), "member")
+        best = judged.where("checked").withColumn("rn", F.row_number().over(Window.partitionBy("uid").orderBy(order))).where(F.col("rn") <= n)
         for s in top:
             frames.append(best.select("uid", F.lit(s.label).alias("strategy"), every_seed, "member", F.lit(None).cast("int").alias("k_chosen"), F.lit("selected").alias("how")))
 
     def choose(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("member")
-        known = frame["val_err"].notna().all()
+        known = frame["checked"].any()
         out = []
         made = None
         if known:
@@ -131,7 +132,7 @@ def select(artifacts: DataFrame, specs: list[Spec], n: int = 100, seeds: tuple[i
         return pd.DataFrame(out, columns=[c.split()[0] for c in SELECTED.split(", ")])
 
     if others:
-        frames.append(artifacts.select("uid", "member", "y", "val_fc", "val_err", "h_val", "y_train").groupBy("uid").applyInPandas(choose, SELECTED))
+        frames.append(artifacts.select("uid", "member", "y", "val_fc", "val_err", "h_val", "y_train", F.col("val_err").isNotNull().alias("checked")).groupBy("uid").applyInPandas(choose, SELECTED))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,7 +49,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, f"{root.name}.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -57,15 +60,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The reliable folder that the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master gets one of its own; on a cluster that is an error, as executors share no
+    local folder.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = tempfile.mkdtemp(prefix="ensemblecast-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and a cluster ({sc.master}) needs a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="ensemblecast-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

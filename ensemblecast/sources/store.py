@@ -51,15 +51,17 @@ class Store:
         return sorted(found)
 
     def put_bytes(self, key: str, body: bytes) -> None:
-        """All or nothing: written beside its place, then moved there."""
+        """All or nothing: written beside its place, then moved there in one step that replaces what was there."""
         path, fs = self._path(key)
         draft, _ = self._path(f"{key}.part")
         out = fs.create(draft, True)
         out.write(bytearray(body))
         out.close()
-        fs.delete(path, False)
-        if not fs.rename(draft, path):
-            raise OSError(f"can't publish {self.uri(key)}")
+        jvm = self.spark._jvm
+        replace = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
+        kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = replace
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, kinds)
 
     def get_bytes(self, key: str) -> bytes:
         rows = self.spark.read.format("binaryFile").load(self.uri(key)).select("content").collect()

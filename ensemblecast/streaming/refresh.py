@@ -19,11 +19,14 @@ def period_totals(stream: DataFrame, time: str, key: str, value: str, period: st
 
 
 def refresh(totals: DataFrame, history: Callable[[], DataFrame], forecast: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
-    """Each batch: add its totals to ``history()``, forecast the series it touched, append to ``sink``."""
+    """Each batch: add its totals to ``history()`` (without them), forecast the series it touched, write ``sink/batch=N``.
+
+    A batch that Spark replays after a failure replaces what it wrote before.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         touched = batch.select("uid").distinct()
         rows = history().join(touched, "uid", "left_semi").unionByName(batch)
-        forecast(rows).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        forecast(rows).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
 
     return totals.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).start()

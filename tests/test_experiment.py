@@ -10,6 +10,7 @@ from ensemblecast.plans import cli, experiment, reports, strategies
 from ensemblecast.plans.model import BaggedForecaster
 from ensemblecast.sources import series as sources
 from ensemblecast.sources import store
+from ensemblecast import session
 from ensemblecast.streaming import refresh
 
 
@@ -248,3 +249,58 @@ def test_instability(spark):
     first = found["table"].iloc[0]
     assert first["rho"] == pytest.approx(1) and first["supported"] and not found["table"].iloc[3]["supported"]
     assert [r["n"] for r in found["quartiles"].orderBy("q").collect()] == [5, 5, 5, 5]
+
+
+def test_errors_that_are_no_numbers_come_last(spark):
+    """A NaN error ranks its member last; the other members are chosen as before."""
+    errors = [3.0, float("nan"), 1.0, 4.0, 2.0, 5.0]
+    rows = [("s", 4, 2, 2, k, [float(k + t) for t in range(8)], [10.0 + k, 11.0], e, [1.0] * 6 + [10.0, 11.0]) for k, e in enumerate(errors)]
+    pool = spark.createDataFrame(rows, "uid string, m int, h int, h_val int, member int, y array<double>, val_fc array<double>, val_err double, y_train array<double>")
+    specs = [experiment.parse(t) for t in ("topk", "greedy", "portfolio", "cluster-k2")]
+    got = {}
+    for r in experiment.select(pool, specs, 3).collect():
+        assert r["how"] == "selected"
+        got.setdefault(r["strategy"], []).append(r["member"])
+    assert sorted(got["topk"]) == [0, 2, 4]
+    assert all(len(v) == len(set(v)) for v in got.values())
+    five = experiment.select(pool, [experiment.parse("topk")], 6).collect()
+    assert sorted(r["member"] for r in five) == list(range(6))
+
+
+def test_replayed_batches_count_once(spark, tmp_path):
+    steps = []
+
+    class Writer:
+        outputMode = foreachBatch = option = start = lambda self, *a, **k: steps.append(a[0]) if a and callable(a[0]) else self
+
+    class Totals:
+        writeStream = Writer()
+
+    Writer.foreachBatch = lambda self, f: steps.append(f) or self
+    none = spark.createDataFrame([], "uid string, y double")
+    refresh.refresh(Totals(), lambda: none, lambda rows: rows, str(tmp_path / "out"), "cp")
+    batch = spark.createDataFrame([("a", 1.0)], "uid string, y double")
+    for number in (0, 0, 1):
+        steps[0](batch, number)
+    assert sorted(r["batch"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1]
+
+
+def test_clusters_need_a_shared_folder(tmp_path):
+    class Conf:
+        named = None
+
+        def get(self, key, default=None):
+            return self.named
+
+    class Dir:
+        isEmpty = lambda self: True
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Dir()})()})()
+
+    fake = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake)
+    Conf.named = str(tmp_path)
+    assert session.shared_folder(fake) == str(tmp_path)

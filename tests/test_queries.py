@@ -48,17 +48,17 @@ def test_query(spark, duck, name):
 def test_whole_tables(spark, duck):
     """Nothing is left out by id: every vector, every engine and every pair of members."""
     n = dict(duck.sql("select label, count(*) from embeddings group by label").fetchall())
-    got = {r["label"]: r["n"] for r in catalogue.QUERIES["silhouette_all_vectors"](spark, DATA).collect()}
+    got = {r["label"]: r["n"] for r in catalogue.QUERIES["silhouette_given_labels"](spark, DATA).collect()}
     assert got == n
-    assert {r["engine"] for r in catalogue.QUERIES["engine_summary_all"](spark, DATA).collect()} == {"naive", "seasonal", "mean", "year"}
-    pairs = catalogue.QUERIES["pair_rms_all_members"](spark, DATA).groupBy("uid").count().collect()
+    assert {r["engine"] for r in catalogue.QUERIES["engine_summary"](spark, DATA).collect()} == {"naive", "seasonal", "mean", "year"}
+    pairs = catalogue.QUERIES["pair_rms"](spark, DATA).groupBy("uid").count().collect()
     assert {r["count"] for r in pairs} == {catalogue.MEMBERS * (catalogue.MEMBERS - 1) // 2}
 
 
 def test_silhouette_by_blocks(spark, duck, monkeypatch):
     monkeypatch.setattr(catalogue, "_VECTORS", 60)
-    got = catalogue.QUERIES["silhouette_all_vectors"](spark, DATA)
-    assert rows(got.collect(), got.columns) == rows(duck.sql(catalogue.SQL["silhouette_all_vectors"]).fetchall(), got.columns)
+    got = catalogue.QUERIES["silhouette_given_labels"](spark, DATA)
+    assert rows(got.collect(), got.columns) == rows(duck.sql(catalogue.SQL["silhouette_given_labels"]).fetchall(), got.columns)
 
 
 @pytest.mark.parametrize("name, step", [("ets_forecast", "forecasts"), ("nbeats_forecast", "forecasts"), ("family_averaging", "family_table"), ("family_diagnostics", "family_table"), ("bagged_pipeline", "stage_a")])
