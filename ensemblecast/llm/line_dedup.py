@@ -10,8 +10,14 @@ Counts and firsts are pre-aggregated, no pairs are made.
 With ``words``, shorter runs count too if they hold that many words (anything between white space): each such run is
 a fingerprint of itself, so passages that stand on fewer than ``run`` lines are found as well.
 
+Lines are compared by 96 bits of two hash functions, rows by a hash and their id. What is counted by a key is
+written before it is joined by that key, so that both sides of the join are plain shuffles of tables, which adaptive
+execution splits where a line or a run is very common.
+
 A null text has no lines and stays null; a null doc_id counts as the largest; rows with the same doc_id and place
-never remove from each other; an empty table gives an empty result; other columns are ignored.
+never remove from each other (a tie); equal rows have equal results; a text may have any number of lines, which are
+rows of their own from the first step on, and any length; an empty table gives an empty result; other columns are
+ignored unless they are carried.
 """
 
 from __future__ import annotations
@@ -41,54 +47,59 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False, words: in
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []),
     )
-    sized = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.lit(0) if words is None else F.regexp_count(x, F.lit(_WORD + "+"))).alias("w"))
+    sized = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), (F.lit(0) if words is None else F.regexp_count(x, F.lit(_WORD + "+"))).alias("w"))
     hashed = rows.where("text is not null").select("rid", "doc", F.transform(F.filter(lines, lambda x: x.rlike(_WORD)), sized).alias("l"))
-    hashed = hashed.select("rid", "doc", F.col("l.h").alias("h"), F.col("l.w").alias("w")).where(F.size("h") >= (run if words is None else 1))
+    hashed = hashed.select("rid", "doc", F.col("l.h").alias("h"), F.col("l.g").alias("g"), F.col("l.w").alias("w")).where(F.size("h") >= (run if words is None else 1))
 
     def joint(at, n):
         return F.xxhash64(*[F.col("h")[at + F.lit(k)] for k in range(n)])
 
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - core), lambda p: F.struct(joint(p, core).alias("key"), p.alias("pos")))
-    windows = F.transform(F.sequence(F.lit(1), F.size("h") - run + 1), lambda s: F.array_min(F.slice("grams", s, WINDOW)))
+    def check(at, n):
+        """Of another hash function, for the run that ``joint`` stands for."""
+        return F.hash(*[F.col("g")[at + F.lit(k)] for k in range(n)])
+
     def enough(at, n):
         return sum((F.col("w")[at + F.lit(k)] for k in range(n)), F.lit(0)) >= words
 
+    def mark(at, n, key):
+        return F.struct(key.alias("key"), (check(at, n) if n < run else F.lit(0)).alias("check"), at.alias("pos"), F.lit(n).alias("n"))
+
+    def of_size(n, found):
+        return F.when(F.size("h") >= n, found).otherwise(F.array().cast("array<struct<key: long, check: int, pos: int, n: int>>"))
+
     def short(n):
         """Runs of ``n`` lines with enough words, but for those that two shorter ones cover."""
         at = F.filter(F.sequence(F.lit(0), F.size("h") - n), lambda p: enough(p, n) & ~(enough(p, n - 1) & enough(p + F.lit(1), n - 1) if n > 1 else F.lit(False)))
-        return _from_size(n, F.transform(at, lambda p: F.struct(joint(p, n).alias("key"), p.alias("pos"), F.lit(n).alias("n"))))
-
-    def _from_size(n, found):
-        return F.when(F.size("h") >= n, found).otherwise(F.array().cast("array<struct<key: long, pos: int, n: int>>"))
+        return of_size(n, F.transform(at, lambda p: mark(p, n, joint(p, n))))
 
-    marks = [_from_size(run, F.transform(F.array_distinct(windows), lambda f: F.struct(f["key"].alias("key"), f["pos"].alias("pos"), F.lit(run).alias("n"))))]
+    grams = F.transform(F.sequence(F.lit(0), F.size("h") - core), lambda p: F.struct(joint(p, core).alias("key"), p.alias("pos")))
+    windows = F.transform(F.sequence(F.lit(1), F.size("h") - run + 1), lambda s: F.array_min(F.slice("grams", s, WINDOW)))
+    marks = [of_size(run, F.transform(F.array_distinct(windows), lambda f: mark(f["pos"], run, f["key"])))]
     marks += [short(n) for n in range(1, run)] if words is not None else []
     start = F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0))
+    around = lambda c: F.when(F.col("f.n") == run, F.slice(c, start + 1, F.col("f.pos") + core + WINDOW - 1 - start)).alias(c)
     marked = cut(
         hashed.withColumn("grams", F.when(F.size("h") >= run, grams)).withColumn("f", F.explode(F.concat(*marks)))
-        .select(
-            "rid", "doc", "f.key", "f.pos", "f.n", F.size("h").alias("total"), start.alias("from"),
-            F.when(F.col("f.n") == run, F.slice("h", start + 1, F.col("f.pos") + core + WINDOW - 1 - start)).alias("h"),
-        )
+        .select("rid", "doc", "f.key", "f.check", "f.pos", "f.n", F.size("h").alias("total"), start.alias("from"), around("h"), around("g"))
     )
     fingerprints = marked.where(F.col("n") == run)
-    again = fingerprints.groupBy("key").count().where("count > 1").select("key")
-    extended = fingerprints.join(again, "key").select(
-        "rid", "doc", "from", "total", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: joint(s, run))).alias("s", "runkey")
-    ).select("rid", "doc", "total", (F.col("from") + F.col("s")).alias("at"), F.lit(run).alias("n"), "runkey", F.col("runkey").alias("k"))
+    again = cut(fingerprints.groupBy("key").count().where("count > 1").select("key"))
+    found = fingerprints.join(again, "key").select(
+        "rid", "doc", "total", "from", "h", "g", F.explode(F.sequence(F.lit(0), F.size("h") - run)).alias("s")
+    ).select("rid", "doc", "total", (F.col("from") + F.col("s")).alias("at"), F.lit(run).alias("n"), joint(F.col("s"), run).alias("key"), check(F.col("s"), run).alias("check"))
     if words is not None:
-        few = marked.where(F.col("n") < run)
-        extended = extended.unionByName(few.select("rid", "doc", "total", F.col("pos").alias("at"), "n", F.col("key").alias("runkey"), F.col("key").alias("k")))
-    firsts = extended.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
-    firsts = firsts.where("first < last").select("k", "first")
-    later = extended.drop("k").join(firsts, F.col("runkey") == F.col("k")).where(F.struct("doc", "at") > F.col("first"))
+        found = found.unionByName(marked.where(F.col("n") < run).select("rid", "doc", "total", F.col("pos").alias("at"), "n", "key", "check"))
+    found = cut(found)
+    firsts = found.groupBy("key", "check").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
+    firsts = cut(firsts.where("first < last").select("key", "check", "first"))
+    later = found.join(firsts, ["key", "check"]).where(F.struct("doc", "at") > F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    gone = later.groupBy("rid").agg(F.collect_set(F.struct("at", "n")).alias("starts"), F.max("total").alias("total"))
-    gone = gone.select("rid", covered.alias("covered"), (F.size(covered) == F.col("total")).alias("all"))
+    gone = later.groupBy("rid", "doc").agg(F.collect_set(F.struct("at", "n")).alias("starts"), F.max("total").alias("total"))
+    gone = gone.select("rid", "doc", covered.alias("covered"), (F.size(covered) == F.col("total")).alias("all"))
 
     full = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.element_at("l", i + 1).rlike(_WORD))
     kept = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform("covered", lambda j: F.element_at(F.col("full"), j + 1)))
-    split = rows.drop("doc").join(gone.hint("shuffle_hash"), "rid", "left").withColumn("l", lines)
+    split = rows.join(gone.hint("shuffle_hash"), ["rid", "doc"], "left").withColumn("l", lines)
     out = split.withColumn("full", F.when(F.col("covered").isNotNull(), full)).withColumn("kept", F.when(F.col("covered").isNotNull(), kept))
     out = out.withColumn("kept_text", F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.element_at(F.col("l"), i + 1)), "\n")))
     return out.select(

@@ -42,4 +42,4 @@ k as (select w.r, string_agg(w, ' ' order by w.p) as body, count(*) as n from w
 select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join k on d.r = k.r
 """
 
-SQL = {"op4_quality": QUALITY, "op6_line_dedup": line_dedup.SQL, "op7_jaccard_join": JACCARD, "op8_substring_dedup": SUBSTRING}
+SQL = {"op4_quality": QUALITY, "op6_line_dedup": line_dedup.passage_sql(), "op7_jaccard_join": JACCARD, "op8_substring_dedup": SUBSTRING}

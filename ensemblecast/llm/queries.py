@@ -48,11 +48,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "rid", "emptied")
-
-
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op6_line_dedup, and passages of 50 words on one or two lines go too."""
+    """Runs of three lines, and passages of 50 words on one or two lines."""
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=line_dedup.PASSAGE).drop("kept_text", "rid", "emptied")
 
 
@@ -82,11 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
-    "op6_passage_dedup": op6_passage_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = dict(oracles.SQL) | {"op6_passage_dedup": line_dedup.passage_sql(line_dedup.PASSAGE)}
+SQL: dict[str, str] = dict(oracles.SQL)
