@@ -11,7 +11,11 @@ the *core*, the ``length - reach + 1`` units from the anchor on, lies in all of
    window by window. Groups of over ``BLOCK`` representatives are salted into blocks; windows that a block
    can't decide are settled by hash across blocks, one row for each different window.
 
-No step gathers a group of unknown size in one task, and none makes pairs.
+No step gathers a group of unknown size in one task, and none makes pairs. What is counted by a key is written
+before it is joined by that key: both sides of each join are then plain shuffles of tables, which adaptive execution
+splits where a core is very common.
+
+A text may be of any length: positions are 43 bits wide, and anchors are chosen a section at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from ensemblecast.session import cut, ship
 
 #: Representatives of one core that a kernel takes at once.
 BLOCK = 256
+#: Bits of a position in a section of windows, beside which the other bits of a word compare hashes.
+SECTION_BITS = 28
 LAST = (1 << 63) - 1
 
 
@@ -55,14 +61,17 @@ def units(data: np.ndarray, offs: np.ndarray, unit: str) -> tuple[np.ndarray, np
 
 def sliding_argmin(values: np.ndarray, reach: int) -> np.ndarray:
     """Position of the leftmost least value of each window of ``reach``."""
-    n = len(values)
-    tagged = ((values >> np.uint64(28)) << np.uint64(28)) | np.arange(n, dtype=np.uint64)
+    n, section = len(values), (1 << SECTION_BITS) - reach
+    if n > section + reach - 1:
+        return np.concatenate([sliding_argmin(values[at : at + section + reach - 1], reach) + at for at in range(0, n - reach + 1, section)])
+    low = np.uint64(SECTION_BITS)
+    tagged = ((values >> low) << low) | np.arange(n, dtype=np.uint64)
     pad = np.full(-n % reach, np.iinfo(np.uint64).max, np.uint64)
     blocks = np.concatenate([tagged, pad]).reshape(-1, reach)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - reach + 1], ahead[reach - 1 : n])
-    return (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+    return (least & np.uint64((1 << SECTION_BITS) - 1)).astype(np.int64)
 
 
 def anchors(values: np.ndarray, offs: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
@@ -158,10 +167,7 @@ def _kernel(spec: Spec, decide: Callable[[list[Group], Spec], list[list[tuple[np
         out: list[tuple] = []
         for (key, hot, rows), found in zip(groups, decide([g[2] for g in groups], spec)):
             for (ctx, doc, left, seg), (covered, open_) in zip(rows, found):
-                if len(covered):
-                    edge = np.flatnonzero(np.diff(covered) > 1)
-                    for a, b in zip(covered[np.append(0, edge + 1)], covered[np.append(edge, len(covered) - 1)]):
-                        out.append((key, ctx, int(a), int(b) + spec.length, None, None, doc))
+                out.extend((key, ctx, a, b + spec.length, None, None, doc) for a, b in _stretches(covered))
                 if hot and len(open_):
                     flat = np.frombuffer(seg, np.uint8 if per == 1 else np.uint64)
                     values = tk.BYTE_VALUES[0][flat] if per == 1 else flat
@@ -169,9 +175,7 @@ def _kernel(spec: Spec, decide: Callable[[list[Group], Spec], list[list[tuple[np
                         h = tk.range_hash(tk.prefix(values, which), open_, open_ + spec.length, which).view(np.int64)
                         h1, h2 = (h, None) if name == "h1" else (h1, h)
                     out.extend((key, ctx, int(a), int(a) + spec.length, int(x), int(y), doc) for a, x, y in zip(open_, h1, h2))
-        columns = list(zip(*out)) if out else [()] * 7
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "ctx", "a", "b", "h1", "h2", "doc"])
+        return _decided(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[tuple[int, bool, Group]] = []
@@ -195,6 +199,52 @@ def _kernel(spec: Spec, decide: Callable[[list[Group], Spec], list[list[tuple[np
     return run
 
 
+@dataclass(frozen=True)
+class Broadcast:
+    """How reference shards of ``most_bytes`` segments in all, or less, are broadcast instead of shuffled.
+
+    ``build`` makes a shard of a group; ``stream`` gives the window starts of one segment that repeat in it.
+    """
+
+    build: Callable[[Group, Spec], object]
+    stream: Callable[[object, int, int, bytes, Spec], np.ndarray]
+    most_bytes: int
+
+
+_DECIDED = "key long, ctx long, a int, b int, h1 long, h2 long, doc long"
+
+
+def _streamed(segments: DataFrame, spec: Spec, how: Broadcast) -> DataFrame:
+    groups: dict[int, dict[int, tuple]] = {}
+    for r in segments.orderBy("key", "doc", "ctx").collect():  # no more than how.most_bytes
+        groups.setdefault(r["key"], {}).setdefault(r["ctx"], (r["ctx"], r["doc"], r["left"], bytes(r["seg"])))
+    shared = segments.sparkSession.sparkContext.broadcast({key: how.build(list(g.values()), spec) for key, g in groups.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, ctx, doc, left, seg in zip(*(c.to_pylist() for c in batch.columns)):
+                for a, b in _stretches(how.stream(shared.value[key], doc, left, seg, spec)):
+                    out.append((key, ctx, a, b + spec.length, None, None, doc))
+            yield _decided(out)
+
+    return segments.select("key", "ctx", "doc", "left", "seg").mapInArrow(run, _DECIDED)
+
+
+def _stretches(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last of each stretch of neighbouring window starts."""
+    if len(starts):
+        edge = np.flatnonzero(np.diff(starts) > 1)
+        for a, b in zip(starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)]):
+            yield int(a), int(b)
+
+
+def _decided(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 7
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _DECIDED.split(", ")])
+
+
 #: ``finish(texts, spans or None per text) -> columns`` computes an operator's result for a run of texts.
 Finish = Callable[[pa.Array, list], list[pa.Array]]
 
@@ -221,59 +271,59 @@ def _finish(finish: Finish, names: list[str], touched: bool) -> Callable:
     return run
 
 
-def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finish, schema: str) -> DataFrame:
+def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finish, schema: str, broadcast: Broadcast | None = None) -> DataFrame:
     """``schema`` (doc_id first) for every row of ``docs``, the repeated units of each text given to ``finish``.
 
     Texts are shuffled once. Those without a repeated core are finished then and there; the others are kept in a
     table, for their segments and their results.
     """
     ship(docs.sparkSession)
-    docs = with_rid(docs)
+    docs, own = with_rid(docs), ["rid", "doc"]
     rows = cut(docs.select("rid", "doc", "text").mapInArrow(_anchor_rows(spec), "key long, ctx long, rid long, doc long, place long, run long"))
     times, step = F.col("run").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("run", 32)
     keys = rows.groupBy("key").agg(F.sum(times).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"), (F.min("ctx") == F.max("ctx")).alias("alike"))
-    # as a table, so that Spark can split the rows of a hot core over several tasks when it joins
     keys = cut(keys.where("first < last" if spec.earlier_only else "n > 1").select("key", "first", "alike"))
     found = cut(rows.join(keys, "key"))
     mixed = found.where("not alike").select("key", "ctx", "rid", "doc", "place", "run")
     classes = cut(mixed.groupBy("key", "ctx").agg(F.sum(times).alias("n"), F.min("doc").alias("first"), F.min(F.struct("doc", "rid", "place")).alias("rep")))
-    sizes = classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = classes.join(sizes, "key").select(F.col("rep.rid").alias("rid"), F.struct("key", "ctx", "rep.doc", "blocks", "rep.place").alias("p"))
+    sizes = cut(classes.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    wanted = classes.join(sizes, "key").select(F.col("rep.rid").alias("rid"), F.col("rep.doc").alias("doc"), F.struct("key", "ctx", "rep.doc", "blocks", "rep.place").alias("p"))
     # every text with a repeated core has a list, if only an empty one
-    touched = found.select("rid").distinct().select("rid", F.lit(None).cast(wanted.schema["p"].dataType).alias("p"))
-    picked = wanted.unionByName(touched).groupBy("rid").agg(F.collect_list("p").alias("picked"))
+    touched = found.select(*own).distinct().select(*own, F.lit(None).cast(wanted.schema["p"].dataType).alias("p"))
+    picked = wanted.unionByName(touched).groupBy(*own).agg(F.collect_list("p").alias("picked"))
     names = [c.split()[0] for c in schema.split(", ")]
     kept = cut(
-        docs.select("doc_id", "text", "rid").join(picked.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "rid", "picked")
+        docs.join(picked.hint("shuffle_hash"), own, "left").select("doc_id", "text", "rid", "picked")
         .mapInArrow(_finish(finish, names, False), f"{schema}, rid long, text string, picked array<{wanted.schema['p'].dataType.simpleString()}>")
     )
     segments = kept.where("size(picked) > 0").select("text", "picked").mapInArrow(_segments(spec), "key long, ctx long, doc long, blocks int, left int, seg binary")
-    decided = cut(
-        segments.withColumn("salt", F.pmod("ctx", "blocks"))
-        .repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "ctx")
-        .mapInArrow(_kernel(spec, decide), "key long, ctx long, a int, b int, h1 long, h2 long, doc long")
-    )
+    widest = (spec.core + 2 * spec.reach) * (1 if spec.unit == "bytes" else 8)
+    if broadcast and classes.count() * widest <= broadcast.most_bytes:
+        decided = cut(_streamed(segments, spec, broadcast))
+    else:
+        decided = cut(
+            segments.withColumn("salt", F.pmod("ctx", "blocks"))
+            .repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "ctx")
+            .mapInArrow(_kernel(spec, decide), _DECIDED)
+        )
     across = decided.where("h1 is not null")
     settled = across.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"))
-    settled = settled.where("least < most" if spec.earlier_only else "n > 1").select("key", "h1", "h2", "least")
+    settled = cut(settled.where("least < most" if spec.earlier_only else "n > 1").select("key", "h1", "h2", "least"))
     hot = across.join(settled, ["key", "h1", "h2"]).where("doc > least" if spec.earlier_only else "true")
     windows = decided.where("h1 is null").select("key", "ctx", "a", "b").unionByName(hot.select("key", "ctx", "a", "b"))
+    per_class = cut(windows.groupBy("key", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("w")))
+    verdicts = cut(classes.select("key", "ctx", "n", "first").join(per_class, ["key", "ctx"], "left"))
 
     pos, left, right = unpack(F.col("place"))
     # steps are shorter than what one anchor covers, so a run covers everything from its first to its last
-    whole = [(pos - left).cast("int").alias("a"), (pos + (times - 1) * step + spec.core + right).cast("int").alias("b")]
-    plain = found.where("alike" + (" and doc > first" if spec.earlier_only else "")).select("rid", *whole)
-    known = mixed.join(classes.select("key", "ctx", "n", "first"), ["key", "ctx"])
-    taken = "doc > first" if spec.earlier_only else "n > 1"
-    per_class = windows.groupBy("key", "ctx").agg(F.collect_set(F.struct("a", "b")).alias("w"))
-    by_kernel = known.where(f"not ({taken})").join(per_class, ["key", "ctx"]).select("rid", (pos - left).alias("at"), step.alias("step"), F.explode("w").alias("w"), times.alias("times"))
-    by_kernel = by_kernel.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).select("rid", (F.col("at") + F.col("k") * F.col("step")).cast("int").alias("at"), "w")
-    spans = (
-        plain.unionByName(known.where(taken).select("rid", *whole))
-        .unionByName(by_kernel.select("rid", (F.col("at") + F.col("w.a")).alias("a"), (F.col("at") + F.col("w.b")).alias("b")))
-        .groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    )
-    rest = kept.where("picked is not null").select("doc_id", "text", "rid").join(spans.hint("shuffle_hash"), "rid", "left")
+    at, far = (pos - left).cast("int"), ((times - 1) * step).cast("int")
+    whole = F.array(F.struct(at.alias("a"), (at + left.cast("int") + far + F.lit(spec.core) + right.cast("int")).alias("b")))
+    plain = found.where("alike" + (" and doc > first" if spec.earlier_only else "")).select(*own, whole.alias("s"))
+    by_kernel = F.transform("w", lambda w: F.struct((at + w["a"]).alias("a"), (at + far + w["b"]).alias("b")))
+    known = mixed.join(verdicts, ["key", "ctx"])
+    known = known.select(*own, F.when(F.expr("doc > first" if spec.earlier_only else "n > 1"), whole).otherwise(by_kernel).alias("s")).where("s is not null")
+    spans = plain.unionByName(known).select(*own, F.explode("s").alias("s")).groupBy(*own).agg(F.collect_set("s").alias("spans"))
+    rest = kept.where("picked is not null").select("doc_id", "text", "rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc")).join(spans.hint("shuffle_hash"), own, "left")
     rest = rest.select("doc_id", "text", "spans").mapInArrow(_finish(finish, names, True), schema)
     return kept.where("picked is null").select(*names).unionByName(rest)
 

@@ -6,8 +6,9 @@ counts as one symbol), builds their Burrows-Wheeler transform and extends interv
 that common prefixes are found by increasing value. It stops at the minimum length: what has no value by then
 has a longer common prefix and repeats.
 
-Null texts are empty; equal rows are rows of their own, so both go; texts under ``length`` bytes stay; an
-empty table gives an empty result; other columns are ignored.
+Null texts are empty; equal rows are rows of their own, so both go (no tie is broken); texts under ``length`` bytes
+stay, and a text may have any length; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

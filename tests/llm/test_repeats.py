@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ensemblecast.llm import repeats, substring, suffix_dedup
@@ -70,14 +71,36 @@ def test_bytes(spark, monkeypatch, block):
     assert Counter(tuple(r) for r in df.collect()) == brute_bytes(rows, 40)
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_words(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, broadcast", [(256, 0), (3, 0), (3, 1 << 30)])
+def test_words(spark, monkeypatch, block, broadcast):
+    """By a shuffle, in blocks, and by broadcast automata."""
     monkeypatch.setattr(repeats, "BLOCK", block)
     rows = corpus(2, "words", 24)
-    df = substring.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), 10).drop("kept")
+    df = substring.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), 10, broadcast_bytes=broadcast).drop("kept")
     assert Counter(tuple(r) for r in df.collect()) == brute_words(rows, 10)
 
 
+def test_sections(monkeypatch):
+    """Texts over a section's length get the same anchors."""
+    values = np.random.default_rng(3).integers(0, 1 << 62, 1000).astype(np.uint64) << np.uint64(2)
+    values[300:420] = values[300]
+    want = [min(range(a, a + 21), key=lambda k: (int(values[k]) >> 7, k)) for a in range(980)]
+    monkeypatch.setattr(repeats, "SECTION_BITS", 7)
+    assert repeats.sliding_argmin(values, 21).tolist() == want
+
+
+def test_long_texts(spark):
+    """A text of a few megabytes, and one word a hundred thousand times."""
+    rnd = random.Random(8)
+    long = " ".join(f"{rnd.randrange(1 << 40):x}" for _ in range(300_000))
+    rows = [(1, long), (2, "x " * 100_000), (3, "before " + long[1_000_000:1_002_000] + " after"), (4, "y x " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert {k: r["n_removed"] for k, r in got.items()} == {1: 2000, 2: 200_000, 3: 2000, 4: 0}
+    words = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+    assert words[1] == words[2] == words[4] == 0 and words[3] in (len(long[1_000_000:1_002_000].split()) - k for k in range(3))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert suffix_dedup.remove_repeats(none).count() == 0
