@@ -93,6 +93,34 @@ def test_jaccard(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_depths():
+    """Prefixes are shortened only as far as the links found demand, and never have to go below the bound for all pairs."""
+    assert jaccard.floor_depth(0.8, 20, 0.9999) == 4
+    assert jaccard.missed(0.8, 20, 4) < 1e-4 < jaccard.missed(0.8, 20, 5)
+    assert jaccard.next_depth({}, 0.8, 20, 0.9999, 6) == 4  # nothing is known, so a pair at the threshold counts
+    assert jaccard.next_depth({990: 100_000}, 0.8, 20, 0.9999, 6) == 6  # copies meet at any depth
+    assert jaccard.next_depth({805: 5000, 990: 5000}, 0.8, 20, 0.9999, 6) == 4
+    assert jaccard.next_depth({815: 50_000, 990: 50_000}, 0.8, 20, 0.9999, 6) == 5
+
+
+def test_recall(spark):
+    """Pairs of graded similarity, thousands of them: links found against brute force, at the depth that was chosen."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(500):
+        w = [f"w{rnd.randrange(10**9)}" for _ in range(120)]
+        rows.append((2 * k, " ".join(w)))
+        for at in rnd.sample(range(120), rnd.randint(1, 5)):
+            w[at] = "other"
+        rows.append((2 * k + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(df).collect()}
+    shingled = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = [5 * len(a & b) >= 4 * len(a | b) for a, b in zip(shingled[::2], shingled[1::2])]
+    assert 100 < sum(want) < 450
+    assert [got[2 * k] for k in range(500)] == want and [got[2 * k + 1] for k in range(500)] == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(none).count() == 0
