@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ensemblecast.llm import decontam, jaccard, langid, line_dedup, oracles, packing, quality, sharding, substring, suffix_dedup, toxicity
+from ensemblecast.session import shared_folder
 
 
 def tokenizer_path() -> str:
@@ -26,7 +28,7 @@ def id_hash(modulus: int):
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard(table(spark, sf_dir, "documents"))
+    return sharding.reshard_files(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

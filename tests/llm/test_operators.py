@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ensemblecast.llm import decontam, langid, packing, quality, queries, sharding, toxicity
 
@@ -34,31 +35,32 @@ def rows_of(out):
 # sharding
 
 
+def least_bytes(by_old: dict[int, list[int]], capacities: list[int]) -> int:
+    """Brute force: each old shard gives its smallest rows beyond its capacity, one without a new shard gives all."""
+    return sum(sum(sorted(sizes)[: max(0, len(sizes) - (capacities[o] if o < len(capacities) else 0))]) for o, sizes in by_old.items())
+
+
 def test_flow_moves_fewest_bytes():
     rnd = random.Random(1)
-    for _ in range(20):
-        stats = [(o, b, rnd.randint(1, 4), 0) for o in range(3) for b in range(2)]
-        stats = [(o, b, n, n * rnd.randint(1, 9)) for o, b, n, _ in stats]
+    for trial in range(20):
+        by_old = {o: sorted(rnd.randint(1, 9) for _ in range(rnd.randint(1, 12))) for o in range(3 + trial % 3)}
+        stats = [(o, b, len(own), sum(own)) for o, sizes in by_old.items() for b in range(3) if (own := [x for x in sizes if (x - 1) // 3 == b])]
         total = sum(s[2] for s in stats)
         capacities = [total // 4 + (j < total % 4) for j in range(4)]
-        pieces = sharding.plan_transfers(stats, 3, capacities)
+        pieces = sharding.plan_transfers(stats, capacities)
         filled = Counter()
         for p in pieces:
             filled[p.shard] += p.last - p.first + 1
         assert [filled[j] for j in range(4)] == capacities
-        price = {(o, b): size / n for o, b, n, size in stats}
-        moved = sum((p.last - p.first + 1) * price[p.old, p.block] for p in pieces if p.old != p.shard)
-        # each old shard must give away what it holds over its capacity, its cheapest rows at best
-        least = 0
-        for o in range(3):
-            own = sorted(price[o, b] for oo, b, n, _ in stats if oo == o for _ in range(n))
-            least += sum(own[: max(0, len(own) - capacities[o])])
-        assert moved == pytest.approx(least)
+        rows = {(o, b): [x for x in sizes if (x - 1) // 3 == b] for o, sizes in by_old.items() for b in range(3)}
+        assert sum(sum(rows[p.old, p.block][p.first : p.last + 1]) for p in pieces if p.old != p.shard) == least_bytes(by_old, capacities)
 
 
 def test_reshard(spark, tmp_path):
     rows = rows_of(texts())
-    got = sharding.reshard(documents(spark, rows), 7, 5, 4).collect()
+    docs = documents(spark, rows)
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(9)).cast("int")
+    got = sharding.reshard(docs, 7, old, 4).collect()
     want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     by = defaultdict(list)
@@ -66,10 +68,33 @@ def test_reshard(spark, tmp_path):
         by[r["shard"]].append(r["slot"])
     assert len(by) == 7 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    touched = sharding.rewrite(sharding.reshard(documents(spark, rows), 7, 5, 4), str(tmp_path / "s"))
+    made = sharding.plan(docs, 7, old)
+    touched = sharding.rewrite(docs, made, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert Counter(r[0] for r in back.select("shard").collect()) == Counter({k: len(v) for k, v in by.items() if k in touched})
-    assert sharding.reshard(documents(spark, []), 7, 5, 4).count() == 0
+    assert sharding.reshard(documents(spark, []), 7, old, 4).count() == 0
+
+
+def test_shards_that_stay_are_not_rewritten(spark, tmp_path):
+    rows = [(k, "x" * (k % 7)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.floor(F.col("doc_id") / F.when(F.col("doc_id") < 30, 10).otherwise(5)).cast("string"))
+    rows = sharding.reshard_files(docs, str(tmp_path / "s"), 4, F.col("old")).collect()
+    kept = {r["shard"] for r in rows if not r["moved"]} - {int(p.name.split("=")[1]) for p in (tmp_path / "s").glob("shard=*")}
+    assert len(rows) == 40 and len(kept) == 3 and sum(r["moved"] for r in rows) == 5
+    assert Counter(r["shard"] for r in rows) == Counter({k: 10 for k in range(4)})
+
+
+def test_reshard_is_least_to_the_row(spark):
+    """On whole documents: the bytes moved equal the bound of the rows themselves, with many equal sizes too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("one text for all")))
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(11)).cast("int")
+    rows = sharding.reshard(docs, 20, old).collect()
+    by_old = defaultdict(list)
+    for r in rows:
+        by_old[r["old_shard"]].append(r["size"])
+    capacities = [len(rows) // 20 + (j < len(rows) % 20) for j in range(20)]
+    assert sum(r["size"] for r in rows if r["moved"]) == least_bytes(by_old, capacities)
 
 
 # packing
