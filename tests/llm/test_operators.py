@@ -231,14 +231,37 @@ def test_leaks(spark):
         hit = sorted(k for k, s in shares.items() if s >= 0.6)
         want[d] = (bool(hit), round(max([shares[k] for k in hit], default=0), 9), hit)
     df = documents(spark, rows)
-    for block in (8 << 20, 300):
-        got = decontam.find_leaks(df, bench, block_bytes=block).collect()
+    for most in (8 << 20, 0):  # broadcast, and joined by seeds
+        got = decontam.find_leaks(df, bench, broadcast_bytes=most).collect()
         assert {r["doc_id"]: (r["contaminated"], round(r["coverage"], 9), r["items"]) for r in got} == want and len(got) == len(rows)
     assert sum(w[0] for w in want.values()) > 30
     assert not any(r["contaminated"] for r in decontam.find_leaks(df, bench.where("false")).collect())
     assert decontam.find_leaks(df.where("false"), bench).count() == 0
 
 
+def test_tiles():
+    """Against the first description, with repetitive texts."""
+    rnd = random.Random(2)
+    for _ in range(300):
+        doc, item = (np.array([rnd.randrange(rnd.choice([1, 2, 6])) for _ in range(rnd.randint(0, n))], np.uint64) for n in (40, 25))
+        found = decontam.tiles(doc, item, 3)
+        assert sum(t[2] for t in found) == brute_tiles(doc.tolist(), item.tolist(), 3)
+        assert all((doc[d : d + k] == item[i : i + k]).all() for d, i, k in found)
+
+
+def test_one_word_texts():
+    """Memory grows with the text, not with the pairs of its seeds: a megabyte of one word against 500 words."""
+    import tracemalloc
+
+    items = decontam.Items([(1, "spam " * 500), (2, "spam eggs " * 40)], 5)
+    column = np.frombuffer(b"spam " * 200_000, np.uint8)
+    tracemalloc.start()
+    found = list(decontam.leaks(column, np.array([0, len(column)]), items, 5, 0.6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 1.0)] and peak < 200 << 20
+
+
 # toxicity
 
 
