@@ -5,8 +5,14 @@ is a log-probability matrix of ``buckets`` x languages, fitted on at most ``per_
 language, chosen by hash, and broadcast (its size doesn't depend on the input). A batch is scored as a sparse
 matrix product: gather the rows of its n-grams, add them up by text.
 
-A null text, or one without a letter, is ``und`` with score 0, as is everything when nothing was learned.
-Other columns are ignored; repeated rows get equal results.
+The posterior says which learned language is nearest, not whether the text is in any of them. ``typicality`` does: how
+far the text's mean log-probability per n-gram lies from that of the sample's texts of the language, in standard
+deviations, of which a short text has larger ones. What is far below is of no learned language, or none at all.
+
+A null text, or one without a letter, is ``und`` with score 0 and no typicality, as is everything when nothing was
+learned (from an empty table, say). Of languages with equal odds the first by name is taken. A text may have any
+length: all of it is read, and it is held alone beyond a megabyte. Other columns are ignored, whatever their names;
+repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,20 +68,41 @@ class Model:
     log_prior: np.ndarray
     log_prob: np.ndarray  # buckets x languages
     bits: int
+    #: By language: mean log-probability per n-gram, its variance between texts, and that within a text.
+    usual: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def weigh(self, texts: list[str | None], squared: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probabilities of texts x languages, n-grams, has a letter, if asked for sums of squares for the nearest language)."""
+        total, has, size = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool), np.zeros(len(texts))
+        parts = []
+        for bucket, at, has in features(texts, self.bits):
+            own = self.log_prob[bucket]
+            total += np.add.reduceat(own, at, axis=0, dtype=np.float64)
+            size += np.diff(np.append(at, len(bucket)))
+            if squared:
+                parts.append((bucket, at))
+        best = (total + self.log_prior).argmax(axis=1)
+        squares = np.zeros(len(texts))
+        for bucket, at in parts:
+            owner = np.repeat(best, np.diff(np.append(at, len(bucket))))
+            squares += np.add.reduceat(self.log_prob[bucket, owner].astype(np.float64) ** 2, at)
+        return total, size, has, squares
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, posteriors and typicalities (not a number where there is none)."""
         if not texts:
-            return [], np.zeros(0)
+            return [], np.zeros(0), np.zeros(0)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        total, has = np.tile(self.log_prior, (len(texts), 1)), None
-        for bucket, at, has in features(texts, self.bits):
-            total += np.add.reduceat(self.log_prob[bucket], at, axis=0, dtype=np.float64)
-        total -= total.max(axis=1, keepdims=True)
-        odds = np.exp(total)
-        best = odds.argmax(axis=1)
-        score = np.where(has, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-        return [self.languages[b] if ok else "und" for b, ok in zip(best, has)], score
+            return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        total, size, has, _ = self.weigh(texts)
+        total += self.log_prior
+        best = total.argmax(axis=1)
+        mean, between, within = self.usual[best].T
+        own = (total - self.log_prior)[np.arange(len(texts)), best] / size
+        odds = np.exp(total - total.max(axis=1, keepdims=True))
+        score = np.where(has, 1 / odds.sum(axis=1), 0.0)
+        typicality = np.where(has, (own - mean) / np.sqrt(between + within / size), np.nan)
+        return [self.languages[b] if ok else "und" for b, ok in zip(best, has)], score, typicality
 
 
 def _batched(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -83,15 +110,18 @@ def _batched(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
         yield lo, hi, column[lo:hi].to_pylist()
 
 
-def fit(labelled: DataFrame, per_language: int = 4000, bits: int = 15, alpha: float = 0.5) -> Model:
-    """Fit on rows (text, lang); a language with more than ``per_language`` texts is thinned by hash."""
+def fit(labelled: DataFrame, per_language: int = 4000, bits: int = 15, alpha: float = 0.5, most_languages: int = 256) -> Model:
+    """Fit on rows (text, lang); a language with more than ``per_language`` texts is thinned by hash.
+
+    ``most_languages`` bounds the sample too: rarer languages than so many aren't learned (ties by name), so a column
+    with dirty values doesn't grow the model.
+    """
     ship(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("text", "lang")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
+    share = F.broadcast(labelled.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes.items()], "lang string, share double"))
+    sample = labelled.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -116,11 +146,38 @@ def fit(labelled: DataFrame, per_language: int = 4000, bits: int = 15, alpha: fl
     np.add.at(matrix, (table["bucket"].to_numpy(), np.array([index[x] for x in table["lang"].to_pylist()], int)), table["n"].to_numpy())
     log_prob = np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
     weight = np.array([sizes[x] for x in languages], float)
-    return Model(languages, np.log(weight / weight.sum()) if len(weight) else weight, log_prob, bits)
+    draft = Model(languages, np.log(weight / weight.sum()) if len(weight) else weight, log_prob, bits, np.tile([0.0, 1.0, 1.0], (len(languages), 1)))
+    if not languages:
+        return draft
+    shared = labelled.sparkSession.sparkContext.broadcast(draft)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By language: texts, and sums over them of the mean, its square, and the variance within and its share of the mean's."""
+        sums = np.zeros((len(languages), 5))
+        for batch in batches:
+            langs = np.array([index[x] for x in batch.column(1).to_pylist()], int)
+            for lo, hi, texts in _batched(batch.column(0)):
+                total, size, has, squares = shared.value.weigh(texts, True)
+                own = langs[lo:hi]
+                mine = has & (own == (total + draft.log_prior).argmax(axis=1))
+                mean = total[np.arange(len(own)), own] / size
+                within = np.maximum(0, squares / size - mean**2)
+                for k, x in enumerate((np.ones(len(own)), mean, mean**2, within, within / size)):
+                    np.add.at(sums[:, k], own[mine], x[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(languages), *(pa.array(sums[:, k]) for k in range(5))], names=["lang", "n", "mean", "square", "within", "noise"])
+
+    found = sample.mapInArrow(spread, "lang string, n double, mean double, square double, within double, noise double")
+    found = {r["lang"]: r for r in found.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n", "mean", "square", "within", "noise"))).collect()}
+    for lang, k in index.items():
+        r = found.get(lang)
+        if r and r["n"]:
+            mean, within = r["mean"] / r["n"], r["within"] / r["n"]
+            draft.usual[k] = mean, max(1e-4, r["square"] / r["n"] - mean**2 - r["noise"] / r["n"]), max(1e-4, within)
+    return draft
 
 
 def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred and score of every row; reads nothing but ``text``."""
+    """``keep`` columns, lang_pred, score and typicality of every row; reads nothing but ``text``."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -130,7 +187,10 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             column = batch.column(len(keep))
             for lo, hi, texts in _batched(column):
-                langs, score = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                langs, score, typicality = shared.value.predict(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k)[lo:hi] for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(score), pa.array(typicality, from_pandas=True)],
+                    names=[*keep, "lang_pred", "score", "typicality"],
+                )
 
-    return out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("typicality", T.DoubleType())]))

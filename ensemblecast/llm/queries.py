@@ -46,7 +46,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_hash(4) == 2)
     model = langid.fit(docs.where("not held_out"))
-    return langid.classify(docs, model, ("doc_id", "held_out"))
+    return langid.classify(docs, model, ("doc_id", "held_out")).drop("typicality")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
