@@ -7,7 +7,10 @@ Levenshtein automaton along the lexicon's trie. A window around each hit tells q
 sides) from abuse. A ridge logistic regression turns the counts into a score.
 
 Null and empty texts, and all texts when nothing could be learned, score as a text without hits. Labels that are
-null are ignored and repeated labels count once. Equal rows get equal results; other columns are ignored.
+null are ignored; repeated labels count once, and where they differ (a tie) the toxic one does. A word within an edit
+of several terms counts once. A text may have any length: all of it is read, and it is held alone beyond a megabyte.
+Equal rows get equal results; an empty table of documents or labels gives an empty result or a model without terms;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -199,8 +202,11 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_terms: int = 20_000) -> Model:
-    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; both may hold only what may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> Model:
+    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; both may hold only what may be learned from.
+
+    The lexicon has every term that passes, however many: only the sample of labelled rows is bounded.
+    """
     spark = docs.sparkSession
     ship(spark)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -219,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, most_term
     # with k toxic surroundings by chance at base**k, over all candidates
     p = F.col("bad") / (F.col("bad") + F.col("clean"))
     gain = F.col("bad") * F.log(p / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - base))).otherwise(0.0)
-    kept = terms.withColumn("gain", gain).where(F.col("gain") > float(np.log(20.0 * max(n, 100)))).orderBy(F.desc("gain"), "term").limit(most_terms).collect()
+    kept = terms.withColumn("gain", gain).where(F.col("gain") > float(np.log(20.0 * max(n, 100)))).collect()  # of a bounded sample
     support = {r["term"]: r["bad"] for r in kept}
     words = frozenset(t[1:] for t in support if t[0] == "w")
     # a stem stands for a family of words, not for one word
