@@ -140,6 +140,62 @@ def test_pack(spark):
     assert packing.pack(documents(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def brute_pack(lengths, window, most):
+    """A second packer: every open window is looked at, for each piece."""
+    open_, done = [], []
+    for d, n in enumerate(lengths):
+        for start in range(0, n, window):
+            size = min(window, n - start)
+            if size == window:
+                done.append([(d, start, size)])
+                continue
+            fitting = [w for w in open_ if window - sum(p[2] for p in w) >= size]
+            if fitting:
+                w = min(fitting, key=lambda w: window - sum(p[2] for p in w))
+            else:
+                if len(open_) >= most:
+                    fullest = max(open_, key=lambda w: sum(p[2] for p in w))
+                    open_.remove(fullest)
+                    done.append(fullest)
+                w = []
+                open_.append(w)
+            w.append((d, start, size))
+            if sum(p[2] for p in w) == window:
+                open_ = [x for x in open_ if x is not w]
+                done.append(w)
+    merged = []
+    for w in sorted(open_, key=lambda w: -sum(p[2] for p in w)):
+        size = sum(p[2] for p in w)
+        fitting = [x for x in merged if window - sum(p[2] for p in x) >= size]
+        if fitting:
+            min(fitting, key=lambda x: window - sum(p[2] for p in x)).extend(w)
+        else:
+            merged.append(list(w))
+    return sorted(map(tuple, done + merged))
+
+
+def test_pack_equals_a_second_packer():
+    """Piece by piece, with lengths that are all different sums, so that no tie is left open."""
+    rnd = random.Random(4)
+    lengths = [rnd.randint(1, 260) * 2 + 1 for _ in range(150)]
+    packer = packing.Packer(400, 5, 0)
+    closed = [p for d, n in enumerate(lengths) for p in packer.add(d, np.arange(n, dtype="<u4"))]
+    left = list(packer.leftovers())
+    fills = Counter()
+    for p in left:
+        fills[p[5]] += p[2]
+    shift = {name: (target, by) for name, target, by in packing.merge(list(fills.items()), 400)}
+    got = defaultdict(list)
+    for p in closed:
+        got[p[5]].append((p[6], p[:3]))
+    for p in left:
+        target, by = shift[p[5]]
+        got[target].append((p[6] + by, p[:3]))
+    fill = lambda windows: sorted(sum(x[2] for x in w) for w in windows)
+    ours, theirs = [tuple(x[1] for x in sorted(w)) for w in got.values()], brute_pack(lengths, 400, 5)
+    assert fill(ours) == fill(theirs) and sorted(ours) == theirs
+
+
 # quality
 
 
@@ -167,9 +223,77 @@ def test_quality(spark):
     assert quality.judge(documents(spark, [])).count() == 0
 
 
+def test_order_of_rules(spark):
+    """Cheap rules that reject much come first; what the result has anyway costs nothing."""
+    import time
+
+    def slow(m):
+        time.sleep(0.05)
+        return m.n_words > 0
+
+    rules = (quality.Rule("slow", slow), quality.Rule("never", lambda m: m.n_words < 0), quality.Rule("quick", lambda m: m.n_words > 0))
+    docs = spark.createDataFrame([(k, f"{k} " * 20) for k in range(400)], "doc_id long, text string")
+    assert [r.name for r in quality.order_rules(docs, rules)][0] == "quick"
+    spy = (quality.Rule("all", lambda m: np.ones(m.n, bool)),)
+    assert quality.order_rules(docs, spy, 40) == spy and quality.order_rules(docs.where("false"), rules) == rules
+
+
 # language
 
 
+def brute_language(rows, learn):
+    """Naive Bayes over n-grams themselves, without hashing."""
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower()) + "  "
+        padded = t + "   "
+        return [padded[k : k + n] for n in (1, 2, 3) for k in range(len(t))]
+
+    counts, texts = defaultdict(Counter), Counter()
+    for _, t, lang in filter(learn, rows):
+        if t is not None and lang is not None:
+            counts[lang].update(grams(t))
+            texts[lang] += 1
+    total = {x: sum(c.values()) + 0.5 * (1 << 15) for x, c in counts.items()}
+    out = {}
+    for d, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            out[d] = "und"
+            continue
+        own = Counter(grams(t))
+        out[d] = max(sorted(counts), key=lambda x: np.log(texts[x]) + sum(n * np.log((counts[x][g] + 0.5) / total[x]) for g, n in own.items()))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    """The hashed model against one without hashes, on a whole table; and held-out accuracy."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    want = brute_language(rows, lambda r: not held[r[0]])
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op5_language(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == want.keys()
+    assert sum(got[d] == x for d, x in want.items()) >= len(want) - 1  # a collision may turn a very short text
+    assert np.mean([got[d] == lang for d, _, lang in rows if held[d]]) >= 0.97
+
+
+def test_typicality(spark):
+    """Texts in no learned language are nearest to one, with a high posterior; how far they lie tells."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rnd = random.Random(1)
+    odd = [
+        "Nie wszystko złoto co się świeci, a każdy kij ma dwa końce i nikt nie wie dlaczego tak jest.",
+        "Не всё то золото, что блестит, и не каждый день праздник.", "不是所有闪光的都是金子，也不是每一天都是节日",
+        "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300)),
+    ]
+    langs, score, far = model.predict(odd)
+    assert (score > 0.5).all() and (far < -12).all()
+    own = langid.classify(docs, model).select("typicality").toPandas()["typicality"]
+    assert own.min() > -12 and abs(own.median()) < 1
+    dirty = langid.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("lang"))), most_languages=4)
+    assert dirty.languages == ("de", "en", "es", "fr")
+
+
 def test_language(spark):
     rnd = random.Random(2)
     stems = {"aa": ["ba", "lo", "mi", "tu"], "bb": ["sch", "ung", "ßt", "ich"], "cc": ["ció", "ñas", "que", "los"]}
@@ -315,6 +439,33 @@ def test_toxicity(spark):
     assert toxicity.score(df.where("false"), model).count() == 0
 
 
+def test_features_equal_brute_force():
+    """Counts of lexicon words, stems, misspellings and quoted hits against edit distances to every term."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 8))) for _ in range(30)]
+    model = toxicity.Model(frozenset(words[:12]), frozenset({"abca", "ddcba"}), np.zeros(9), frozenset(words[12:15]))
+    terms = [w for w in model.words if len(w) >= toxicity.FUZZY_LENGTH and not any(w[:k] in model.stems for k in toxicity.STEMS)]
+    scanner = toxicity.Scanner(model)
+    for _ in range(200):
+        parts = [rnd.choice(words + ["".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 9))) for _ in range(20)]) for _ in range(rnd.randint(0, 25))]
+        text = " ".join(f'"{p}"' if rnd.random() < 0.1 else p for p in parts)
+        want = np.zeros(4)
+        for m in re.finditer(r"\w+", text):
+            w = m[0]
+            if w in model.words:
+                kind = 0
+            elif any(len(w) > k and w[:k] in model.stems for k in toxicity.STEMS):
+                kind = 1
+            elif len(w) >= toxicity.FUZZY_LENGTH - 1 and w not in model.known and any(edits(w, t) <= 1 for t in terms):
+                kind = 2
+            else:
+                continue
+            quoted = '"' in text[max(0, m.start() - toxicity.CONTEXT) : m.start()] and '"' in text[m.end() : m.end() + toxicity.CONTEXT]
+            want[3 if quoted else kind] += 1
+        got = scanner.features(text)
+        assert (np.zeros(4) if got is None else got).tolist() == want.tolist()
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 
