@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
 ``docs``. A row that a stage rejects is gone for the stages after it. Columns beyond those of ``documents`` are
-kept as they are, null texts go at the first stage, and an empty table stays empty.
+kept as they are, null texts go at the first stage, equal rows are copies of which one stays, texts may have any
+length, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,17 +15,23 @@ from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, que
 from ensemblecast.session import cut
 
 
+#: Standard deviations below a language's usual texts at which a text counts as of no learned language.
+FAR = 12.0
+_LAST = (1 << 63) - 1
+
+
 def _rows(docs: DataFrame, *but: str) -> DataFrame:
-    """The columns in a struct named ``row``, so that no name clashes, and the hash ``rid`` that the operators return."""
+    """The columns in a struct named ``row``, so that no name clashes, the hash ``rid`` that the operators return, and the id."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("row")
-    return docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"), *but)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
+    return docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"), doc, *but)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts of no language that the model is surer of than not, go; ``lang`` stays."""
+    """Texts without a letter, and texts that are far from every learned language, go; ``lang`` stays as it is."""
     model = langid.fit(docs.where(queries.id_hash(4) != 2))
     judged = langid.classify(_rows(docs, "text").withColumn("body", F.col("text")), model, ("row", "body"))
-    kept = judged.where("lang_pred != 'und' and score >= 0.5")
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("typicality") > -FAR))
     return kept.select(*(F.col("body").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
@@ -39,16 +46,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the least doc_id of each group of near copies stays; groups are told apart by their links, not by ids."""
-    grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "group_id"))
+    grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "group_id"))
     first = grouped.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc", "rid")).alias("head"))
-    heads = first.select("head.rid").unionByName(grouped.where("group_id is null").select("rid")).distinct()
-    return _rows(docs).join(heads.hint("shuffle_hash"), "rid", "left_semi").dropDuplicates(["rid"]).select("row.*")
+    heads = first.select("head.rid", "head.doc").unionByName(grouped.where("group_id is null").select("rid", "doc")).distinct()
+    return _rows(docs).join(heads.hint("shuffle_hash"), ["rid", "doc"], "left_semi").dropDuplicates(["rid", "doc"]).select("row.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that cover a benchmark item go."""
-    leaks = decontam.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("rid").distinct()
-    return _rows(docs).join(leaks.hint("shuffle_hash"), "rid", "left_anti").select("row.*")
+    found = decontam.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated")
+    leaks = found.select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).distinct()
+    return _rows(docs).join(leaks.hint("shuffle_hash"), ["rid", "doc"], "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
