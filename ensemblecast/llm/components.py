@@ -14,7 +14,8 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
         links = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    # as a table, so that the neighbours of a node that has very many can be split when they are joined
+    least = cut(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
     hung = links.join(least, "a")
     if large:
         out = hung.where("b > a").select(F.col("b").alias("a"), F.col("root").alias("b"))
@@ -31,7 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        current = cut(_round(_round(current, True), False))
+        current = cut(_round(cut(_round(current, True)), False))
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
