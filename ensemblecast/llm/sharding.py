@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 ROW_OVERHEAD = 16
 #: Rows that a block is meant to have, bytes of a task that assigns rows, and blocks of what moves anyway.
-BLOCK_ROWS, TASK_BYTES, LEAST_RETIRED, MOST_RETIRED = 1 << 20, 32 << 20, 256, 1 << 16
+BLOCK_ROWS, TASK_BYTES, LEAST_RETIRED, MOST_RETIRED = 1 << 20, 8 << 20, 256, 1 << 16
 
 
 class FlowNetwork:
@@ -204,10 +204,11 @@ def plan(docs: DataFrame, shards: int = 40, old: Column | None = None, bands: in
     kept = rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy(F.desc("bytes"), "old").limit(shards).collect()
     homes = tuple(sorted(r["old"] for r in kept))
     held = max((r["n"] for r in kept), default=0)
-    bands = max(bands, min(1024, -(-held // BLOCK_ROWS)))
-    total, volume, cuts = rows.agg(F.count("*"), F.sum("size"), F.percentile_approx("size", [k / bands for k in range(1, bands)], 10_000)).first()
+    volume = sum(r["bytes"] for r in kept)
+    bands = max(bands, min(1024, max(-(-held // BLOCK_ROWS), -(-volume // (max(1, len(kept)) * TASK_BYTES)))))
+    total, cuts = rows.agg(F.count("*"), F.percentile_approx("size", [k / bands for k in range(1, bands)], 10_000)).first()
     parallel = docs.sparkSession.sparkContext.defaultParallelism
-    lanes = min(bands, max(-(-(volume or 0) // (max(1, len(homes)) * TASK_BYTES)), -(-4 * parallel // max(1, len(homes)))))
+    lanes = min(bands, max(-(-volume // (max(1, len(homes)) * TASK_BYTES)), -(-4 * parallel // max(1, len(homes)))))
     retired = min(MOST_RETIRED, max(LEAST_RETIRED, -(-(total - sum(r["n"] for r in kept)) // BLOCK_ROWS)))
     draft = Plan(shards, homes, old, tuple(cuts or ()), retired, lanes, [])
     # the old shards that go are one, with the number ``shards``
