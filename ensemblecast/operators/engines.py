@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import NamedTuple, Protocol, runtime_checkable
 
 import numpy as np
@@ -56,33 +57,52 @@ class SeasonalNaiveEngine:
         return Forecasts(mean, fitted, [f"snaive({lag})"] * len(series), np.zeros(len(series), bool))
 
 
+@dataclass(frozen=True)
+class FittedETS:
+    """A series under its best form, or under none."""
+
+    y: np.ndarray
+    form: ets.Fit | None
+    method: str
+    fallback: bool
+
+    @property
+    def fitted(self) -> np.ndarray:
+        return self.form.fitted if self.form else np.append(np.nan, self.y[:-1])
+
+
 class ETSEngine:
     """The best exponential-smoothing form by AICc; simple smoothing, then the last value, if none works."""
 
-    def __init__(self, season_length: int, families=ets.FAMILIES, most: int = 1000, starts: int = 2):
+    def __init__(self, season_length: int, families=ets.FAMILIES, most: int = ets.MOST_STEPS, starts: int = 1):
         self.season_length, self.families, self.most, self.starts = season_length, families, most, starts
 
-    def forecast(self, series: np.ndarray, h: int, with_fitted: bool = False) -> Forecasts:
-        series = np.asarray(series, float)
-        mean, methods, fallback = _last(series, h), [FALLBACK] * len(series), np.ones(len(series), bool)
-        fitted = np.hstack([np.full((len(series), 1), np.nan), series[:, :-1]])
-        usable = [k for k, y in enumerate(series) if np.isfinite(y).all() and len(y) > 3]
+    def _fits(self, series: np.ndarray) -> list[FittedETS]:
+        """Of rows of equal length, all searched at once; a form counts if its next value is a number."""
+        out = [FittedETS(y, None, FALLBACK, True) for y in series]
+        todo = [k for k, y in enumerate(series) if np.isfinite(y).all() and len(y) > 3]
         for families, m, tag in ((self.families, self.season_length, None), ((("A", "N", "N"),), 1, "ETS-ANN-fallback")):
-            todo = [k for k in usable if fallback[k] and methods[k] == FALLBACK]
-            if not todo:
-                break
-            for k, fits in zip(todo, ets.fit_families(series[todo], m, families, self.most, self.starts)):
-                if not fits:
-                    continue
-                out = fits[0].forecast(h)
-                if not np.isfinite(out[:1]).all():
-                    continue
-                methods[k], fallback[k], fitted[k] = tag or fits[0].method, tag is not None, fits[0].fitted
-                if np.isfinite(out).all():
-                    mean[k] = out
-                else:  # the last value stands in, and is counted as a fallback
-                    fallback[k] = True
-        return Forecasts(mean, fitted if with_fitted else None, methods, fallback)
+            if todo:
+                for k, fits in zip(todo, ets.fit_families(series[todo], m, families, self.most, self.starts, only_best=True)):
+                    if fits and np.isfinite(fits[0].forecast(1)).all():
+                        out[k] = FittedETS(series[k], fits[0], tag or fits[0].method, tag is not None)
+                todo = [k for k in todo if out[k].form is None]
+        return out
+
+    def fit(self, y: np.ndarray) -> FittedETS:
+        return self._fits(np.asarray(y, float)[None])[0]
+
+    def predict(self, fitted: FittedETS, h: int) -> np.ndarray:
+        """The last value stands in for a forecast that isn't finite throughout."""
+        out = fitted.form.forecast(h) if fitted.form else np.full(h, np.nan)
+        return out if np.isfinite(out).all() else np.full(h, fitted.y[-1])
+
+    def forecast(self, series: np.ndarray, h: int, with_fitted: bool = False) -> Forecasts:
+        fits = self._fits(np.asarray(series, float))
+        mean = np.stack([self.predict(f, h) for f in fits])
+        # what the last value stands in for is counted as a fallback
+        fallback = np.array([f.fallback or not np.isfinite(f.form.forecast(h)).all() for f in fits])
+        return Forecasts(mean, np.stack([f.fitted for f in fits]) if with_fitted else None, [f.method for f in fits], fallback)
 
 
 class NBeatsEngine:

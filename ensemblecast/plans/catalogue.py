@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ensemblecast.functions import aggregates, metrics, ranks, transforms
 from ensemblecast.operators import bootstrap, boxcox, clustering, decompose
 from ensemblecast.plans import experiment, reports
-from ensemblecast.session import ship
+from ensemblecast.session import cut, ship
 from ensemblecast.sources import series as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,7 +524,7 @@ def nbeats_forecast(spark, sf_dir):
 @query()
 def family_averaging(spark, sf_dir):
     s = packed(spark, sf_dir)
-    return experiment.family_scores(experiment.family_table(s), s).select("uid", "strategy", "smape", "mase", "n_members")
+    return experiment.family_scores(cut(experiment.family_table(s)), s).select("uid", "strategy", "smape", "mase", "n_members")
 
 
 @query()
@@ -547,7 +547,7 @@ def pam_labels(spark, sf_dir):
 
 def _selected(spark, sf_dir, strategies: list[str]) -> DataFrame:
     s = packed(spark, sf_dir)
-    artifacts = experiment.stage_a(s, MEMBERS, engine="snaive")
+    artifacts = cut(experiment.stage_a(s, MEMBERS, engine="snaive"))
     return experiment.stage_b(artifacts, s, strategies, 8).select("uid", "strategy", "smape", "mase", "n_members")
 
 
@@ -571,7 +571,7 @@ def strategy_sweep(spark, sf_dir):
 def bagged_pipeline(spark, sf_dir):
     """Bootstrap, validate and fit smoothing models, select by cluster, combine, score."""
     s = packed(spark, sf_dir)
-    artifacts = experiment.stage_a(s, MEMBERS, engine="ets")
+    artifacts = cut(experiment.stage_a(s, MEMBERS, engine="ets"))
     return experiment.stage_b(artifacts, s, ["original", "none:trimmed", "topk", "cluster-k3"], 10).select("uid", "strategy", "smape", "mase", "n_members", "k_chosen")
 
 
@@ -646,12 +646,12 @@ def published_forecast_table(spark, sf_dir):
 def member0_ablation(spark, sf_dir):
     """What the original series adds to an ensemble, by size and aggregator."""
     s = packed(spark, sf_dir)
-    return experiment.ablation_pivot(experiment.ablation(experiment.stage_a(s, MEMBERS, engine="snaive"), s, [5, 10], 10))
+    return experiment.ablation_pivot(experiment.ablation(cut(experiment.stage_a(s, MEMBERS, engine="snaive")), s, [5, 10], 10))
 
 
 @query()
 def family_diagnostics(spark, sf_dir):
-    return experiment.family_diagnostics(experiment.family_table(packed(spark, sf_dir)))
+    return experiment.family_diagnostics(cut(experiment.family_table(packed(spark, sf_dir))))
 
 
 @query()

@@ -20,6 +20,8 @@ from ensemblecast.operators.selection import Artifacts, FirstN, TopK
 from ensemblecast.plans.strategies import Spec, parse
 from ensemblecast.session import ship
 
+#: Members that one task fits.
+MEMBERS_A_TASK = 2000
 POOL = "uid string, m int, h int, h_val int, member int, y array<double>, lam double, n_clipped int"
 ARTIFACTS = "uid string, m int, h int, h_val int, member int, y array<double>, val_fc array<double>, val_fallback boolean, fc array<double>, method string, fallback boolean"
 
@@ -76,13 +78,15 @@ def forecasts(members: DataFrame, engine: str = "ets", final: bool = True, valid
 
 
 def stage_a(series: DataFrame, members: int, seed: int = 42, engine: str = "ets", metric: str = "mape", **knobs) -> DataFrame:
-    """Artifacts: member rows with forecasts, and ``val_err`` against the original series' tail."""
+    """Artifacts: member rows with forecasts, and ``val_err`` against ``actual``, the original series' tail."""
     if metric not in metrics.METRICS:
         raise ValueError(f"unknown validation metric {metric!r}; one of {sorted(metrics.METRICS)}")
-    rows = forecasts(pool(series, members, seed), engine, **knobs)
-    actual = series.select("uid", "y_train", "y_test")
-    joined = rows.join(actual, "uid").withColumn("actual", F.slice("y_train", F.size("y_train") - F.col("h_val") + 1, F.col("h_val")))
-    return joined.withColumn("val_err", F.when(F.col("val_fc").isNotNull(), metrics.METRICS[metric]("actual", "val_fc"))).drop("actual")
+    # as many tasks as the fits need, and not fewer than there are cores
+    parts = knobs.pop("parts", None) or max(series.sparkSession.sparkContext.defaultParallelism, -(-series.count() * members // MEMBERS_A_TASK))
+    rows = forecasts(pool(series, members, seed), engine, parts=parts, **knobs)
+    actual = series.select("uid", "y_train")
+    joined = rows.join(actual, "uid").withColumn("actual", F.slice("y_train", F.size("y_train") - F.col("h_val") + 1, F.col("h_val"))).drop("y_train")
+    return joined.withColumn("val_err", F.when(F.col("val_fc").isNotNull(), metrics.METRICS[metric]("actual", "val_fc")))
 
 
 SELECTED = "uid string, strategy string, seed int, member int, k_chosen int, how string"
@@ -117,8 +121,7 @@ def select(artifacts: DataFrame, specs: list[Spec], n: int = 100, seeds: tuple[i
         out = []
         made = None
         if known:
-            h_val = int(frame["h_val"].iloc[0])
-            made = Artifacts(np.stack(frame["y"]), np.stack(frame["val_fc"]), np.asarray(frame["y_train"].iloc[0])[-h_val:], frame["val_err"].to_numpy())
+            made = Artifacts(np.stack(frame["y"]), np.stack(frame["val_fc"]), np.asarray(frame["actual"].iloc[0]), frame["val_err"].to_numpy())
         for s in others:
             if known and isinstance(s.strategy, TopK):
                 continue
@@ -132,7 +135,7 @@ def select(artifacts: DataFrame, specs: list[Spec], n: int = 100, seeds: tuple[i
         return pd.DataFrame(out, columns=[c.split()[0] for c in SELECTED.split(", ")])
 
     if others:
-        frames.append(artifacts.select("uid", "member", "y", "val_fc", "val_err", "h_val", "y_train", F.col("val_err").isNotNull().alias("checked")).groupBy("uid").applyInPandas(choose, SELECTED))
+        frames.append(artifacts.select("uid", "member", "y", "val_fc", "val_err", "actual", F.col("val_err").isNotNull().alias("checked")).groupBy("uid").applyInPandas(choose, SELECTED))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -193,17 +196,31 @@ def compare(scores: DataFrame, metric: str = "smape", control: str | None = None
     }
 
 
-def win_rate(scores: DataFrame, a: str, b: str, metric: str = "smape") -> DataFrame:
-    """How often ``b`` beats ``a`` on the series that both have, and both averages."""
+def paired(scores: DataFrame, a: str, b: str, metric: str = "smape") -> DataFrame:
+    """(uid, a, b): averages of two arms on every series of the first; null where the second has none."""
     side = lambda s: scores.where(F.col("strategy") == s).groupBy("uid").agg(F.avg(metric).alias(s))
-    both = side(a).join(side(b), "uid")
-    return both.agg(F.count("*").alias("n"), F.avg((F.col(b) < F.col(a)).cast("double")).alias("win_rate"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
+    return side(a).join(side(b), "uid", "left")
+
+
+def win_rate(scores: DataFrame, a: str, b: str, metric: str = "smape") -> DataFrame:
+    """How often ``b`` beats ``a`` on the series of ``a``, and both averages; where ``b`` has none it doesn't win."""
+    wins = F.coalesce((F.col(b) < F.col(a)).cast("double"), F.lit(0.0))
+    return paired(scores, a, b, metric).agg(F.count("*").alias("n"), F.avg(wins).alias("win_rate"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
+
+
+def require_agreement(one: DataFrame, other: DataFrame, value: str = "smape", most: float = 1e-4) -> float:
+    """The greatest distance of two columns by uid, over the series that both have; an error if it isn't under ``most``."""
+    both = one.select("uid", F.col(value).alias("a")).join(other.select("uid", F.col(value).alias("b")), "uid", "left")
+    gap = both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("gap")).first()["gap"]
+    if gap is None or not gap < most:
+        raise ValueError(f"two runs of one forecast disagree by {gap}")
+    return gap
 
 
 FAMILIES = "uid string, family string, method string, aicc double, n_params int, sigma2 double, fc array<double>"
 
 
-def family_table(series: DataFrame, most: int = 1000, starts: int = 2) -> DataFrame:
+def family_table(series: DataFrame, most: int = ets.MOST_STEPS, starts: int = 1) -> DataFrame:
     """Every admissible smoothing form of every series that gives finite forecasts."""
     ship(series.sparkSession)
 
@@ -215,7 +232,8 @@ def family_table(series: DataFrame, most: int = 1000, starts: int = 2) -> DataFr
                 rows = [(u, ",".join(f.family), f.method, f.aicc, f.n_params, f.sigma2, f.forecast(int(h))) for u, h, found in zip(own["uid"], own["h"], fits) for f in found]
                 yield pd.DataFrame([r for r in rows if np.isfinite(r[-1]).all()], columns=[c.split()[0] for c in FAMILIES.split(", ")])
 
-    return series.select("uid", "m", "h", "y_train").mapInPandas(run, FAMILIES)
+    parts = max(series.sparkSession.sparkContext.defaultParallelism, -(-series.count() * len(ets.FAMILIES) // MEMBERS_A_TASK))
+    return series.select("uid", "m", "h", "y_train").repartition(parts, "uid").mapInPandas(run, FAMILIES)
 
 
 def family_points(families: DataFrame) -> DataFrame:

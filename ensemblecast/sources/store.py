@@ -100,7 +100,7 @@ class Store:
         return [out[k] for k in sorted(out)]
 
 
-_NARROW = ("y", "val_fc", "fc", "y_train", "y_test")
+_NARROW = ("y", "val_fc", "fc", "actual")
 
 
 def write_artifacts(artifacts: DataFrame, path: str, key: str) -> None:
@@ -115,6 +115,15 @@ def read_artifacts(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("array<double>") for c in _NARROW if c in rows.columns})
 
 
+def locate(store: Store, key: str | None = None, **params) -> str:
+    """The run of that key, or of those parameters; an error lists the runs that there are."""
+    wanted = key or run_key(**params)
+    found = sorted({part.split("=", 1)[1] for name in store.keys("artifacts") for part in name.split("/") if part.startswith("run_key=")})
+    if wanted not in found:
+        raise LookupError(f"no run {wanted} under {store.uri('artifacts')}; there are {', '.join(found) or 'none'}; name one of them")
+    return wanted
+
+
 def missing(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Series of ``wanted`` that ``done`` doesn't hold."""
     return wanted.join(done.select("uid").distinct(), "uid", "left_anti")

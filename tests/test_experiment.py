@@ -72,7 +72,7 @@ def test_short_series_are_drawn(spark):
     tiny = spark.createDataFrame([("t", 12, 30, 6, [float(v) for v in range(30, 60)], [1.0] * 6)], "uid string, m int, n_train int, h int, y_train array<double>, y_test array<double>")
     tiny = tiny.withColumn("y_train", F.slice("y_train", 1, 26))
     made = experiment.forecasts(experiment.pool(tiny, 6), "naive")
-    made = made.withColumn("h_val", F.lit(12)).withColumn("val_err", F.lit(None).cast("double")).join(tiny.select("uid", "y_train"), "uid")
+    made = made.withColumn("h_val", F.lit(12)).withColumns({"val_err": F.lit(None).cast("double"), "actual": F.lit(None).cast("array<double>")})
     got = experiment.select(made, [strategies.parse("topk")], 3).collect()
     assert len(got) == 3 and {r["how"] for r in got} == {"fallback_random"}
 
@@ -238,7 +238,21 @@ def test_commands(spark, tmp_path, capsys):
     for command in ("entropy", "instability", "calibrate"):
         assert cli.main([*base, command, *small, "--engine", "snaive"]) == 0
     assert cli.main([*base, "compare", *small, "--engine", "naive,snaive"]) == 0
-    assert "friedman_pvalue" in capsys.readouterr().out
+    assert cli.main([*base, "entropy", *small, "--engine", "snaive"]) == 0  # nothing is left to do
+    assert spark.read.parquet(str(tmp_path / "runs" / "family_entropy")).count() == 4
+    assert cli.main([*base, "seeds", *small, "--engine", "snaive", "--eval-seeds", "1", "2"]) == 0
+    assert cli.main([*base, "seeds", *small, "--engine", "snaive", "--eval-seeds", "2", "3"]) == 0
+    found = spark.read.parquet(str(tmp_path / "runs" / "seeds")).collect()
+    assert sorted((r["case"], r["seed"]) for r in found) == [(f"s{k}", seed) for k in range(4) for seed in (1, 2, 3)]
+    assert all(len(r["point"]) == 18 and r["variant"] == "k5" and r["n_members"] for r in found)
+    out = capsys.readouterr().out
+    assert "friedman_pvalue" in out
+    for command in ("probe", "decompose"):
+        assert cli.main([*base, command, "--uids", "s1", "--epochs", "3", "--horizon", "6"]) == 0
+    out = capsys.readouterr().out
+    assert "dead" in out and "step,forecast,trend,seasonal" in out
+    with pytest.raises(LookupError, match="there are"):
+        cli.main([*base, "evaluate", *small, "--engine", "ets"])
 
 
 def test_instability(spark):
@@ -254,8 +268,8 @@ def test_instability(spark):
 def test_errors_that_are_no_numbers_come_last(spark):
     """A NaN error ranks its member last; the other members are chosen as before."""
     errors = [3.0, float("nan"), 1.0, 4.0, 2.0, 5.0]
-    rows = [("s", 4, 2, 2, k, [float(k + t) for t in range(8)], [10.0 + k, 11.0], e, [1.0] * 6 + [10.0, 11.0]) for k, e in enumerate(errors)]
-    pool = spark.createDataFrame(rows, "uid string, m int, h int, h_val int, member int, y array<double>, val_fc array<double>, val_err double, y_train array<double>")
+    rows = [("s", 4, 2, 2, k, [float(k + t) for t in range(8)], [10.0 + k, 11.0], e, [10.0, 11.0]) for k, e in enumerate(errors)]
+    pool = spark.createDataFrame(rows, "uid string, m int, h int, h_val int, member int, y array<double>, val_fc array<double>, val_err double, actual array<double>")
     specs = [experiment.parse(t) for t in ("topk", "greedy", "portfolio", "cluster-k2")]
     got = {}
     for r in experiment.select(pool, specs, 3).collect():
@@ -304,3 +318,23 @@ def test_clusters_need_a_shared_folder(tmp_path):
         session.shared_folder(fake)
     Conf.named = str(tmp_path)
     assert session.shared_folder(fake) == str(tmp_path)
+
+
+def test_outside_gates(spark):
+    """Cases that can run, and the gates over cases, by hand."""
+    cases = spark.createDataFrame([("a", 12, 18, 49), ("b", 12, 18, 48), ("c", 1, 6, 21), ("synthetic_ar1", 1, 6, 90)], "uid string, m int, h int, n_train int")
+    got = sorted((r["uid"], r["variant"]) for r in reports.runnable_cases(cases, ("c",)).collect())
+    assert got == [("a", "k5"), ("c", "auto"), ("c", "k5")]
+    schema = "case string, counts boolean, in_band boolean, delta double, sd_smape double, engine_delta double"
+    rows = [("a", True, True, 0.1, 0.1, 0.2), ("b", True, False, 0.9, 0.1, 0.1), ("c", False, False, 3.0, 0.1, -2.0)]
+    one = reports.gates(spark.createDataFrame(rows, schema)).first()
+    assert one["g1"] and one["g2"] and one["attributed"] and one["passed"] and one["n_counting"] == 2 and one["mean_delta"] == pytest.approx(0.5)
+    worse = rows[:1] + [("b", True, False, 1.6, 0.1, 0.1), ("d", True, False, 0.0, 0.1, 0.1), ("c", False, False, 3.6, 0.1, 2.0)]
+    two = reports.gates(spark.createDataFrame(worse, schema)).first()
+    assert not (two["g1"] or two["g2"] or two["attributed"] or two["passed"])
+    left = spark.createDataFrame([("x", "a", 2.0), ("y", "a", 3.0), ("x", "b", 1.0)], "uid string, strategy string, smape double")
+    won = experiment.win_rate(left, "a", "b").first()
+    assert (won["n"], won["win_rate"], won["mean_a"], won["mean_b"]) == (2, 0.5, 2.5, 1.0)
+    assert experiment.require_agreement(left.where("strategy = 'a'"), left.where("strategy = 'a'")) == 0
+    with pytest.raises(ValueError, match="disagree"):
+        experiment.require_agreement(left.where("strategy = 'a'"), left.where("strategy = 'b'"))
