@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ensemblecast.session import cut
+
 
 def average_rank(value: str, *by: str, descending: bool = False) -> Column:
     """Ties share the mean of their ranks."""
@@ -58,15 +60,48 @@ def adjust(frame: DataFrame, p: str = "p_raw") -> DataFrame:
     return frame.withColumn("step", step).withColumn("p_hochberg", hochberg(p)).drop("step")
 
 
+#: Ranges that a table is cut into to be ranked as a whole.
+RANGES = 64
+
+
+def _ranged(table: DataFrame, value: str, weight: Column) -> DataFrame:
+    """``table`` with the range that its value falls into and ``before``, the sum of ``weight`` in the ranges below."""
+    edges = table.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
+    below = F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(value)) if edges else F.array()
+    parted = table.withColumn("range", F.size(below))
+    sums = parted.groupBy("range").agg(F.sum(weight).alias("own"))
+    lower = Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    return parted.join(F.broadcast(sums.select("range", F.coalesce(F.sum("own").over(lower), F.lit(0)).alias("before"))), "range")
+
+
+def value_ranks(frame: DataFrame, value: str, **sums: Column) -> DataFrame:
+    """(value, n, rank and ``sums``): one row a different value, with its average rank in the whole frame.
+
+    Values are counted first and ranked range by range, so no task has them all.
+    """
+    counted = cut(frame.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in sums.items())))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
+    return _ranged(counted, "value", F.col("n")).withColumn("rank", F.col("before") + upto - (F.col("n") - 1) / 2.0).drop("range", "before")
+
+
+def global_order(frame: DataFrame, value: str, tie: str) -> DataFrame:
+    """``frame`` with ``r``, the place of each row in order of ``value`` and ``tie``, from 1."""
+    own = F.row_number().over(Window.partitionBy("range").orderBy(value, tie))
+    return _ranged(cut(frame), value, F.lit(1)).withColumn("r", F.col("before") + own).drop("range", "before")
+
+
 def wilcoxon_parts(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """n without zero differences, both rank sums and W."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d != 0").withColumn("size", F.abs("d"))
-    ranked = d.withColumn("r", average_rank("size"))
-    plus, minus = (F.sum(F.when(cond, F.col("r")).otherwise(0.0)) for cond in (F.col("d") > 0, F.col("d") < 0))
-    return ranked.agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
+    ranked = value_ranks(d, "size", plus=F.count_if(F.col("d") > 0))
+    plus, minus = (F.coalesce(F.sum(F.col("rank") * c), F.lit(0.0)) for c in (F.col("plus"), F.col("n") - F.col("plus")))
+    return ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
 
 
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = pairs.select(average_rank(x).alias("rx"), average_rank(y).alias("ry"))
+    """rho (null where all values tie) and n, over the pairs that have both values."""
+    both = cut(pairs.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null"))
+    side = lambda c: value_ranks(both, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"))
+    ranked = both.join(side("x"), "x").join(side("y"), "y")
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")  # none where all values tie
     return ranked.agg(F.when(spread > 0, F.covar_pop("rx", "ry") / F.when(spread > 0, spread)).alias("rho"), F.count("*").alias("n"))

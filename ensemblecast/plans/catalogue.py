@@ -235,15 +235,22 @@ def best_within_cluster(spark, sf_dir):
 _L2 = "list_distance(cast(a.embedding as double[]), cast(b.embedding as double[]))"
 
 
+#: Members of a cluster's pool, as the method has it.
+POOL = 300
+
+
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Distances between the vectors of a label (a pool of bounded size)."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    """Distances between the ``POOL`` vectors of a label with the least error (here their length)."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"), near(norm).alias("err"))
+    v = v.withColumn("rn", ranks.ordinal_rank("err", "vec_id", "label")).where(F.col("rn") <= POOL)
     a, b = v.select("label", F.col("vec_id").alias("i"), F.col("v").alias("a")), v.select("label", F.col("vec_id").alias("j"), F.col("v").alias("b"))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return a.join(b, "label").where("i < j").select("label", "i", "j", F.sqrt(gap).alias("d"))
 
 
-@query(f"select a.label, a.vec_id as i, b.vec_id as j, round({_L2}, 5) as d from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
+@query(f"""with e as (select *, row_number() over (partition by label order by round(list_inner_product(cast(embedding as double[]), cast(embedding as double[])), 6), vec_id) as rn from embeddings), p as (select * from e where rn <= {POOL})
+select a.label, a.vec_id as i, b.vec_id as j, round({_L2}, 5) as d from p a join p b on a.label = b.label and a.vec_id < b.vec_id""")
 def pairwise_l2(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return p.select("label", "i", "j", near(F.col("d"), 5).alias("d"))

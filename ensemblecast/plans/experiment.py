@@ -327,11 +327,11 @@ def ablation_pivot(rows: DataFrame) -> DataFrame:
 
 def quartiles(frame: DataFrame, by: str, values: list[str]) -> DataFrame:
     """Averages of ``values`` by quarter of the order of ``by``; edges at the linear quantiles of the ranks."""
-    one = Window.partitionBy()
-    ranked = frame.withColumns({"r": F.row_number().over(one.orderBy(by, "uid")), "n": F.count("*").over(one)})
-    quarter = F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * 4 / (F.col("n") - 1)))
+    ranked = ranks.global_order(frame, by, "uid")
+    quarter = F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * 4 / F.lit(max(1, ranked.count() - 1))))
     return ranked.withColumn("q", quarter.cast("int")).groupBy("q").agg(F.count("*").alias("n"), F.avg(by).alias(by), *(F.avg(v).alias(v) for v in values))
 
+
 PREDICTORS = ("n_families", "family_entropy", "n_eff_families", "modal_share")
 
 
