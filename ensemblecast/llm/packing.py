@@ -6,7 +6,8 @@ windows are open, the fullest is emitted. Windows still open at a partition's en
 those of ``merge_group`` neighbouring partitions, in descending order of fill.
 
 Null texts are empty documents of one id; an empty table gives an empty result; repeated rows are packed as
-often as they occur; other columns are ignored. Pieces are written to the checkpoint folder before the
+often as they occur; of windows with equal room the one opened first is taken (a tie); a text may have any length: all
+of it is encoded, alone, and cut; other columns are ignored, whatever their names. Pieces are written to the checkpoint folder before the
 leftovers are merged, so a lost executor never sees two different packings.
 """
 

@@ -121,6 +121,19 @@ def test_recall(spark):
     assert [got[2 * k] for k in range(500)] == want and [got[2 * k + 1] for k in range(500)] == want
 
 
+def test_long_texts(spark):
+    """Texts of megabytes: one of many lines, one of one line, and copies of both with a word changed."""
+    rnd = random.Random(4)
+    lines = [" ".join(f"{rnd.randrange(10**6)}" for _ in range(12)) for _ in range(30_000)]
+    flat = " ".join(f"{rnd.randrange(10**6)}" for _ in range(300_000))
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["odd", *lines[1:]])), (3, flat), (4, flat + " more"), (5, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
+    left = {r["doc_id"]: (r["n_removed"], r["kept_text"][:20]) for r in line_dedup.remove_repeats(df, words=50).collect()}
+    assert left[1][0] == left[3][0] == left[4][0] == left[5][0] == 0 and left[2] == (29_999, "odd")
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(none).count() == 0
