@@ -43,13 +43,19 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False, words: in
     core = run - WINDOW + 1
     lines = F.split("text", "\n", -1)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"),
+        F.col("doc_id").cast("long").alias("doc_id"), lines.alias("l"), F.xxhash64("doc_id", "text").alias("rid"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []),
     )
-    sized = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), (F.lit(0) if words is None else F.regexp_count(x, F.lit(_WORD + "+"))).alias("w"))
-    hashed = rows.where("text is not null").select("rid", "doc", F.transform(F.filter(lines, lambda x: x.rlike(_WORD)), sized).alias("l"))
-    hashed = hashed.select("rid", "doc", F.col("l.h").alias("h"), F.col("l.g").alias("g"), F.col("l.w").alias("w")).where(F.size("h") >= (run if words is None else 1))
+    full = F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(_WORD))
+    of = lambda f: F.transform("full", lambda s: f(s["x"]))
+    # arrays as columns of a table: Spark would compute them again for each element of a lambda that names them
+    hashed = cut(
+        rows.where("l is not null").select("rid", "doc", full.alias("full")).select(
+            "rid", "doc", of(F.xxhash64).alias("h"), of(F.hash).alias("g"), of(lambda x: F.lit(0) if words is None else F.regexp_count(x, F.lit(_WORD + "+"))).alias("w"),
+            F.transform("full", lambda s: s["i"]).alias("raw"),
+        ).where(F.size("h") >= (run if words is None else 1))
+    )
 
     def joint(at, n):
         return F.xxhash64(*[F.col("h")[at + F.lit(k)] for k in range(n)])
@@ -61,8 +67,8 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False, words: in
     def enough(at, n):
         return sum((F.col("w")[at + F.lit(k)] for k in range(n)), F.lit(0)) >= words
 
-    def mark(at, n, key):
-        return F.struct(key.alias("key"), (check(at, n) if n < run else F.lit(0)).alias("check"), at.alias("pos"), F.lit(n).alias("n"))
+    def mark(at, n, size):
+        return F.struct(joint(at, size).alias("key"), (check(at, n) if n < run else F.lit(0)).alias("check"), at.alias("pos"), F.lit(n).alias("n"))
 
     def of_size(n, found):
         return F.when(F.size("h") >= n, found).otherwise(F.array().cast("array<struct<key: long, check: int, pos: int, n: int>>"))
@@ -70,45 +76,44 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False, words: in
     def short(n):
         """Runs of ``n`` lines with enough words, but for those that two shorter ones cover."""
         at = F.filter(F.sequence(F.lit(0), F.size("h") - n), lambda p: enough(p, n) & ~(enough(p, n - 1) & enough(p + F.lit(1), n - 1) if n > 1 else F.lit(False)))
-        return of_size(n, F.transform(at, lambda p: mark(p, n, joint(p, n))))
+        return of_size(n, F.transform(at, lambda p: mark(p, n, n)))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - core), lambda p: F.struct(joint(p, core).alias("key"), p.alias("pos")))
-    windows = F.transform(F.sequence(F.lit(1), F.size("h") - run + 1), lambda s: F.array_min(F.slice("grams", s, WINDOW)))
-    marks = [of_size(run, F.transform(F.array_distinct(windows), lambda f: mark(f["pos"], run, f["key"])))]
+    least = lambda s: F.least(*[F.struct(joint(s + F.lit(k), core).alias("key"), (s + F.lit(k)).alias("pos")) for k in range(WINDOW)])["pos"]
+    minima = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - run), least))
+    marks = [of_size(run, F.transform(minima, lambda p: mark(p, run, core)))]
     marks += [short(n) for n in range(1, run)] if words is not None else []
     start = F.greatest(F.col("f.pos") - (WINDOW - 1), F.lit(0))
-    around = lambda c: F.when(F.col("f.n") == run, F.slice(c, start + 1, F.col("f.pos") + core + WINDOW - 1 - start)).alias(c)
+    length = F.when(F.col("f.n") == run, F.col("f.pos") + core + WINDOW - 1 - start).otherwise(F.col("f.n"))
+    around = lambda c: F.when(F.col("f.n") == run, F.slice(c, start + 1, length)).alias(c)
+    raws = F.slice("raw", F.when(F.col("f.n") == run, start).otherwise(F.col("f.pos")) + 1, length)
     marked = cut(
-        hashed.withColumn("grams", F.when(F.size("h") >= run, grams)).withColumn("f", F.explode(F.concat(*marks)))
-        .select("rid", "doc", "f.key", "f.check", "f.pos", "f.n", F.size("h").alias("total"), start.alias("from"), around("h"), around("g"))
+        hashed.withColumn("f", F.explode(F.concat(*marks)))
+        .select("rid", "doc", "f.key", "f.check", "f.n", F.size("h").alias("total"), around("h"), around("g"), raws.alias("raw"))
     )
     fingerprints = marked.where(F.col("n") == run)
     again = cut(fingerprints.groupBy("key").count().where("count > 1").select("key"))
-    found = fingerprints.join(again, "key").select(
-        "rid", "doc", "total", "from", "h", "g", F.explode(F.sequence(F.lit(0), F.size("h") - run)).alias("s")
-    ).select("rid", "doc", "total", (F.col("from") + F.col("s")).alias("at"), F.lit(run).alias("n"), joint(F.col("s"), run).alias("key"), check(F.col("s"), run).alias("check"))
+    found = fingerprints.join(again, "key").select("rid", "doc", "total", "h", "g", "raw", F.explode(F.sequence(F.lit(0), F.size("h") - run)).alias("s"))
+    found = found.select("rid", "doc", "total", F.slice("raw", F.col("s") + 1, run).alias("raw"), joint(F.col("s"), run).alias("key"), check(F.col("s"), run).alias("check"))
     if words is not None:
-        found = found.unionByName(marked.where(F.col("n") < run).select("rid", "doc", "total", F.col("pos").alias("at"), "n", "key", "check"))
+        found = found.unionByName(marked.where(F.col("n") < run).select("rid", "doc", "total", "raw", "key", "check"))
     found = cut(found)
-    firsts = found.groupBy("key", "check").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
+    place = F.struct(F.col("doc"), F.col("raw")[0].alias("at"))
+    firsts = found.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = cut(firsts.where("first < last").select("key", "check", "first"))
-    later = found.join(firsts, ["key", "check"]).where(F.struct("doc", "at") > F.col("first"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    gone = later.groupBy("rid", "doc").agg(F.collect_set(F.struct("at", "n")).alias("starts"), F.max("total").alias("total"))
-    gone = gone.select("rid", "doc", covered.alias("covered"), (F.size(covered) == F.col("total")).alias("all"))
-
-    full = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.element_at("l", i + 1).rlike(_WORD))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform("covered", lambda j: F.element_at(F.col("full"), j + 1)))
-    split = rows.join(gone.hint("shuffle_hash"), ["rid", "doc"], "left").withColumn("l", lines)
-    out = split.withColumn("full", F.when(F.col("covered").isNotNull(), full)).withColumn("kept", F.when(F.col("covered").isNotNull(), kept))
-    out = out.withColumn("kept_text", F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.element_at(F.col("l"), i + 1)), "\n")))
-    return out.select(
+    later = found.join(firsts, ["key", "check"]).where(place > F.col("first"))
+    gone = later.groupBy("rid", "doc").agg(F.array_distinct(F.flatten(F.collect_set("raw"))).alias("covered"), F.max("total").alias("total"))
+
+    # the lines come through the join as an array, as they are asked for one by one
+    out = rows.join(gone.hint("shuffle_hash"), ["rid", "doc"], "left")
+    every = F.sequence(F.lit(0), F.size("l") - 1)
+    left = F.when(F.col("covered").isNull(), F.col("l")).otherwise(F.transform(F.array_except(every, "covered"), lambda i: F.col("l")[i]))
+    return out.withColumn("kept_text", F.array_join(left, "\n")).select(
         "doc_id",
         F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("covered").isNull(), 0).otherwise(F.size("l") - F.size("kept")).cast("long").alias("n_removed"),
+        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
         "kept_text",
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
-        "rid", F.coalesce("all", F.lit(False)).alias("emptied"), *(["row"] if carry else []),
+        "rid", F.coalesce(F.size("covered") == F.col("total"), F.lit(False)).alias("emptied"), *(["row"] if carry else []),
     )
 
 
