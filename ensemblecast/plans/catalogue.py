@@ -666,3 +666,83 @@ def strategy_tests(spark, sf_dir):
     """Friedman's test and Hochberg's comparisons with the best learner, tails included."""
     found = experiment.compare(_scores(spark, sf_dir))
     return spark.createDataFrame(found["table"]).withColumns({"control": F.lit(found["control"]), "friedman_p": F.lit(found["friedman_pvalue"])})
+
+
+# Lengths, cases and comparisons with an outside run.
+
+#: Invented lengths, seasons and horizons of the customers' series.
+_SHAPES = "shapes as (select c_custkey as uid, cast(5 + c_custkey % 120 as integer) as n, cast([1, 4, 12][1 + c_nationkey % 3] as integer) as m, cast(6 + c_custkey % 13 as integer) as h from customer)"
+
+
+def _shapes(spark, sf_dir) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    season = F.array(F.lit(1), F.lit(4), F.lit(12))[(F.col("c_nationkey") % 3).cast("int")]
+    return c.select(F.col("c_custkey").alias("uid"), (5 + F.col("c_custkey") % 120).cast("int").alias("n"), season.alias("m"), (6 + F.col("c_custkey") % 13).cast("int").alias("h"))
+
+
+@query(f"""with {_SHAPES}, t as (select *, cast(least(case when m > 1 then 2 * m else 10 end, floor((n - 1) / 2.0)) as integer) as h_val, least(3 * h, n - h - 7) as back, round_even(n / 4.0, 0) as r from shapes)
+select uid, h_val, h_val >= greatest(4, m) as validated, cast(case when back >= h then back end as integer) as lookback, cast(r + case when r % 2 = 0 then 1 else 0 end as integer) as span from t""")
+def tail_lengths(spark, sf_dir):
+    """Held-out tails, whether they are long enough to validate on, lookbacks and odd spans."""
+    s = _shapes(spark, sf_dir).withColumn("h_val", transforms.default_tail(F.col("n"), F.col("m")))
+    return s.select("uid", "h_val", (F.col("h_val") >= transforms.least_tail(F.col("m"))).alias("validated"), transforms.lookback(F.col("n"), F.col("h")).cast("int").alias("lookback"), transforms.next_odd(F.col("n") / 4.0).alias("span"))
+
+
+@query(f"""with {_SHAPES}, k as (select *, case when m > 1 then 2 * m else 10 end as tail from shapes where n - case when m > 1 then 2 * m else 10 end > case when m > 1 then 2 * m else 10 end)
+select uid, m, h, 'k5' as variant from k union all select uid, m, h, 'auto' from k where uid in (60, 75)""")
+def runnable_cases(spark, sf_dir):
+    """Series that are long enough for a comparison with an outside run, by variant."""
+    return reports.runnable_cases(_shapes(spark, sf_dir).withColumnRenamed("n", "n_train"), (60, 75))
+
+
+@query(f"{MONTHLY} select uid, round(greatest(avg(abs(y)), 1e-8), 6) as scale from s where idx > {N - H - 24} and idx <= {N - H} group by uid")
+def window_scales(spark, sf_dir):
+    """What a network divides a lookback by: its mean absolute value."""
+    p = packed(spark, sf_dir)
+    return p.select("uid", near(transforms.scale(F.slice("y_train", F.size("y_train") - 23, 24))).alias("scale"))
+
+
+@query("""with c as (select l_quantity as value, count(*) as n, sum(l_discount) as discount from lineitem group by all)
+select value, n, round(discount, 2) as discount, sum(n) over (order by value) - (n - 1) / 2.0 as rank from c""")
+def quantity_ranks(spark, sf_dir):
+    """Average ranks in a whole table, range by range."""
+    found = ranks.value_ranks(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_quantity", discount=F.sum("l_discount"))
+    return found.select("value", "n", F.round("discount", 2).alias("discount"), "rank")
+
+
+@query(f"""{_SCORES}, a as (select uid, smape as a from scores where strategy = 'naive'), b as (select uid, smape as b from scores where strategy = 'seasonal' and mase < 1)
+select count(*) as n, round(avg(case when b < a then 1.0 else 0.0 end), 6) as win_rate, round(avg(a), 6) as mean_a, round(avg(b), 6) as mean_b from a left join b on a.uid = b.uid""")
+def paired_arms(spark, sf_dir):
+    """Two arms on the series of the first; where the second lacks one it doesn't win."""
+    w = experiment.win_rate(_scores(spark, sf_dir).where("strategy != 'seasonal' or mase < 1"), "naive", "seasonal")
+    return w.select("n", *(near(F.col(c)).alias(c) for c in ("win_rate", "mean_a", "mean_b")))
+
+
+_BAND = f"""{_ERRORS}, ref as (select uid, err as smape_r, err - (select avg(err) from err x where x.uid = err.uid) as engine_delta from err where member = 0),
+ours as (select uid, avg(err) as mean_smape, stddev_samp(err) as sd_smape, min(err) as low, max(err) as high, count(*) as seeds from err where member > 0 group by uid),
+r as (select uid, avg(rms) as rms_to_reference from (select a.uid, a.member, sqrt(avg((a.value - b.value) * (a.value - b.value))) as rms from ens a join ens b on a.uid = b.uid and a.step = b.step and b.member = 0 where a.member > 0 group by a.uid, a.member) group by uid),
+p as (select uid, median(rms) as rms_between_seeds from (select a.uid, sqrt(avg((a.value - b.value) * (a.value - b.value))) as rms from ens a join ens b on a.uid = b.uid and a.step = b.step and a.member < b.member where a.member > 0 group by a.uid, a.member, b.member) group by uid),
+band as (select ours.*, smape_r, engine_delta, rms_to_reference, rms_between_seeds, smape_r between low and high as in_band, mean_smape - smape_r as delta, abs(engine_delta) <= 0.5 as counts from ours join ref using (uid) join r using (uid) join p using (uid))"""
+
+
+def _band(spark, sf_dir) -> DataFrame:
+    """Members as seeds, and member 0 as the outside run."""
+    points = _ensemble(spark, sf_dir).groupBy("uid", "member").agg(transforms.pack("value", "step").alias("point")).join(_errors(spark, sf_dir), ["uid", "member"])
+    mean = points.groupBy("uid").agg(F.avg("err").alias("mean"))
+    reference = points.where("member = 0").join(mean, "uid").select(F.col("uid").alias("case"), "point", F.col("err").alias("smape"), (F.col("err") - F.col("mean")).alias("engine_delta"))
+    return reports.seed_band(points.where("member > 0").select(F.col("uid").alias("case"), F.col("member").alias("seed"), "point", F.col("err").alias("smape")), reference)
+
+
+@query(f"{_BAND} select uid, seeds, round(mean_smape, 5) as mean_smape, round(sd_smape, 5) as sd_smape, round(rms_to_reference, 4) as rms_to_reference, round(rms_between_seeds, 4) as rms_between_seeds, in_band, round(delta, 5) as delta, counts from band")
+def seed_band(spark, sf_dir):
+    """Our seeds against one outside run, by case."""
+    digits = {"mean_smape": 5, "sd_smape": 5, "rms_to_reference": 4, "rms_between_seeds": 4, "delta": 5}
+    return _band(spark, sf_dir).select(F.col("case").alias("uid"), "seeds", "in_band", "counts", *(near(F.col(c), d).alias(c) for c, d in digits.items()))
+
+
+@query(f"""{_BAND}, g as (select count(*) as n, count(*) filter (where counts) as n_counting, count(*) filter (where counts and not in_band) as out_of_band, avg(delta) filter (where counts) as mean_delta,
+ coalesce(bool_and(abs(delta) <= greatest(1.5, 3 * sd_smape)) filter (where counts), true) as near, coalesce(bool_and(abs(delta) <= abs(engine_delta) + 1.5) filter (where not counts), true) as attributed from band)
+select n, n_counting, out_of_band, round(mean_delta, 5) as mean_delta, attributed, out_of_band <= 1 as g1, coalesce(near and abs(mean_delta) <= 0.5, false) as g2, out_of_band <= 1 and coalesce(near and abs(mean_delta) <= 0.5, false) and attributed as passed from g""")
+def outside_gates(spark, sf_dir):
+    """Whether the whole method agrees with the outside run."""
+    return reports.gates(_band(spark, sf_dir)).withColumn("mean_delta", near(F.col("mean_delta"), 5))

@@ -36,8 +36,8 @@ def runnable_cases(series: DataFrame, both: tuple[str, ...] = (), left_out: tupl
     run with five clusters, those in ``both`` with a number of their own choice too.
     """
     tail = F.when(F.col("m") > 1, 2 * F.col("m")).otherwise(10)
-    variants = F.when(F.col("uid").isin(list(both)), F.array(F.lit("k5"), F.lit("auto"))).otherwise(F.array(F.lit("k5")))
-    kept = series.where((F.col("n_train") - tail > tail) & ~F.col("uid").isin(list(left_out)))
+    variants = F.when(F.col("uid").cast("string").isin([str(u) for u in both]), F.array(F.lit("k5"), F.lit("auto"))).otherwise(F.array(F.lit("k5")))
+    kept = series.where((F.col("n_train") - tail > tail) & ~F.col("uid").cast("string").isin(list(left_out)))
     return kept.select("uid", "m", "h", F.explode(variants).alias("variant"))
 
 
