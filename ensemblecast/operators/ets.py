@@ -109,37 +109,43 @@ class Lanes:
 
     def run(self, p: np.ndarray, lanes: np.ndarray, keep: bool = False):
         """One-step forecasts through time; criterion, and with ``keep`` also fits and last states."""
-        y = self.y[lanes].T
+        y = np.ascontiguousarray(self.y[lanes].T)
         n = len(y)
-        alpha, beta, gamma = p[:, 0], np.where(self.trend[lanes], p[:, 1], 0.0), p[:, 2]
+        alpha, beta, gamma = p[:, 0].copy(), np.where(self.trend[lanes], p[:, 1], 0.0), p[:, 2].copy()
         phi = np.where(self.damped[lanes], p[:, 3], 1.0)
         level, slope = p[:, 4].copy(), np.where(self.trend[lanes], p[:, 5], 0.0)
-        ratio = beta / alpha
         if self.season != "N":
             seasons = np.empty((self.m, len(p)))
             seasons[:-1] = p[:, 6:].T
             seasons[-1] = (self.m if self.season == "M" else 0) - p[:, 6:].sum(axis=1)
-        fits = np.empty((n, len(p)))
+        error = np.empty((n, len(p)))
+        drift, q, step = np.empty(len(p)), np.empty(len(p)), np.empty(len(p))
         with np.errstate(all="ignore"):
-            for t in range(n):
-                drift = phi * slope
-                q = level + drift
-                now = y[t]
+            for t in range(n):  # every state moves by its share of one error; nothing is allocated
+                e = error[t]
+                np.multiply(phi, slope, out=drift)
+                np.add(level, drift, out=q)
+                shock = e
                 if self.season == "N":
-                    fits[t] = q
-                    level = q + alpha * (now - q)
+                    np.subtract(y[t], q, out=e)
                 else:
                     s = seasons[t % self.m]
                     if self.season == "A":
-                        fits[t] = q + s
-                        level = q + alpha * (now - s - q)
-                        seasons[t % self.m] = s + gamma * (now - q - s)
+                        np.subtract(y[t], q, out=e)
+                        e -= s
+                        np.multiply(gamma, e, out=step)
                     else:
-                        fits[t] = q * s
-                        level = q + alpha * (now / s - q)
-                        seasons[t % self.m] = s + gamma * (now / q - s)
-                slope = drift + ratio * (level - q)
-            error = y - fits
+                        np.multiply(q, s, out=step)
+                        np.subtract(y[t], step, out=e)
+                        shock = e / s
+                        np.divide(e, q, out=step)
+                        step *= gamma
+                    s += step
+                np.multiply(alpha, shock, out=step)
+                np.add(q, step, out=level)
+                np.multiply(beta, shock, out=step)
+                np.add(drift, step, out=slope)
+            fits = y - error
             product = self.product[lanes]
             if product.any():
                 error = np.where(product, error / fits, error)
@@ -195,6 +201,7 @@ def search(lanes: Lanes, start: np.ndarray, most: int = MOST_STEPS, tol: float =
         who = np.flatnonzero(used[:, v])
         values[who, v] = lanes.cost(simplex[who, v], who)
     size = lanes.free.sum(axis=1)
+    total = (simplex * used[:, :, None]).sum(axis=1)  # kept up to date, as summing anew is most of a step
 
     for step in range(most):
         k = np.arange(len(live))
@@ -212,12 +219,12 @@ def search(lanes: Lanes, start: np.ndarray, most: int = MOST_STEPS, tol: float =
                 done |= hopeless(step, live, f_lo)
             if done.any():
                 go = ~done
-                live, simplex, values, used, size = live[go], simplex[go], values[go], used[go], size[go]
+                live, simplex, values, used, size, total = live[go], simplex[go], values[go], used[go], size[go], total[go]
                 if not len(live):
                     break
                 continue
-        centre = ((simplex * used[:, :, None]).sum(axis=1) - simplex[k, hi]) / size[:, None]
         worst = simplex[k, hi]
+        centre = (total - worst) / size[:, None]
         first = centre + (centre - worst)
         f_first = lanes.cost(first, live)
         expand = f_first < f_lo
@@ -234,6 +241,7 @@ def search(lanes: Lanes, start: np.ndarray, most: int = MOST_STEPS, tol: float =
         keep = accept | (expand & ~take)
         simplex[k[take], hi[take]], values[k[take], hi[take]] = second[take], f_second[take]
         simplex[k[keep], hi[keep]], values[k[keep], hi[keep]] = first[keep], f_first[keep]
+        total += np.where(take[:, None], second - worst, np.where(keep[:, None], first - worst, 0.0))
         shrink = np.flatnonzero(~take & ~keep)
         if len(shrink):
             base = simplex[shrink, lo[shrink]][:, None, :]
@@ -242,6 +250,7 @@ def search(lanes: Lanes, start: np.ndarray, most: int = MOST_STEPS, tol: float =
             who = shrink[row]
             other = col != lo[who]
             values[who[other], col[other]] = lanes.cost(simplex[who[other], col[other]], live[who[other]])
+            total[shrink] = (simplex[shrink] * used[shrink][:, :, None]).sum(axis=1)
     if len(live):
         k = np.arange(len(live))
         lo = np.where(used, values, np.inf).argmin(axis=1)
