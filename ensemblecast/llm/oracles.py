@@ -42,4 +42,55 @@ k as (select w.r, string_agg(w, ' ' order by w.p) as body, count(*) as n from w
 select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256 from d left join k on d.r = k.r
 """
 
-SQL = {"op4_quality": QUALITY, "op6_line_dedup": line_dedup.passage_sql(), "op7_jaccard_join": JACCARD, "op8_substring_dedup": SUBSTRING}
+FILL = """
+with h as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+d as (select doc_id, t, length(t) as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+ case when n = 0 or h3 % 100 >= 90 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+ sha256(t) as restored_sha256 from p
+"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')" for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: crc32 of the digits of a doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+ lambda c, b: list_reduce(range(0, 8), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)), xor(c, b)), 4294967295::bigint))"""
+
+MERKLE = f"""
+with recursive
+d as (select doc_id, coalesce('=' || lang, '-') as tree, {_leaf("text")} as leaf,
+ case when doc_id is null or {_CRC} % 3 = 0 then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as other from documents),
+l as (select *, row_number() over () as r, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as size from d),
+up as (select tree, 0 as level, pos, leaf as digest, size from l
+ union all select tree, level + 1, pos // 8, sha256(string_agg(digest, '' order by pos)), (size + 7) // 8 from up where size > 1 group by tree, level, pos // 8, size),
+g as (select tree, level as height, digest as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as size from up where size = 1),
+top as (select 0 as level, pos, subroot as digest, size from g
+ union all select level + 1, pos // 8, sha256(string_agg(digest, '' order by pos)), (size + 7) // 8 from top where size > 1 group by level, pos // 8, size),
+n as (select tree, level, pos, list(digest) over w as run from up where size > 1
+ window w as (partition by tree, level, pos // 8 order by pos rows between unbounded preceding and unbounded following)),
+t as (select level, pos, list(digest) over w as run from top where size > 1 window w as (partition by level, pos // 8 order by pos rows between unbounded preceding and unbounded following)),
+p as (select l.r, n.level, (n.pos % 8)::int as slot, n.run from l join n on n.tree = l.tree and n.pos = l.pos // (8 ** n.level)::bigint
+ union all select l.r, g.height + t.level, (t.pos % 8)::int, t.run from l join g on g.tree = l.tree join t on t.pos = g.pos // (8 ** t.level)::bigint),
+s as (select r, level, coalesce(array_to_string(run[1:slot], ''), '') as before, coalesce(array_to_string(run[slot + 2:], ''), '') as after from p),
+f as (select r, 0 as level, coalesce(other, leaf) as node from l
+ union all select f.r, f.level + 1, sha256(before || node || after) from f join s on s.r = f.r and s.level = f.level),
+e as (select r, arg_max(node, level) as folded from f group by r),
+q as (select r, string_agg(before || after, '' order by level) as siblings from s group by r)
+select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256, folded as folded_root, folded = root as verified
+from l join g on g.tree = l.tree join e on e.r = l.r left join q on q.r = l.r cross join (select digest as root from top where size = 1) o
+"""
+
+SQL = {
+    "op4_quality": QUALITY,
+    "op6_line_dedup": line_dedup.passage_sql(),
+    "op7_jaccard_join": JACCARD,
+    "op8_substring_dedup": SUBSTRING,
+    "op11_fill_in_middle": FILL,
+    "op13_merkle": MERKLE,
+}

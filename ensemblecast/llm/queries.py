@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ensemblecast.llm import decontam, jaccard, langid, line_dedup, oracles, packing, quality, sharding, substring, suffix_dedup, toxicity
+from ensemblecast.llm import decontam, fim, jaccard, langid, licences, line_dedup, merkle, oracles, packing, quality, sharding, substring, suffix_dedup, toxicity
 from ensemblecast.session import shared_folder
 
 
@@ -73,6 +74,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ("doc_id", "held_out")).drop("hits")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``other`` is the leaf after tampering, where that is drawn."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    other = F.when(id_hash(3) == 0, merkle.leaf_hash(*(lowered if c == "text" else F.col(c) for c in merkle.FIELDS)))
+    made = merkle.manifest(docs, other=other).withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf"), F.col("proof")))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_reshard": op1_reshard,
     "op2_pack": op2_pack,
@@ -84,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_licences": op12_licences,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = dict(oracles.SQL)
