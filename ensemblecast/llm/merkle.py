@@ -19,7 +19,7 @@ never leaves its row); other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -110,10 +110,10 @@ def traverse(leaves: list[str], levels: int, step: int = SUBTREE) -> Iterator[li
         yield list(path)
 
 
-def _levels(size: int) -> int:
-    """Levels of a block in a tree of so many nodes."""
+def _levels(size: int, block: int) -> int:
+    """Levels of a block in a tree of so many nodes, ``block`` at most."""
     levels = 0
-    while levels < BLOCK and size > ARITY**levels:
+    while levels < block and size > ARITY**levels:
         levels += 1
     return levels
 
@@ -139,38 +139,44 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _NODE = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("digest", pa.string()), ("size", pa.int64())])
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _roots(block: int) -> Callable:
     """The root of each block (tree, block, position, digest, size of the tree) as a node of the next tier."""
-    out: list[tuple] = []
-    for rows in _blocks(batches):
-        tree, block, _, _, size = rows[0]
-        out.append((tree, block, reduce([r[3] for r in rows], _levels(size)), -(-size // ARITY**BLOCK)))
-        if len(out) >= 10_000:
-            yield _batch(out, _NODE)
-            out = []
-    yield _batch(out, _NODE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for rows in _blocks(batches):
+            tree, at, _, _, size = rows[0]
+            out.append((tree, at, reduce([r[3] for r in rows], _levels(size, block)), -(-size // ARITY**block)))
+            if len(out) >= 10_000:
+                yield _batch(out, _NODE)
+                out = []
+        yield _batch(out, _NODE)
+
+    return run
 
 
 _PROOF = pa.list_(pa.struct([("slot", pa.int32()), ("siblings", pa.string())]))
 PROOF = "array<struct<slot: int, siblings: string>>"
 
 
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _proofs(block: int, step: int) -> Callable:
     """Each node (tree, block, position, digest, size, proof above, subroot, root, row) with its proof; a block's first row has what lies above it."""
-    out: list[tuple] = []
-    schema = None
-    for batch in batches:
-        schema = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("digest", pa.string()), ("proof", _PROOF), ("subroot", pa.string()), ("root", pa.string()), ("row", batch.schema.field("row").type)])
-        break
-    else:
-        return
-    for (_, _, _, _, _, above, subroot, root, _), *nodes in _blocks(itertools.chain([batch], batches)):
-        for node, path in zip(nodes, traverse([r[3] for r in nodes], _levels(nodes[0][4]))):
-            out.append((node[0], node[2], node[3], [{"slot": s, "siblings": d} for s, d in path] + above, subroot, root, node[8]))
-            if len(out) >= 2000:
-                yield _batch(out, schema)
-                out = []
-    yield _batch(out, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("digest", pa.string()), ("proof", _PROOF), ("subroot", pa.string()), ("root", pa.string()), first.schema.field("row")])
+        out: list[tuple] = []
+        for (_, _, _, _, _, above, subroot, root, _), *nodes in _blocks(itertools.chain([first], batches)):
+            for node, path in zip(nodes, traverse([r[3] for r in nodes], _levels(nodes[0][4], block), step)):
+                out.append((node[0], node[2], node[3], [{"slot": s, "siblings": d} for s, d in path] + above, subroot, root, node[8]))
+                if len(out) >= 2000:
+                    yield _batch(out, schema)
+                    out = []
+        yield _batch(out, schema)
+
+    return run
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -186,43 +192,39 @@ def ranked(rows: DataFrame) -> DataFrame:
     return cut(table.join(parts, ["tree", "part"]).select("tree", (F.col("at") + F.col("shift")).alias("pos"), "digest", "size", "row"))
 
 
-def _block() -> Column:
-    return F.expr(f"pos div {ARITY**BLOCK}").alias("block")
-
-
-def _in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
+def _in_blocks(nodes: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    return nodes.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos").mapInArrow(kernel, schema)
 
 
-def _climb(nodes: DataFrame) -> list[DataFrame]:
+def _climb(nodes: DataFrame, block: int) -> list[DataFrame]:
     """The tiers of all trees; the last one has a node for each tree."""
     tiers = [nodes]
     most = nodes.agg(F.max("size")).first()[0] or 1
     while most > 1 or len(tiers) < 2:
-        placed = tiers[-1].select("tree", _block(), "pos", "digest", "size")
-        tiers.append(cut(_in_blocks(placed).mapInArrow(_roots, "tree string, pos long, digest string, size long")))
-        most = -(-most // ARITY**BLOCK)
+        placed = tiers[-1].select("tree", F.expr(f"pos div {ARITY**block}").alias("block"), "pos", "digest", "size")
+        tiers.append(cut(_in_blocks(placed, _roots(block), "tree string, pos long, digest string, size long")))
+        most = -(-most // ARITY**block)
     return tiers
 
 
-def _descend(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descend(tiers: list[DataFrame], above: DataFrame, block: int, step: int) -> DataFrame:
     """Proofs of the lowest tier's nodes; ``above`` has tree, proof, subroot, root of each tree's only node."""
     heads = above.withColumn("block", F.lit(0).cast("long"))
-    for k, nodes in enumerate(reversed(tiers[:-1])):
-        kind = tiers[0].schema["row"].dataType if "row" in nodes.columns else None
-        row = F.col("row") if kind else F.lit(None).cast("int").alias("row")
-        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("proof", PROOF), ("subroot", "string"), ("root", "string"))]
-        placed = nodes.select("tree", _block(), "pos", "digest", "size", *nothing, row)
-        lead = heads.select("tree", "block", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("size"), "proof", "subroot", "root", F.lit(None).cast(kind or "int").alias("row"))
-        kept = "int" if kind is None else kind.simpleString()
-        found = _in_blocks(placed.unionByName(lead)).mapInArrow(_proofs, f"tree string, pos long, digest string, proof {PROOF}, subroot string, root string, row {kept}")
-        if k == len(tiers) - 2:
-            return found
-        heads = cut(found.select("tree", F.col("pos").alias("block"), "proof", "subroot", "root"))
-    raise AssertionError("a tree has two tiers at least")
-
-
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", **carried: Column) -> DataFrame:
+    for nodes in reversed(tiers[:-1]):
+        lowest = nodes is tiers[0]
+        kind = nodes.schema["row"].dataType.simpleString() if lowest else "int"
+        none = lambda **columns: [F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        placed = nodes.select(
+            "tree", F.expr(f"pos div {ARITY**block}").alias("block"), "pos", "digest", "size",
+            *none(proof=PROOF, subroot="string", root="string"), *(["row"] if lowest else none(row="int")),
+        )
+        lead = heads.select("tree", "block", F.lit(-1).cast("long").alias("pos"), *none(digest="string", size="long"), "proof", "subroot", "root", *none(row=kind))
+        found = _in_blocks(placed.unionByName(lead), _proofs(block, step), f"tree string, pos long, digest string, proof {PROOF}, subroot string, root string, row {kind}")
+        heads = found if lowest else cut(found.select("tree", F.col("pos").alias("block"), "proof", "subroot", "root"))
+    return heads
+
+
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang", block: int = BLOCK, step: int = SUBTREE, **carried: Column) -> DataFrame:
     """doc_id, leaf, proof, subroot, root of every row, and small columns of docs to be carried along, named by keyword.
 
     A proof's entries go from the leaf up: the place among the parent's children, and the other children's digests in order.
@@ -231,12 +233,12 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "la
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))  # "-" sorts before "="
     doc_id = F.col("doc_id").cast("long")
     row = F.struct(doc_id.alias("doc_id"), *(c.alias(n) for n, c in carried.items()))
-    tiers = _climb(ranked(docs.select(tree.alias("tree"), doc_id.alias("id"), leaf_hash(*(F.col(f) for f in fields)).alias("digest"), row.alias("row"))))
+    tiers = _climb(ranked(docs.select(tree.alias("tree"), doc_id.alias("id"), leaf_hash(*(F.col(f) for f in fields)).alias("digest"), row.alias("row"))), block)
     groups = tiers[-1].select(F.lit("").alias("tree"), F.col("tree").alias("id"), "digest", F.struct("tree").alias("row"))
-    upper = _climb(ranked(groups))
+    upper = _climb(ranked(groups), block)
     top = upper[-1].select("tree", F.array().cast(PROOF).alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    heads = cut(_descend(upper, top).select("row.tree", "proof", F.col("digest").alias("subroot"), "root"))
-    proven = _descend(tiers, heads)
+    heads = cut(_descend(upper, top, block, step).select("row.tree", "proof", F.col("digest").alias("subroot"), "root"))
+    proven = _descend(tiers, heads, block, step)
     return proven.select("row.doc_id", F.col("digest").alias("leaf"), "subroot", "root", "proof", *(F.col("row").getField(n).alias(n) for n in carried))
 
 
