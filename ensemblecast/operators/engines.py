@@ -8,7 +8,6 @@ from typing import NamedTuple, Protocol, runtime_checkable
 import numpy as np
 
 from ensemblecast.operators import ets
-from ensemblecast.operators.nbeats import NBeats
 
 FALLBACK = "naive-fallback"
 
@@ -57,18 +56,33 @@ class SeasonalNaiveEngine:
         return Forecasts(mean, fitted, [f"snaive({lag})"] * len(series), np.zeros(len(series), bool))
 
 
+class Rung(NamedTuple):
+    """One attempt of the ladder: forms, the season they are searched with, and the method's name (None: the form's own)."""
+
+    families: tuple[tuple[str, str, str], ...]
+    season_length: int
+    method: str | None
+
+
 @dataclass(frozen=True)
-class FittedETS:
-    """A series under its best form, or under none."""
+class Smoothed:
+    """What a series is forecast by: a form found on a rung of the ladder, or its last value below the lowest."""
 
-    y: np.ndarray
     form: ets.Fit | None
     method: str
     fallback: bool
+    y: np.ndarray
+
+    def ahead(self, h: int) -> tuple[np.ndarray, bool]:
+        """The forecast, and whether the last value had to stand in for it because it isn't finite throughout."""
+        mean = self.form.forecast(h) if self.form is not None else None
+        if mean is None or not np.isfinite(mean).all():
+            return np.full(h, self.y[-1]), True
+        return mean, False
 
     @property
     def fitted(self) -> np.ndarray:
-        return self.form.fitted if self.form else np.append(np.nan, self.y[:-1])
+        return np.append(np.nan, self.y[:-1]) if self.form is None else self.form.fitted
 
 
 class ETSEngine:
@@ -76,57 +90,45 @@ class ETSEngine:
 
     def __init__(self, season_length: int, families=ets.FAMILIES, most: int = ets.MOST_STEPS, starts: int = 1):
         self.season_length, self.families, self.most, self.starts = season_length, families, most, starts
-
-    def _fits(self, series: np.ndarray) -> list[FittedETS]:
-        """Of rows of equal length, all searched at once; a form counts if its next value is a number."""
-        out = [FittedETS(y, None, FALLBACK, True) for y in series]
-        todo = [k for k, y in enumerate(series) if np.isfinite(y).all() and len(y) > 3]
-        for families, m, tag in ((self.families, self.season_length, None), ((("A", "N", "N"),), 1, "ETS-ANN-fallback")):
-            if todo:
-                for k, fits in zip(todo, ets.fit_families(series[todo], m, families, self.most, self.starts, only_best=True)):
-                    if fits and np.isfinite(fits[0].forecast(1)).all():
-                        out[k] = FittedETS(series[k], fits[0], tag or fits[0].method, tag is not None)
-                todo = [k for k in todo if out[k].form is None]
-        return out
-
-    def fit(self, y: np.ndarray) -> FittedETS:
-        return self._fits(np.asarray(y, float)[None])[0]
-
-    def predict(self, fitted: FittedETS, h: int) -> np.ndarray:
-        """The last value stands in for a forecast that isn't finite throughout."""
-        out = fitted.form.forecast(h) if fitted.form else np.full(h, np.nan)
-        return out if np.isfinite(out).all() else np.full(h, fitted.y[-1])
+        self.ladder = (Rung(families, season_length, None), Rung((("A", "N", "N"),), 1, "ETS-ANN-fallback"))
+
+    def _climb(self, series: np.ndarray) -> list[Smoothed]:
+        """Rows of equal length, each on the first rung where a form's next value is a number.
+
+        A rung searches all rows that are still open at once.
+        """
+        forms = np.full(len(series), None, object)
+        level = np.full(len(series), len(self.ladder))
+        searchable = np.isfinite(series).all(axis=1) if series.shape[1] > 3 else np.zeros(len(series), bool)
+        for k, rung in enumerate(self.ladder):
+            lanes = np.flatnonzero(searchable & (level > k))
+            if not len(lanes):
+                break
+            for lane, ranked in zip(lanes, ets.fit_families(series[lanes], rung.season_length, rung.families, self.most, self.starts, only_best=True)):
+                best = next(iter(ranked), None)
+                if best is not None and np.isfinite(best.forecast(1)).all():
+                    forms[lane], level[lane] = best, k
+        names = [*(r.method for r in self.ladder), FALLBACK]
+        return [Smoothed(f, names[k] or f.method, k > 0, y) for f, k, y in zip(forms, level, series)]
+
+    def fit(self, y: np.ndarray) -> Smoothed:
+        return self._climb(np.asarray(y, float)[None])[0]
+
+    def predict(self, fitted: Smoothed, h: int) -> np.ndarray:
+        return fitted.ahead(h)[0]
 
     def forecast(self, series: np.ndarray, h: int, with_fitted: bool = False) -> Forecasts:
-        fits = self._fits(np.asarray(series, float))
-        mean = np.stack([self.predict(f, h) for f in fits])
-        # what the last value stands in for is counted as a fallback
-        fallback = np.array([f.fallback or not np.isfinite(f.form.forecast(h)).all() for f in fits])
-        return Forecasts(mean, np.stack([f.fitted for f in fits]) if with_fitted else None, [f.method for f in fits], fallback)
+        lanes = self._climb(np.asarray(series, float))
+        means, stand_ins = zip(*(lane.ahead(h) for lane in lanes))
+        fallback = np.array([lane.fallback for lane in lanes]) | np.array(stand_ins)
+        return Forecasts(np.stack(means), np.stack([lane.fitted for lane in lanes]) if with_fitted else None, [lane.method for lane in lanes], fallback)
 
 
-class NBeatsEngine:
-    def __init__(self, season_length: int, **knobs):
-        self.season_length, self.knobs = season_length, knobs
+ENGINES = {"naive": NaiveEngine, "snaive": SeasonalNaiveEngine, "ets": ETSEngine}
 
-    def forecast(self, series: np.ndarray, h: int, with_fitted: bool = False) -> Forecasts:
-        net = NBeats(self.season_length, **self.knobs)
-        fits = [net.fit(y) for y in np.asarray(series, float)]
-        mean = np.stack([net.predict(f, h) for f in fits])
-        fitted = np.stack([net.in_sample(f, h) for f in fits]) if with_fitted else None
-        return Forecasts(mean, fitted, [f.method for f in fits], np.array([f.fallback for f in fits]))
-
-
-def build_engine(name: str, season_length: int, epochs: int = 150, seed: int = 0) -> Engine:
-    """By name: naive, snaive, ets, nbeats, nbeats-i."""
-    patience = max(10, epochs // 10)
-    makers = {
-        "naive": lambda: NaiveEngine(season_length),
-        "snaive": lambda: SeasonalNaiveEngine(season_length),
-        "ets": lambda: ETSEngine(season_length),
-        "nbeats": lambda: NBeatsEngine(season_length, max_epochs=epochs, patience=patience, seed=seed),
-        "nbeats-i": lambda: NBeatsEngine(season_length, interpretable=True, max_epochs=epochs, patience=patience, seed=seed),
-    }
-    if name not in makers:
-        raise ValueError(f"unknown engine {name!r}; one of {sorted(makers)}")
-    return makers[name]()
+
+def build_engine(name: str, season_length: int) -> Engine:
+    """By name: naive, snaive, ets."""
+    if name not in ENGINES:
+        raise ValueError(f"unknown engine {name!r}; one of {sorted(ENGINES)}")
+    return ENGINES[name](season_length)

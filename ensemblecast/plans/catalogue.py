@@ -521,13 +521,6 @@ def ets_forecast(spark, sf_dir):
     return out.select("uid", "method", "fallback", F.posexplode("fc").alias("step", "value"))
 
 
-@query()
-def nbeats_forecast(spark, sf_dir):
-    s = packed(spark, sf_dir).select("uid", "m", "h", F.lit(0).alias("h_val"), F.lit(0).alias("member"), F.col("y_train").alias("y"))
-    out = experiment.forecasts(s, "nbeats-i", validate=False, interpretable=True, seed=1)
-    return out.select("uid", "method", "fallback", F.posexplode("fc").alias("step", "value"))
-
-
 @query()
 def family_averaging(spark, sf_dir):
     s = packed(spark, sf_dir)

@@ -1,5 +1,5 @@
 """``python -m ensemblecast.plans.cli <command>``: precompute, evaluate, report, stats, families, entropy, ablate, instability, calibrate, compare,
-seeds, probe, decompose."""
+seeds."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ import argparse
 from pyspark.sql import functions as F
 
 from ensemblecast.functions import ranks
-from ensemblecast.operators import nbeats, ranktests
 from ensemblecast.plans import experiment, reports
 from ensemblecast.session import local_session
 from ensemblecast.sources import series as sources
 from ensemblecast.sources import store
+from ensemblecast.sources.ledger import Ledger
 
+#: Waves of tasks that fill a bucket.
+WAVES = 4
 DEFAULT_STRATEGIES = "original,none100:mean,none100:trimmed,topk,random,greedy,portfolio,cluster-k5,cluster-auto,paper-k5"
 
 
@@ -22,19 +24,17 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--data", default="data/m3")
     top.add_argument("--root", default="data/runs")
     commands = top.add_subparsers(dest="command", required=True)
-    for name in ("precompute", "evaluate", "report", "stats", "families", "entropy", "ablate", "instability", "calibrate", "compare", "seeds", "probe", "decompose"):
+    for name in ("precompute", "evaluate", "report", "stats", "families", "entropy", "ablate", "instability", "calibrate", "compare", "seeds"):
         p = commands.add_parser(name)
         p.add_argument("--group", default="monthly")
         p.add_argument("--members", type=int, default=1000)
         p.add_argument("--seed", type=int, default=42)
-        p.add_argument("--engine", default="ets", help="ets, nbeats, nbeats-i, naive, snaive; several for compare")
+        p.add_argument("--engine", default="ets", help="ets, naive, snaive; several for compare")
         p.add_argument("--limit", type=int)
         p.add_argument("--uids", nargs="*")
         p.add_argument("--run-id", default="latest")
         p.add_argument("--run-key", help="of the artifacts; by default that of group, members, seed and engine")
-        p.add_argument("--horizon", type=int, default=18)
-        p.add_argument("--epochs", type=int, default=400)
-        p.add_argument("--interpretable", action="store_true")
+        p.add_argument("--buckets", type=int, help="parts of a long run that are committed one by one; by default as many as its fits need")
         p.add_argument("--strategies", default=DEFAULT_STRATEGIES)
         p.add_argument("--n-select", type=int, default=100)
         p.add_argument("--eval-seeds", type=int, nargs="*", default=[0])
@@ -52,12 +52,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session()
     series = sources.load_group(spark, args.data, args.group, args.uids, args.limit).cache()
     keyed = lambda engine: store.run_key(group=args.group, members=args.members, seed=args.seed, engine=engine)
-    files, path, scores = store.Store(spark, args.root), f"{args.root}/artifacts", f"{args.root}/scores/{args.run_id}"
-    artifacts = lambda engine=args.engine: store.read_artifacts(spark, path, store.locate(files, args.run_key or keyed(engine)))
+    files, scores, entropy = store.Store(spark, args.root), f"{args.root}/scores/{args.run_id}", f"{args.root}/family_entropy-{args.run_id}"
+    fits = series.count() * args.members
+    buckets = args.buckets or max(1, -(-fits // (WAVES * experiment.MEMBERS_A_TASK * spark.sparkContext.defaultParallelism)))
+    ledger = lambda name, key: Ledger(spark, args.root, name, key, buckets)
+    artifacts = lambda engine=args.engine: store.widen(ledger("artifacts", store.locate(files, args.run_key or keyed(engine))).read())
     if args.command == "precompute":
         files.put_json(f"manifests/{keyed(args.engine)}.json", {"group": args.group, "members": args.members, "seed": args.seed, "engine": args.engine})
-        todo = store.missing(series, store.read_artifacts(spark, path, keyed(args.engine))) if files.exists("artifacts") else series
-        store.write_artifacts(experiment.stage_a(todo, args.members, args.seed, args.engine), path, keyed(args.engine))
+        ledger("artifacts", keyed(args.engine)).run(series, lambda own: store.narrow(experiment.stage_a(own, args.members, args.seed, args.engine)))
     elif args.command == "evaluate":
         done = artifacts()
         store.require(series, done)
@@ -70,20 +72,20 @@ def main(argv: list[str] | None = None) -> int:
         print({k: v for k, v in found.items() if k != "table"})
         print(found["table"].to_string(index=False))
     elif args.command == "families":
-        # a series whose forms are there isn't fitted again
-        todo = store.missing(series, spark.read.parquet(f"{args.root}/families")) if files.exists("families") else series
-        experiment.family_table(todo).write.mode("append").parquet(f"{args.root}/families")
-        families = spark.read.parquet(f"{args.root}/families").join(series.select("uid"), "uid", "left_semi")
+        forms = ledger("families", store.run_key(group=args.group))
+        forms.run(series, experiment.family_table)
+        families = forms.read().join(series.select("uid"), "uid", "left_semi")
         experiment.family_diagnostics(families).write.mode("overwrite").parquet(f"{args.root}/family_diagnostics")
         experiment.family_scores(families, series).write.mode("overwrite").parquet(scores)
     elif args.command == "entropy":
         done = artifacts()
-        todo = store.missing(done, spark.read.parquet(f"{args.root}/family_entropy")) if files.exists("family_entropy") else done
-        experiment.family_entropy(todo).write.mode("append").parquet(f"{args.root}/family_entropy")
+        agreed = ledger("family_entropy", args.run_key or keyed(args.engine))
+        agreed.run(done.select("uid").distinct(), lambda own: experiment.family_entropy(done.join(own, "uid", "left_semi")))
+        agreed.read().write.mode("overwrite").parquet(entropy)
     elif args.command == "instability":
         specs = args.strategies.split(",")
         gained = experiment.gains(spark.read.parquet(scores), specs[0], **{f"gain_{i}": s for i, s in enumerate(specs[1:], 1)})
-        found = experiment.instability(spark.read.parquet(f"{args.root}/family_entropy"), gained)
+        found = experiment.instability(spark.read.parquet(entropy), gained)
         print(f"n = {found['n']}, least rho at 80 % power: {found['least_rho']}")
         print(found["table"].to_string(index=False))
         found["quartiles"].orderBy("q").show()
@@ -112,48 +114,10 @@ def main(argv: list[str] | None = None) -> int:
             wide = experiment.paired(made, *arms, args.metric).toPandas()
             print(ranktests.wilcoxon(wide[arms[0]], wide[arms[1]]))
             experiment.win_rate(made, arms[0], arms[1], args.metric).show()
-    elif args.command == "seeds":
+    else:  # seeds
         lengths = series.select("uid", "m", "h", F.size("y_train").alias("n_train"))
         rows = reports.seed_runs(series, reports.runnable_cases(lengths), args.eval_seeds, f"{args.root}/seeds", args.members, args.n_select, args.engine)
         rows.groupBy("case", "variant").agg(F.count("*").alias("seeds"), F.avg("smape").alias("mean_smape"), F.stddev("smape").alias("sd_smape")).orderBy("case", "variant").show(100, False)
-    else:  # probe, decompose: one series, on the driver
-        return inspect(series, args)
-    return 0
-
-
-def inspect(series, args) -> int:
-    """Dead units of a network by layer, or the parts of an interpretable forecast."""
-    row = series.orderBy("uid").first()
-    if row is None:
-        print("no such series")
-        return 1
-    deep, probing = args.command == "decompose" or args.interpretable, args.command == "probe"
-    monitors = []
-
-    def watch(network):
-        monitors.append(nbeats.DeadUnits(network))
-        return monitors[-1]
-
-    net = nbeats.NBeats(row["m"], interpretable=deep, max_epochs=args.epochs, patience=args.epochs if probing else max(1, args.epochs // 8), seed=args.seed, monitor_factory=watch)
-    fit = net.fit(row["y_train"])
-    point = net.predict(fit, args.horizon)
-    told = fit.history[args.horizon]
-    if "reason" in told:
-        print(f"{row['uid']}: {told['reason']}")
-        return 1
-    print(f"{row['uid']}: {len(row['y_train'])} points, lookback {told['lookback']}, {told['n_windows']} windows ({told['n_train_windows']} to learn from, {told['n_val_windows']} held out)")
-    if probing:
-        dead = {f"block {b} layer {k}": share for b, layers in enumerate(monitors[-1].rows[-1]["dead"]) for k, share in enumerate(layers)}
-        for name, share in dead.items():
-            print(f"{name}: {share:.0%} dead")
-        worst = max(dead, key=dead.get)
-        print(f"worst: {worst} at {dead[worst]:.0%}; validation loss was least in epoch {told['best_epoch']} of {len(told['val_curve'])}")
-    else:
-        parts = net.contributions(fit, args.horizon)
-        half = net.config.blocks
-        print("step,forecast,trend,seasonal")
-        for k, value in enumerate(point):
-            print(f"{k + 1},{value:.6g},{parts[:half, k].sum():.6g},{parts[half:, k].sum():.6g}")
     return 0
 
 

@@ -6,7 +6,7 @@ once. Stage B selects and combines members for any number of strategies and seed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,28 +26,36 @@ POOL = "uid string, m int, h int, h_val int, member int, y array<double>, lam do
 ARTIFACTS = "uid string, m int, h int, h_val int, member int, y array<double>, val_fc array<double>, val_fallback boolean, fc array<double>, method string, fallback boolean"
 
 
-def pool(series: DataFrame, members: int, seed: int = 42, block: int | None = None) -> DataFrame:
-    """Member rows of every series; the stream of random numbers depends on the seed and the uid only."""
+def pool(series: DataFrame, members: int, seed: int | None = 42, block: int | None = None, parts: int | None = None, span: int = 250, stream: Callable | None = None) -> DataFrame:
+    """Member rows of every series; the stream of random numbers depends on the seed and the uid only.
+
+    A row of work is a range of ``span`` members of one series. It draws the series' whole stream and builds its own
+    members alone, so a long series is many tasks, and the rows are equal however they are dealt.
+    """
     ship(series.sparkSession)
+    stream = stream or bootstrap.series_rng
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                made = bootstrap.bootstrap_pool(np.asarray(row.y_train), members, int(row.m), bootstrap.series_rng(seed, row.uid), block)
+                high = min(members, row.low + span)
+                made = bootstrap.bootstrap_range(np.asarray(row.y_train), members, int(row.m), stream(seed, row.uid), row.low, high, block)
                 yield pd.DataFrame({
-                    "uid": row.uid, "m": row.m, "h": row.h, "h_val": row.h_val, "member": range(members),
+                    "uid": row.uid, "m": row.m, "h": row.h, "h_val": row.h_val, "member": range(row.low, high),
                     "y": list(made.series), "lam": made.lam, "n_clipped": made.clipped,
                 })
 
     n = F.size("y_train")
-    sized = series.select("uid", "m", "h", transforms.default_tail(n, F.col("m")).alias("h_val"), "y_train")
-    return sized.mapInPandas(run, POOL)
+    h_val = F.col("h_val") if "h_val" in series.columns else transforms.default_tail(n, F.col("m")).alias("h_val")
+    sized = series.select("uid", "m", "h", h_val, "y_train", F.explode(F.sequence(F.lit(0), F.lit(members - 1), F.lit(span))).alias("low"))
+    return sized.repartition(parts or series.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, POOL)
 
 
-def forecasts(members: DataFrame, engine: str = "ets", final: bool = True, validate: bool = True, parts: int | None = None, **knobs) -> DataFrame:
+def forecasts(members: DataFrame, engine: str = "ets", final: bool = True, validate: bool = True, parts: int | None = None, fitted: bool = False, dealt: bool = False, **knobs) -> DataFrame:
     """Forecast the held-out tail and the horizon of every member row, many members of equal shape at once.
 
-    Rows are dealt by series and member, so one long series doesn't wait for one task.
+    Rows are dealt by series and member, so one long series doesn't wait for one task; rows that are ``dealt`` stay
+    where they are. ``fitted`` adds the one-step fits at full length (not a number where there is none).
     """
     spark = members.sparkSession
     ship(spark)
@@ -68,27 +76,38 @@ def forecasts(members: DataFrame, engine: str = "ets", final: bool = True, valid
                 else:
                     out["val_fc"], out["val_fallback"] = nothing, None
                 if final:
-                    full = learner.forecast(y, int(h))
+                    full = learner.forecast(y, int(h), fitted)
                     out["fc"], out["method"], out["fallback"] = list(full.mean), full.methods, full.fallback
                 else:
                     out["fc"], out["method"], out["fallback"] = nothing, None, None
+                if fitted:
+                    out["fitted"] = list(full.fitted) if final else nothing
                 yield out
 
-    return members.repartition(parts, "uid", "member").mapInPandas(run, ARTIFACTS)
+    rows = members if dealt else members.repartition(parts, "uid", "member")
+    return rows.mapInPandas(run, ARTIFACTS + (", fitted array<double>" if fitted else ""))
 
 
-def stage_a(series: DataFrame, members: int, seed: int = 42, engine: str = "ets", metric: str = "mape", **knobs) -> DataFrame:
-    """Artifacts: member rows with forecasts, and ``val_err`` against ``actual``, the original series' tail."""
+def with_errors(rows: DataFrame, series: DataFrame, metric: str = "mape") -> DataFrame:
+    """``val_err`` of member rows against ``actual``, the original series' tail."""
     if metric not in metrics.METRICS:
         raise ValueError(f"unknown validation metric {metric!r}; one of {sorted(metrics.METRICS)}")
-    # as many tasks as the fits need, and not fewer than there are cores
-    parts = knobs.pop("parts", None) or max(series.sparkSession.sparkContext.defaultParallelism, -(-series.count() * members // MEMBERS_A_TASK))
-    rows = forecasts(pool(series, members, seed), engine, parts=parts, **knobs)
-    actual = series.select("uid", "y_train")
-    joined = rows.join(actual, "uid").withColumn("actual", F.slice("y_train", F.size("y_train") - F.col("h_val") + 1, F.col("h_val"))).drop("y_train")
+    joined = rows.join(series.select("uid", "y_train"), "uid").withColumn("actual", F.slice("y_train", F.size("y_train") - F.col("h_val") + 1, F.col("h_val"))).drop("y_train")
     return joined.withColumn("val_err", F.when(F.col("val_fc").isNotNull(), metrics.METRICS[metric]("actual", "val_fc")))
 
 
+def stage_a(series: DataFrame, members: int, seed: int = 42, engine: str = "ets", metric: str = "mape", **knobs) -> DataFrame:
+    """Artifacts: member rows with forecasts, and their errors on the held-out tail.
+
+    Replicas are built where they are forecast: a task takes ranges of members, and nothing but the series is shuffled.
+    """
+    # as many tasks as the fits need, and not fewer than there are cores
+    total = series.count() * members
+    parts = knobs.pop("parts", None) or max(series.sparkSession.sparkContext.defaultParallelism, -(-total // MEMBERS_A_TASK))
+    span = max(1, min(members, -(-total // parts)))
+    return with_errors(forecasts(pool(series, members, seed, parts=parts, span=span), engine, dealt=True, **knobs), series, metric)
+
+
 SELECTED = "uid string, strategy string, seed int, member int, k_chosen int, how string"
 
 

@@ -1,4 +1,8 @@
-"""The estimator: bootstrap, validate, select, fit, combine; one series at a time, members in parallel."""
+"""The estimator: bootstrap, validate, select, fit, combine; one series, its members over many tasks.
+
+Members, their forecasts and errors are tables; the driver sees the series, the numbers of the chosen members and their
+forecasts, which are the result.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ensemblecast.operators import bootstrap
 from ensemblecast.operators.selection import AGGREGATORS, METRICS, Artifacts, Clusters, Strategy
-from ensemblecast.plans.experiment import forecasts
+from ensemblecast.plans import experiment
+from ensemblecast.session import cut
 
 
 @dataclass(frozen=True)
@@ -42,39 +49,49 @@ class BaggedForecaster:
         self.h_val, self.block, self.seed, self.engine, self.parts, self.knobs = h_val, block, seed, engine, parts, knobs
         self.info_: dict | None = None
 
-    def _run(self, rows: np.ndarray, members: np.ndarray, h: int, h_val: int, **which):
-        data = [("y", self.season_length, h, h_val, int(k), y.tolist()) for k, y in zip(members, rows)]
-        frame = self.spark.createDataFrame(data, "uid string, m int, h int, h_val int, member int, y array<double>")
-        return forecasts(frame, self.engine, parts=self.parts, **which, **self.knobs).orderBy("member").collect()
-
     def fit(self, y) -> BaggedForecaster:
-        y = np.asarray(y, float)
-        rng = np.random.default_rng(self.seed)
-        self.pool_ = bootstrap.bootstrap_pool(y, self.members, self.season_length, rng, self.block)
-        n, m = len(y), self.season_length
+        y, m = np.asarray(y, float), self.season_length
+        if y.ndim != 1 or not np.isfinite(y).all():
+            raise ValueError("a series has one dimension and finite values only")
+        n = len(y)
         h_val = self.h_val or min(2 * m if m > 1 else 10, (n - 1) // 2)
-        self.info_ = {"lambda": self.pool_.lam, "n_clipped": self.pool_.clipped, "h_val": h_val, "engine": self.engine}
+        seed = np.random.SeedSequence().entropy if self.seed is None else self.seed  # every task draws the same stream
+        members, block, chosen, n_select = self.members, self.block, self.selection, self.n_select
+        parts = self.parts or self.spark.sparkContext.defaultParallelism
+        series = self.spark.createDataFrame([("y", m, 1, int(h_val), y.tolist())], "uid string, m int, h int, h_val int, y_train array<double>")
+        pool = experiment.pool(series, members, None, block, parts, -(-members // parts), stream=lambda *_: np.random.default_rng(seed))
+        told = pool.agg(F.max("lam").alias("lam"), F.sum("n_clipped").alias("n_clipped")).first()
+        self.info_ = {"lambda": told["lam"], "n_clipped": told["n_clipped"], "h_val": h_val, "engine": self.engine}
         if self.h_val is None and h_val < max(4, m):
             warnings.warn(f"{n} points are too few to validate on; members are drawn at random", stacklevel=2)
-            self.artifacts_ = None
-            self.selected_ = np.sort(rng.choice(self.members, min(self.n_select, self.members), replace=False))
-            self.info_ |= {"selection": "fallback_random", "n_val_fallbacks": 0}
-        else:
-            if not 0 < h_val < n - h_val:
-                raise ValueError(f"a tail of {h_val} doesn't fit {n} points")
-            rows = self._run(self.pool_.series, np.arange(self.members), 1, h_val, final=False)
-            tails = np.array([r["val_fc"] for r in rows])
-            actual = y[n - h_val :]
-            self.artifacts_ = Artifacts(self.pool_.series, tails, actual, METRICS[self.metric](actual, tails))
-            self.selected_, k = self.selection.select(self.artifacts_, self.n_select, rng)
-            self.info_ |= {"selection": self.selection.name, "n_val_fallbacks": sum(r["val_fallback"] for r in rows)} | ({"k_chosen": k} if k else {})
-        self.info_["n_members"] = len(self.selected_)
+            rng = bootstrap.after_pool(n, members, m, np.random.default_rng(seed), block)
+            self.members_ = cut(pool)
+            self.selected_ = np.sort(rng.choice(members, min(n_select, members), replace=False))
+            self.info_ |= {"selection": "fallback_random", "n_val_fallbacks": 0, "n_members": len(self.selected_)}
+            return self
+        if not 0 < h_val < n - h_val:
+            raise ValueError(f"a tail of {h_val} doesn't fit {n} points")
+        tails = experiment.forecasts(pool, self.engine, final=False, dealt=True, **self.knobs)
+        self.members_ = cut(experiment.with_errors(tails, series, self.metric))
+
+        def choose(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("member")
+            made = Artifacts(np.stack(frame["y"]), np.stack(frame["val_fc"]), np.asarray(frame["actual"].iloc[0]), frame["val_err"].to_numpy(float))
+            members_, k = chosen.select(made, n_select, bootstrap.after_pool(n, members, m, np.random.default_rng(seed), block))
+            return pd.DataFrame({"member": members_, "k": k, "fallbacks": int(frame["val_fallback"].sum())})
+
+        # the pool has ``members`` rows at most
+        rows = self.members_.groupBy("uid").applyInPandas(choose, "member int, k int, fallbacks int").orderBy("member").collect()
+        self.selected_ = np.array([r["member"] for r in rows])
+        self.info_ |= {"selection": chosen.name, "n_val_fallbacks": rows[0]["fallbacks"], "n_members": len(rows)} | ({"k_chosen": rows[0]["k"]} if rows[0]["k"] else {})
         return self
 
     def predict(self, h: int) -> Forecast:
         if self.info_ is None:
             raise RuntimeError("fit first")
-        rows = self._run(self.pool_.series[self.selected_], self.selected_, h, 0, validate=False)
+        own = self.members_.where(F.col("member").isin(self.selected_.tolist())).select("uid", "m", F.lit(h).alias("h"), F.lit(0).alias("h_val"), "member", "y")
+        made = experiment.forecasts(own, self.engine, validate=False, parts=self.parts, **self.knobs)
+        rows = made.select("member", "fc", "fallback").orderBy("member").collect()
         ensemble = np.array([r["fc"] for r in rows])
         combine = AGGREGATORS[self.aggregator] if isinstance(self.aggregator, str) else self.aggregator
         try:

@@ -104,11 +104,17 @@ def seed_band(points: DataFrame, reference: DataFrame, delta: float = 0.5) -> Da
     })
 
 
-def fitted_ensemble(fits: DataFrame, series: DataFrame) -> DataFrame:
-    """(uid, idx, fitted, residual): the mean of the members' one-step fits ``fits(uid, member, fitted array)``."""
-    rows = fits.select("uid", F.posexplode("fitted").alias("k", "f")).where("not isnan(f)").groupBy("uid", "k").agg(F.avg("f").alias("fitted"))
+def fitted_ensemble(artifacts: DataFrame, selected: DataFrame, series: DataFrame) -> DataFrame:
+    """(uid, strategy, seed, idx, fitted, residual, n): what an ensemble would have said one step ahead, and how far off it was.
+
+    ``fitted`` is the mean of the chosen members' one-step fits, over those that have one at a place. Means are summed up where
+    the members are, before the shuffle; residuals come from a join by place.
+    """
+    own = artifacts.select("uid", "member", "fitted").join(selected.select("uid", "strategy", "seed", "member"), ["uid", "member"])
+    rows = own.select("uid", "strategy", "seed", F.posexplode("fitted").alias("k", "f")).where("not isnan(f)")
+    mean = rows.groupBy("uid", "strategy", "seed", "k").agg(F.avg("f").alias("fitted"), F.count("*").alias("n"))
     actual = series.select("uid", F.posexplode("y_train").alias("k", "y"))
-    return rows.join(actual, ["uid", "k"]).select("uid", (F.col("k") + 1).alias("idx"), "fitted", (F.col("y") - F.col("fitted")).alias("residual"))
+    return mean.join(actual, ["uid", "k"]).select("uid", "strategy", "seed", (F.col("k") + 1).alias("idx"), "fitted", (F.col("y") - F.col("fitted")).alias("residual"), "n")
 
 
 def markdown(frame: DataFrame, title: str, digits: int = 3, most: int = 1000) -> str:

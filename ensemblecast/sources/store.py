@@ -1,4 +1,4 @@
-"""Stores of what is computed from series: run keys, manifests, artifact tables, files and network weights."""
+"""Stores of what is computed from series: run keys, manifests, artifact tables and files."""
 
 from __future__ import annotations
 
@@ -36,7 +36,7 @@ class Store:
         try:
             return bool(fs.exists(path))
         except Py4JJavaError as e:
-            if "AccessDenied" in str(e.java_exception) or "AccessControl" in str(e.java_exception):
+            if e.java_exception.getClass().getSimpleName() in ("AccessControlException", "AccessDeniedException"):
                 return False
             raise
 
@@ -88,31 +88,27 @@ class Store:
     def get_arrays(self, key: str) -> dict[str, np.ndarray]:
         return {r[0]: np.array(r[2]).reshape(r[1]) for r in self.spark.read.parquet(self.uri(key)).collect()}
 
-    def put_network(self, key: str, state: list[dict[str, np.ndarray]]) -> None:
-        """Weights only; nothing that could run code."""
-        self.put_arrays(key, **{f"{i}.{name}": w for i, block in enumerate(state) for name, w in block.items()})
 
-    def get_network(self, key: str) -> list[dict[str, np.ndarray]]:
-        out: dict[int, dict[str, np.ndarray]] = {}
-        for name, w in self.get_arrays(key).items():
-            block, _, weight = name.partition(".")
-            out.setdefault(int(block), {})[weight] = w
-        return [out[k] for k in sorted(out)]
+_NARROW = ("y", "val_fc", "fc", "actual", "fitted")
 
 
-_NARROW = ("y", "val_fc", "fc", "actual")
+def narrow(artifacts: DataFrame) -> DataFrame:
+    """Arrays in single precision, as they are stored."""
+    return artifacts.withColumns({c: F.col(c).cast("array<float>") for c in _NARROW if c in artifacts.columns})
+
+
+def widen(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("array<double>") for c in _NARROW if c in rows.columns})
 
 
 def write_artifacts(artifacts: DataFrame, path: str, key: str) -> None:
     """Append a run's rows under ``run_key=...``, arrays in single precision."""
-    narrow = artifacts.withColumns({c: F.col(c).cast("array<float>") for c in _NARROW if c in artifacts.columns})
-    narrow.withColumn("run_key", F.lit(key)).write.mode("append").partitionBy("run_key").parquet(path)
+    narrow(artifacts).withColumn("run_key", F.lit(key)).write.mode("append").partitionBy("run_key").parquet(path)
 
 
 def read_artifacts(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A run's rows, arrays widened again."""
-    rows = spark.read.parquet(path).where(F.col("run_key") == key).drop("run_key")
-    return rows.withColumns({c: F.col(c).cast("array<double>") for c in _NARROW if c in rows.columns})
+    return widen(spark.read.parquet(path).where(F.col("run_key") == key).drop("run_key"))
 
 
 def locate(store: Store, key: str | None = None, **params) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ensemblecast.operators import boxcox, decompose
-from ensemblecast.operators.bootstrap import block_bootstrap, bootstrap_pool, series_rng
+from ensemblecast.operators.bootstrap import after_pool, bootstrap_range, block_bootstrap, bootstrap_pool, series_rng
 
 
 def test_exponents(golden):
@@ -54,3 +54,15 @@ def test_pool():
     with pytest.raises(ValueError):
         block_bootstrap(x[:5], 8, np.random.default_rng(0))
     assert boxcox.inv_boxcox(np.array([-5.0, 1.0]), 0.5)[1] == 1
+
+
+@pytest.mark.parametrize("span", [1, 7, 19, 50])
+def test_ranges_equal_the_pool(span):
+    y = (120 + 2 * np.arange(144.0)) * (1 + 0.25 * np.sin(np.arange(144) / 12 * 2 * np.pi))
+    whole = bootstrap_pool(y, 20, 12, series_rng(1, "a"))
+    parts = [bootstrap_range(y, 20, 12, series_rng(1, "a"), low, low + span) for low in range(0, 20, span)]
+    np.testing.assert_array_equal(np.vstack([p.series for p in parts]), whole.series)
+    np.testing.assert_array_equal(np.concatenate([p.clipped for p in parts]), whole.clipped)
+    used = series_rng(1, "a")
+    bootstrap_pool(y, 20, 12, used)
+    assert after_pool(144, 20, 12, series_rng(1, "a")).bit_generator.state == used.bit_generator.state

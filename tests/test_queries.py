@@ -123,7 +123,7 @@ def ablated(rows, duck):
 
 #: What must hold of queries that SQL can't express.
 CONTRACTS = {
-    "stl_components": components, "lowess_trend": smooth, "guerrero_exponent": exponents, "bootstrap_members": replicas, "ets_forecast": paths, "nbeats_forecast": paths,
+    "stl_components": components, "lowess_trend": smooth, "guerrero_exponent": exponents, "bootstrap_members": replicas, "ets_forecast": paths,
     "family_averaging": scored("ets_best", "top1_mean", "top15_mean", "aicc_weighted", "all_median", "top5_median"), "pam_labels": clusters,
     "greedy_selection": scored("greedy", "greedy:trimmed", "greedy:mean"), "portfolio_selection": scored("portfolio", "portfolio:mean"),
     "strategy_sweep": scored("original", "none", "topk", "random", "greedy", "portfolio", "cluster-k3", "cluster-auto", "paper-k3"),
@@ -161,7 +161,7 @@ def test_silhouette_by_blocks(spark, duck, monkeypatch):
     assert rows(got.collect(), got.columns) == rows(duck.sql(catalogue.SQL["silhouette_given_labels"]).fetchall(), got.columns)
 
 
-@pytest.mark.parametrize("name, step", [("ets_forecast", "forecasts"), ("nbeats_forecast", "forecasts"), ("family_averaging", "family_table"), ("family_diagnostics", "family_table"), ("bagged_pipeline", "stage_a")])
+@pytest.mark.parametrize("name, step", [("ets_forecast", "forecasts"), ("family_averaging", "family_table"), ("family_diagnostics", "family_table"), ("bagged_pipeline", "stage_a")])
 def test_whole_searches(spark, monkeypatch, name, step):
     """Registered queries search with the operators' defaults."""
     found = {}
