@@ -15,7 +15,9 @@ No step gathers a group of unknown size in one task, and none makes pairs. What
 before it is joined by that key: both sides of each join are then plain shuffles of tables, which adaptive execution
 splits where a core is very common.
 
-A text may be of any length: positions are 43 bits wide, and anchors are chosen a section at a time.
+A text may be of any length: positions are 43 bits wide, and a text of over a megabyte is hashed, searched, cut into segments and
+finished a section at a time, so that memory doesn't grow with it beyond the text itself. A window lies in one section; an anchor whose
+windows lie in two is two entries, which count as two surroundings of one core.
 """
 
 from __future__ import annotations
@@ -117,6 +119,27 @@ def unpack(place):
     return F.shiftright(place, 20), F.shiftright(place, 10).bitwiseAND(F.lit(1023)), place.bitwiseAND(F.lit(1023))
 
 
+def sections(data: np.ndarray, offs: np.ndarray, unit: str, overlap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first unit, values, offsets) of a run of texts at once, or of a long text alone in sections, each of which begins with
+    the last ``overlap`` units of the one before."""
+    if len(data) <= tk.CHUNK_BYTES or len(offs) > 2:
+        yield 0, *units(data, offs, unit)
+    elif unit == "bytes":
+        for lo in range(0, max(1, len(data) - overlap), tk.CHUNK_BYTES):
+            part = data[lo : lo + tk.CHUNK_BYTES + overlap]
+            yield lo, tk.BYTE_VALUES[0][part], np.array([0, len(part)])
+    else:
+        held, first = np.zeros(0, np.uint64), 0
+        for lo, hi in tk.word_sections(data, tk.CHUNK_BYTES):
+            held = np.append(held, tk.section_hashes(data[lo:hi], tk.CHUNK_BYTES))
+            # long words make few units, so sections are gathered until they have enough
+            if hi < len(data) and len(held) < overlap + tk.CHUNK_BYTES // 16:
+                continue
+            yield first, held, np.array([0, len(held)])
+            kept = min(overlap, len(held))
+            first, held = first + len(held) - kept, held[len(held) - kept :]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -126,32 +149,59 @@ def _anchor_rows(spec: Spec) -> Callable:
         for batch in batches:
             rid, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _, data, offs in tk.chunks(batch.column(2)):
-                key, ctx, row, place, run_ = anchors(*units(data, offs, spec.unit), spec)
-                if len(key):
-                    yield pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), pa.array(rid[lo + row]), pa.array(doc[lo + row]), pa.array(place), pa.array(run_)], names=["key", "ctx", "rid", "doc", "place", "run"])
+                for first, values, at in sections(data, offs, spec.unit, spec.length - 1):
+                    key, ctx, row, place, run_ = anchors(values, at, spec)
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), pa.array(rid[lo + row]), pa.array(doc[lo + row]), pa.array(place + (first << 20)), pa.array(run_)], names=["key", "ctx", "rid", "doc", "place", "run"])
 
     return run
 
 
+_SEGMENT = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("blocks", pa.int32()), ("left", pa.int32()), ("seg", pa.binary())])
+
+
+def _cut_out(data: np.ndarray, offs: np.ndarray, picked: list[list[dict]], spec: Spec) -> Iterator[tuple]:
+    """(key, ctx, doc, blocks, left, segment) of each pick of a run of texts, or of one long text."""
+    widest = spec.core + 2 * spec.reach
+    wanted = []  # (text, first unit of the segment, its end, left, pick)
+    for k, own in enumerate(picked):
+        for p in own:
+            pos, left, right = unpack(p["place"])
+            wanted.append((k, pos - left, pos + spec.core + right, left, p))
+    if spec.unit == "bytes":
+        for k, a, b, left, p in wanted:
+            yield p["key"], p["ctx"], p["doc"], p["blocks"], left, data[offs[k] + a : offs[k] + b].tobytes()
+        return
+    wanted.sort(key=lambda w: w[:3])
+    for first, values, at in sections(data, offs, spec.unit, widest):
+        rest = []
+        for w in wanted:
+            k, a, b, left, p = w
+            if first <= a and b - first <= at[k + 1] - at[k]:
+                yield p["key"], p["ctx"], p["doc"], p["blocks"], left, values[at[k] + a - first : at[k] + b - first].tobytes()
+            else:
+                rest.append(w)
+        wanted = rest
+
+
 def _segments(spec: Spec) -> Callable:
     """The units around each representative, as bytes (words: eight bytes each)."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEGMENT)], schema=_SEGMENT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             picked = batch.column(1)
             for lo, hi, data, offs in tk.chunks(batch.column(0)):
-                seq, at = (data, offs) if spec.unit == "bytes" else units(data, offs, spec.unit)
-                out: dict[str, list] = {n: [] for n in ("key", "ctx", "doc", "blocks", "left", "seg")}
-                for k, own in enumerate(picked[lo:hi].to_pylist()):
-                    for p in own:
-                        pos, left, right = unpack(p["place"])
-                        a = at[k] + pos
-                        out["seg"].append(seq[a - left : a + spec.core + right].tobytes())
-                        out["left"].append(left)
-                        for n in ("key", "ctx", "doc", "blocks"):
-                            out[n].append(p[n])
-                if out["key"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["ctx"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["blocks"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["seg"], pa.binary())], names=list(out))
+                rows: list[tuple] = []
+                for row in _cut_out(data, offs, picked[lo:hi].to_pylist(), spec):
+                    rows.append(row)
+                    if len(rows) >= 5000:
+                        yield made(rows)
+                        rows = []
+                if rows:
+                    yield made(rows)
 
     return run
 
@@ -293,7 +343,7 @@ def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finis
     picked = wanted.unionByName(touched).groupBy(*own).agg(F.collect_list("p").alias("picked"))
     names = [c.split()[0] for c in schema.split(", ")]
     kept = cut(
-        docs.join(picked.hint("shuffle_hash"), own, "left").select("doc_id", "text", "rid", "picked")
+        docs.join(picked, own, "left").select("doc_id", "text", "rid", "picked")
         .mapInArrow(_finish(finish, names, False), f"{schema}, rid long, text string, picked array<{wanted.schema['p'].dataType.simpleString()}>")
     )
     segments = kept.where("size(picked) > 0").select("text", "picked").mapInArrow(_segments(spec), "key long, ctx long, doc long, blocks int, left int, seg binary")
@@ -323,20 +373,11 @@ def without_repeats(docs: DataFrame, spec: Spec, decide: Callable, finish: Finis
     known = mixed.join(verdicts, ["key", "ctx"])
     known = known.select(*own, F.when(F.expr("doc > first" if spec.earlier_only else "n > 1"), whole).otherwise(by_kernel).alias("s")).where("s is not null")
     spans = plain.unionByName(known).select(*own, F.explode("s").alias("s")).groupBy(*own).agg(F.collect_set("s").alias("spans"))
-    rest = kept.where("picked is not null").select("doc_id", "text", "rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc")).join(spans.hint("shuffle_hash"), own, "left")
+    rest = kept.where("picked is not null").select("doc_id", "text", "rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc")).join(spans, own, "left")
     rest = rest.select("doc_id", "text", "spans").mapInArrow(_finish(finish, names, True), schema)
     return kept.where("picked is null").select(*names).unionByName(rest)
 
 
-def mask_of(spans: list[dict] | None, n: int) -> np.ndarray:
-    """Which of n units the spans cover."""
-    delta = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        delta[s["a"]] += 1
-        delta[s["b"]] -= 1
-    return np.cumsum(delta[:-1]) > 0
-
-
 def with_rid(docs: DataFrame) -> DataFrame:
     """doc_id, text, rid (a hash of both: equal rows have equal results) and doc (a null id comes last)."""
     return docs.select(

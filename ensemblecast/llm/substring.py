@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ensemblecast.llm import textkit as tk
-from ensemblecast.llm.repeats import Broadcast, Group, Spec, mask_of, without_repeats
+from ensemblecast.llm.repeats import Broadcast, Group, Spec, without_repeats
 
 #: Bytes of reference segments whose automata may be broadcast, an eighth as many words.
 BROADCAST_BYTES = 1 << 20
@@ -140,10 +140,27 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = True, br
         out: list[list] = [[], [], [], []]
         for lo, _, data, offs in tk.chunks(texts):
             for k in range(len(offs) - 1):
-                words, found = data[offs[k] : offs[k + 1]].tobytes().split(), spans[lo + k]  # at the separators of tk.SPACE
-                kept = list(compress(words, ~mask_of(found, len(words)))) if found else words
-                body = b" ".join(kept)
-                for c, v in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode() if with_text else None)):
+                n, removed, body = 0, 0, []
+                digest, gap = hashlib.sha256(), b""
+                starts, ends = tk.intervals(spans[lo + k])
+                own = data[offs[k] : offs[k + 1]]
+                for a, b in tk.word_sections(own):
+                    kept = own[a:b].tobytes().split()  # at the separators of tk.SPACE
+                    n += (count := len(kept))
+                    near = slice(*np.searchsorted(ends, (n - count, n), side="right") + (0, 1))
+                    if len(starts[near]):
+                        gone = np.zeros(count, bool)
+                        for x, y in zip(starts[near], ends[near]):
+                            gone[max(0, x - n + count) : max(0, y - n + count)] = True
+                        removed += int(gone.sum())
+                        kept = list(compress(kept, ~gone))
+                    if kept:
+                        piece = gap + b" ".join(kept)
+                        digest.update(piece)
+                        gap = b" "
+                        if with_text:
+                            body.append(piece)
+                for c, v in zip(out, (n, removed, digest.hexdigest(), b"".join(body).decode() if with_text else None)):
                     c.append(v)
         return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))]
 

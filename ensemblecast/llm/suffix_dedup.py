@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ensemblecast.llm import textkit as tk
-from ensemblecast.llm.repeats import Group, Spec, mask_of, without_repeats
+from ensemblecast.llm.repeats import Group, Spec, without_repeats
 
 
 def _heads(fresh: np.ndarray) -> np.ndarray:
@@ -135,16 +135,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -
         out: list[list] = [[], [], [], [], []]
         for lo, _, data, offs in tk.chunks(texts):
             for k in range(len(offs) - 1):
-                own, found = data[offs[k] : offs[k + 1]], spans[lo + k]
-                removed = runs = 0
-                if found:
-                    gone = mask_of(found, len(own))
-                    removed, runs = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    own, n = own[~gone], len(own)
-                else:
-                    n = len(own)
-                body = own.tobytes()
-                for c, v in zip(out, (n, removed, runs, hashlib.sha256(body).hexdigest(), body if with_text else None)):
+                own = memoryview(np.ascontiguousarray(data[offs[k] : offs[k + 1]]))
+                starts, ends = tk.intervals(spans[lo + k])
+                kept = [own[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(own)])]
+                digest = hashlib.sha256()
+                for part in kept:
+                    digest.update(part)
+                for c, v in zip(out, (len(own), int((ends - starts).sum()), len(starts), digest.hexdigest(), b"".join(kept) if with_text else None)):
                     c.append(v)
         return [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
 

@@ -137,6 +137,46 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return range_hash(prefix(BYTE_VALUES[which][data], which), starts, ends, which)
 
 
+def word_sections(data: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``most`` bytes that cut no word of a text; a longer word is one stretch alone."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(lo + most, n)
+        if hi < n:
+            gap = np.flatnonzero(SPACE[data[lo:hi]])
+            if len(gap):
+                hi = lo + int(gap[-1]) + 1
+            while not len(gap) and hi < n:
+                gap = np.flatnonzero(SPACE[data[hi : hi + most]])
+                hi = min(hi + (int(gap[0]) if len(gap) else most), n)
+        yield lo, hi
+        lo = hi
+
+
+def section_hashes(data: np.ndarray, most: int = CHUNK_BYTES) -> np.ndarray:
+    """Hashes of the words of one stretch, a piece at a time where it is one long word."""
+    if len(data) <= most:
+        starts, ends, _ = words(data, np.array([0, len(data)]))
+        return word_hashes(data, starts, ends)
+    total, factor, base = 0, 1, int(BASES[0])
+    for a in range(0, len(data), most):
+        piece = BYTE_VALUES[0][data[a : a + most]]
+        total += int((piece * powers(len(piece))).sum(dtype=np.uint64)) * factor
+        factor = factor * pow(base, len(piece), 1 << 64) % (1 << 64)
+    return mix(np.array([(total + len(data)) % (1 << 64)], np.uint64))
+
+
+def intervals(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that spans ``a`` to ``b`` cover."""
+    if not spans:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.array([s[k] for s in spans], np.int64) for k in "ab")
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    fresh = np.append(True, a[1:] > b[:-1])
+    return a[fresh], b[np.append(np.flatnonzero(fresh)[1:] - 1, len(b) - 1)]
+
+
 def grams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """First positions and hashes of the k-grams that lie in one row."""
     n = len(hashes) - k + 1

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,3 +108,91 @@ def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert substring.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_sections_of_a_long_text(monkeypatch, unit):
+    """A text in sections has the windows of the whole text, each once, and the same segments around them."""
+    rnd = random.Random(4)
+    text = " ".join("".join(rnd.choice("ab") for _ in range(rnd.choice([1, 2, 3, 700]))) for _ in range(900)).encode()
+    data, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    spec = repeats.Spec(20, 12, 3, unit, False)
+    values, _ = repeats.units(data, offs, unit)
+    monkeypatch.setattr(repeats.tk, "CHUNK_BYTES", 512)
+    seen = np.zeros(len(values), int)
+    for first, own, at in repeats.sections(data, offs, unit, spec.length - 1):
+        np.testing.assert_array_equal(own, values[first : first + len(own)])
+        seen[first : first + max(0, len(own) - spec.length + 1)] += 1
+        key, ctx, row, place, run = repeats.anchors(own, at, spec)
+        picks = [[{"key": 0, "ctx": 0, "doc": 0, "blocks": 1, "place": int(p + (first << 20))} for p in place]]
+        found = Counter(s[-1] for s in repeats._cut_out(data, offs, picks, spec))
+        flat = data if unit == "bytes" else values
+        want = Counter()
+        for p in place:
+            pos, left, right = (int(x) for x in (p >> 20, p >> 10 & 1023, p & 1023))
+            want[flat[first + pos - left : first + pos + spec.core + right].tobytes()] += 1
+        assert found == want
+    assert (seen[: len(values) - spec.length + 1] == 1).all() and not seen[len(values) - spec.length + 1 :].any()
+
+
+def test_intervals():
+    rnd = random.Random(1)
+    for _ in range(200):
+        spans = [{"a": (a := rnd.randrange(40)), "b": a + rnd.randrange(1, 9)} for _ in range(rnd.randrange(6))]
+        mask = [any(s["a"] <= k < s["b"] for s in spans) for k in range(60)]
+        starts = [k for k in range(60) if mask[k] and not (k and mask[k - 1])]
+        ends = [k for k in range(1, 60) if mask[k - 1] and not mask[k]]
+        assert [x.tolist() for x in repeats.tk.intervals(spans)] == [starts, ends]
+
+
+@pytest.mark.parametrize("chunk", [64, 300])
+def test_small_sections(spark, monkeypatch, chunk):
+    """Texts that are finished in sections, in one process: the kernels of both operators over brute force."""
+    monkeypatch.setattr(repeats.tk, "CHUNK_BYTES", chunk)
+    rows = [r for r in corpus(3, "words", 24) if r[0] is not None]
+    for r in rows:
+        text = (r[1] or "").encode()
+        data = np.frombuffer(text, np.uint8)
+        whole = text.split()
+        got, hashes = [], []
+        for a, b in repeats.tk.word_sections(data, chunk):
+            got += data[a:b].tobytes().split()
+            hashes.append(repeats.tk.section_hashes(data[a:b], chunk))
+        assert got == whole
+        want, _ = repeats.units(data, np.array([0, len(data)]), "words")
+        np.testing.assert_array_equal(np.concatenate([np.zeros(0, np.uint64), *hashes]), want)
+
+
+MEMORY = """
+import hashlib, resource, sys
+import numpy as np, pyarrow as pa
+sys.path.insert(0, {root!r})
+from ensemblecast.llm import repeats, substring, suffix_dedup
+rng = np.random.default_rng(1)
+text = np.where(rng.random({size}) < 0.17, 32, rng.integers(97, 123, {size})).astype(np.uint8)
+if {one!r}:
+    text[:] = 97
+column = pa.array([text.tobytes().decode()])
+spans = [[{{"a": 1000 * k, "b": 1000 * k + 700}} for k in range(50)]]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+taken = {{}}
+captured = lambda docs, spec, decide, finish, schema, *rest: taken.update(spec=spec, finish=finish)
+for module in (repeats, substring, suffix_dedup):
+    module.without_repeats = captured
+{module}.remove_repeats(None, with_text=False)
+spec = taken["spec"]
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), column], names=["rid", "doc", "text"])
+n = sum(b.num_rows for b in repeats._anchor_rows(spec)(iter([batch])))
+taken["finish"](column, spans)
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+
+
+@pytest.mark.parametrize("module", ["suffix_dedup", "substring"])
+@pytest.mark.parametrize("one", [False, True])
+def test_memory_of_a_long_text(module, one):
+    """64 MB of words, or of one letter, take under 500 MB beside the text."""
+    code = MEMORY.format(root=str(Path(__file__).parents[2]), module=module, size=64 << 20, one=one)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[1]) < 500, done.stdout
