@@ -15,8 +15,10 @@ from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, que
 from ensemblecast.session import cut
 
 
-#: Standard deviations below a language's usual texts at which a text counts as of no learned language.
-FAR = 12.0
+#: Share of the texts not learned from, of their own language by all signs, that may be taken for foreign.
+FALSE_ALARMS = 0.0005
+#: Odds at which the claim of ``lang`` counts as contradicted.
+CONTRADICTED = 0.9999
 _LAST = (1 << 63) - 1
 
 
@@ -27,12 +29,30 @@ def _rows(docs: DataFrame, *but: str) -> DataFrame:
     return docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rid"), doc, *but)
 
 
+def language_verdicts(docs: DataFrame) -> DataFrame:
+    """row, body and ``reason``, null for texts that stay: no_letter, foreign (far from every learned language), contradicted.
+
+    How far is too far is the FALSE_ALARMS quantile of the typicality of texts that the model hasn't seen and whose predicted language
+    is the claimed one. A claim of a learned language is contradicted where another one has odds of CONTRADICTED or more.
+    """
+    held = queries.id_hash(4) == 2
+    model = langid.fit(docs.where(~held))
+    judged = cut(
+        langid.classify(_rows(docs, "text", "lang").withColumn("body", F.col("text")), model, ("row", "lang", "body"))
+        .withColumn("held", F.crc32(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))) % 4 == 2)
+    )
+    least = judged.where("held and lang_pred = lang and typicality is not null").agg(F.percentile_approx("typicality", FALSE_ALARMS, 100_000)).first()[0]
+    learned = F.col("lang").isin(list(model.languages)) if len(model.languages) <= 1000 else F.col("lang").isNotNull()
+    against = learned & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= CONTRADICTED)
+    reason = F.when(F.col("lang_pred") == "und", "no_letter").when(against, "contradicted").when(F.col("typicality") < F.lit(least), "foreign")
+    return judged.select("row", "lang", "body", reason.alias("reason"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts that are far from every learned language, go; ``lang`` stays as it is."""
-    model = langid.fit(docs.where(queries.id_hash(4) != 2))
-    judged = langid.classify(_rows(docs, "text").withColumn("body", F.col("text")), model, ("row", "body"))
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("typicality") > -FAR))
-    return kept.select(*(F.col("body").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """Texts without a letter, foreign to every learned language, or of another language than claimed, go; ``lang`` stays as it is."""
+    kept = language_verdicts(docs).where("reason is null")
+    own = {"text": F.col("body"), "lang": F.col("lang")}
+    return kept.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +69,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = cut(jaccard.near_duplicates(docs).select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "group_id"))
     first = grouped.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc", "rid")).alias("head"))
     heads = first.select("head.rid", "head.doc").unionByName(grouped.where("group_id is null").select("rid", "doc")).distinct()
-    return _rows(docs).join(heads.hint("shuffle_hash"), ["rid", "doc"], "left_semi").dropDuplicates(["rid", "doc"]).select("row.*")
+    return _rows(docs).join(heads, ["rid", "doc"], "left_semi").dropDuplicates(["rid", "doc"]).select("row.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that cover a benchmark item go."""
     found = decontam.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated")
     leaks = found.select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc")).distinct()
-    return _rows(docs).join(leaks.hint("shuffle_hash"), ["rid", "doc"], "left_anti").select("row.*")
+    return _rows(docs).join(leaks, ["rid", "doc"], "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

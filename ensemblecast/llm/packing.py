@@ -16,10 +16,12 @@ from __future__ import annotations
 import bisect
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +31,34 @@ from ensemblecast.session import cut, ship
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
+#: How a text is split before merging, and characters that the matcher takes at once.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+STRETCH = 100_000
+_SPACED = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \n]")
+
 _encoders: dict[str, object] = {}
 
 
+def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
+    """A text in parts of about ``most`` characters that are split alike alone: each begins with white space after a character that isn't.
+
+    Where no such place is near, as in a megabyte of blanks, a part is longer.
+    """
+    lo, n = 0, len(text)
+    while n - lo > most:
+        cut = _SPACED.search(text, lo + most)
+        if cut is None:
+            break
+        yield text[lo : cut.start()]
+        lo = cut.start()
+    yield text[lo:]
+
+
 def encoder(path: str):
-    """``text -> list of ids`` for a byte-level BPE file of the tokenizers library.
+    """``text -> array of ids`` for a byte-level BPE file of the tokenizers library.
 
-    The vocabulary's own ids are the merge ranks, so the ids equal those of the library; the tests compare them.
+    The vocabulary's own ids are the merge ranks, so the ids equal those of the library; the tests compare them. The library's
+    matcher of the split pattern recurses over a run of white space, so a long run is split by another matcher and merged piece by piece.
     """
     if path not in _encoders:
         import tiktoken
@@ -47,14 +70,29 @@ def encoder(path: str):
         byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        coding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        coding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        pieces = regex.compile(PATTERN)
+        apart = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
 
-        def encode(text: str) -> list[int]:
+        def short(text: str) -> list[int]:
             if any(s in text for s in special):
                 return coding.encode(text, allowed_special="all")
             return coding.encode_ordinary(text)
 
+        def encode(text: str) -> array:
+            ids = array("I")
+            for part in stretches(text):
+                if len(part) <= 2 * STRETCH:
+                    ids.extend(short(part))
+                    continue
+                for own in apart.split(part):
+                    if own in special:
+                        ids.append(special[own])
+                        continue
+                    for piece in pieces.finditer(own):
+                        ids.extend(coding._encode_single_piece(piece.group()))
+            return ids
+
         _encoders[path] = encode
     return _encoders[path]
 
@@ -129,7 +167,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, open_windows: int
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), 0], dtype="<u4")
+                ids = encode(text.as_py() or "")
+                ids.append(0)
+                ids = np.frombuffer(ids, np.uint32).astype("<u4", copy=False)
                 rows.extend(packer.add(doc_id, ids))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
