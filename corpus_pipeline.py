@@ -8,6 +8,8 @@ length, and an empty table stays empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from ensemblecast.llm import decontam, jaccard, langid, line_dedup, packing, que
 from ensemblecast.session import cut
 
 
-#: Share of the texts not learned from, of their own language by all signs, that may be taken for foreign.
-FALSE_ALARMS = 0.0005
+#: Share of the texts of a learned language that may be taken for foreign, if their tail were exponential, and the shares between
+#: which that tail is measured. They lie so far in that a few hundredths of foreign texts among the others move it little.
+FALSE_ALARMS, TAIL = 1e-6, (0.02, 0.1)
 #: Odds at which the claim of ``lang`` counts as contradicted.
 CONTRADICTED = 0.9999
 _LAST = (1 << 63) - 1
@@ -32,8 +35,9 @@ def _rows(docs: DataFrame, *but: str) -> DataFrame:
 def language_verdicts(docs: DataFrame) -> DataFrame:
     """row, body and ``reason``, null for texts that stay: no_letter, foreign (far from every learned language), contradicted.
 
-    How far is too far is the FALSE_ALARMS quantile of the typicality of texts that the model hasn't seen and whose predicted language
-    is the claimed one. A claim of a learned language is contradicted where another one has odds of CONTRADICTED or more.
+    How far is too far is measured on texts that the model hasn't seen and whose predicted language is the claimed one: the tail of
+    their typicality between the shares of TAIL, carried on to FALSE_ALARMS. A claim of a learned language is contradicted where another
+    one has odds of CONTRADICTED or more.
     """
     held = queries.id_hash(4) == 2
     model = langid.fit(docs.where(~held))
@@ -41,10 +45,12 @@ def language_verdicts(docs: DataFrame) -> DataFrame:
         langid.classify(_rows(docs, "text", "lang").withColumn("body", F.col("text")), model, ("row", "lang", "body"))
         .withColumn("held", F.crc32(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))) % 4 == 2)
     )
-    least = judged.where("held and lang_pred = lang and typicality is not null").agg(F.percentile_approx("typicality", FALSE_ALARMS, 100_000)).first()[0]
+    own = judged.where("held and lang_pred = lang and typicality is not null")
+    far, near = own.agg(F.percentile_approx("typicality", list(TAIL), 100_000)).first()[0] or (float("-inf"), float("-inf"))
+    least = far + (near - far) * math.log(FALSE_ALARMS / TAIL[0]) / math.log(TAIL[1] / TAIL[0]) if math.isfinite(far) else far
     learned = F.col("lang").isin(list(model.languages)) if len(model.languages) <= 1000 else F.col("lang").isNotNull()
     against = learned & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= CONTRADICTED)
-    reason = F.when(F.col("lang_pred") == "und", "no_letter").when(against, "contradicted").when(F.col("typicality") < F.lit(least), "foreign")
+    reason = F.when(F.col("lang_pred") == "und", "no_letter").when(F.col("typicality") < F.lit(least), "foreign").when(against, "contradicted")
     return judged.select("row", "lang", "body", reason.alias("reason"))
 
 

@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tre
     members = under.join(shared, "bucket").select("node").distinct()
     forest = cut(sets.join(members, "node").select("node", "weight", "signature", "rep"))
     named = forest.select("rep.rid", "rep.doc", "node")
-    shingled = cut(rows.select("rid", "doc", "text").join(named.hint("shuffle_hash"), ["rid", "doc"]).select("text", "node").mapInArrow(_sets(words), "node long, shingles binary"))
+    shingled = cut(rows.select("rid", "doc", "text").join(named, ["rid", "doc"]).select("text", "node").mapInArrow(_sets(words), "node long, shingles binary"))
 
     exact = Fraction(threshold).limit_denominator(1000)
     found: dict[int, int] = {}

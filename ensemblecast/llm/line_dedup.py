@@ -104,7 +104,7 @@ def remove_repeats(docs: DataFrame, run: int = 3, carry: bool = False, words: in
     gone = later.groupBy("rid", "doc").agg(F.array_distinct(F.flatten(F.collect_set("raw"))).alias("covered"), F.max("total").alias("total"))
 
     # the lines come through the join as an array, as they are asked for one by one
-    out = rows.join(gone.hint("shuffle_hash"), ["rid", "doc"], "left")
+    out = rows.join(gone, ["rid", "doc"], "left")
     every = F.sequence(F.lit(0), F.size("l") - 1)
     left = F.when(F.col("covered").isNull(), F.col("l")).otherwise(F.transform(F.array_except(every, "covered"), lambda i: F.col("l")[i]))
     return out.withColumn("kept_text", F.array_join(left, "\n")).select(

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of each stage."""
 
+import math
 import random
 import re
 import zlib
@@ -13,8 +14,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_language(rows, model):
-    langs, _, far = model.predict([r[1] for r in rows])
-    return [r for r, lang, t in zip(rows, langs, far) if lang != "und" and t > -pipeline.FAR]
+    langs, odds, far = model.predict([r[1] for r in rows])
+    own = sorted(t for r, lang, t in zip(rows, langs, far) if lang == r[2] and zlib.crc32(str(r[0]).encode()) % 4 == 2)
+    a, b = (own[max(0, math.ceil(share * len(own)) - 1)] for share in pipeline.TAIL)
+    least = a + (b - a) * math.log(pipeline.FALSE_ALARMS / pipeline.TAIL[0]) / math.log(pipeline.TAIL[1] / pipeline.TAIL[0])
+    claimed = lambda r, lang, p: r[2] in model.languages and r[2] != lang and p >= pipeline.CONTRADICTED
+    return [r for r, lang, p, t in zip(rows, langs, odds, far) if lang != "und" and t >= least and not claimed(r, lang, p)]
 
 
 def brute_lines(rows, run=3):
@@ -125,7 +130,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_foreign_texts_go(spark):
-    """Unlearned languages and junk, planted in a whole table, go; the table's own texts stay."""
+    """Unlearned languages, junk and false claims, planted in a whole table, go; the table's own texts stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rnd = random.Random(7)
     odd = [
@@ -134,8 +139,12 @@ def test_foreign_texts_go(spark):
         *("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300)) for _ in range(5)), "1234 %% 5678", "",
     ]
     planted = spark.createDataFrame([(10**6 + k, t, "en", "planted", len(t)) for k, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = pipeline.language(spark, docs.unionByName(planted.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])), "")
-    assert kept.where("source = 'planted'").count() == 0 and kept.count() == docs.count()
+    claims = docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(8).select((F.col("doc_id") + 10**7).alias("doc_id"), "text", F.lit("fr").alias("lang"), F.lit("planted").alias("source"), "n_chars")
+    whole = docs.unionByName(planted.unionByName(claims).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).cache()
+    kept = pipeline.language(spark, whole, "").cache()
+    assert kept.columns == docs.columns and kept.where("source = 'planted'").count() == 0 and kept.count() >= 0.995 * docs.count()
+    reasons = {r[0]: r[1] for r in pipeline.language_verdicts(whole).groupBy("reason").count().collect()}
+    assert reasons["no_letter"] == 2 and reasons["contradicted"] >= 8 and reasons["foreign"] >= 7
 
 
 def test_repeated_ids_and_rows(spark, tmp_path):
