@@ -739,3 +739,155 @@ select n, n_counting, out_of_band, round(mean_delta, 5) as mean_delta, attribute
 def outside_gates(spark, sf_dir):
     """Whether the whole method agrees with the outside run."""
     return reports.gates(_band(spark, sf_dir)).withColumn("mean_delta", near(F.col("mean_delta"), 5))
+
+
+# Tests of many groups at once, choices that are judged elsewhere, agreement of labellings.
+
+_STEPS = 1000
+
+
+def _integral(f: str, upto: str) -> str:
+    """Simpson's rule for a function of ``u`` from 0 on, in SQL: another way to a tail than the series of the library."""
+    at = lambda shift: f.replace("u", f"({upto} * (i + {shift}) / {_STEPS})")
+    return f"{upto} / {6 * _STEPS}.0 * list_sum(list_transform(range(0, {_STEPS}), lambda i: {at(0)} + 4 * {at(0.5)} + {at(1)}))"
+
+
+#: Sign patterns of n ranks by their sum.
+_PATTERNS = """ways as (select 0 as k, 0 as s, 1.0::double as c union all
+ select k + 1, s + d * (k + 1), sum(c) from ways cross join (select unnest([0, 1]) as d) x where k < 50 group by k, s + d * (k + 1)),
+upto as (select k, s, sum(c) over (partition by k order by s) as c from ways)"""
+
+
+def _signed_rank_sql(pairs: str, by: str) -> str:
+    """Common tables that end in ``tested(by, n, w, p)`` for ``pairs(by, d)``."""
+    z = "(abs(w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0))"
+    return f"""sized as (select {by}, d, rank() over (partition by {by} order by abs(d)) + (count(*) over (partition by {by}, abs(d)) - 1) / 2.0 as r, count(*) over (partition by {by}, abs(d)) as t from {pairs} where d <> 0),
+summed as (select g.{by}, count(d) as n, coalesce(sum(r) filter (where d > 0), 0) as plus, coalesce(sum(r) filter (where d < 0), 0) as minus, coalesce(sum(t * t - 1.0), 0) as ties
+ from (select distinct {by} from {pairs}) g left join sized on g.{by} = sized.{by} group by g.{by}),
+least_ as (select *, least(plus, minus) as w from summed), {_PATTERNS},
+tested as (select {by}, n, plus, minus, w, case when n = 0 then 1.0 when n <= 50 and ties = 0 then least(1.0, 2 * c / pow(2, n)) else 1 - sqrt(2 / pi()) * {_integral("exp(-u * u / 2)", z)} end as p
+ from least_ l left join upto on upto.k = l.n and upto.s = floor(w))"""
+
+
+_HALVES = """h as (select c_nationkey as nation, c_custkey, count(*) filter (where o_orderstatus = 'F') as a, count(*) filter (where o_orderstatus = 'O') as b,
+ cast(round(coalesce(sum(o_totalprice) filter (where o_orderstatus = 'F'), 0) * 100) as bigint) as x, cast(round(coalesce(sum(o_totalprice) filter (where o_orderstatus = 'O'), 0) * 100) as bigint) as y
+ from customer join orders on o_custkey = c_custkey group by all),
+pairs as (select 'orders ' || nation as unit, a - b as d from h union all select 'cents ' || nation, x - y from h)"""
+
+
+@query(f"""with recursive {_HALVES}, {_signed_rank_sql("pairs", "unit")} select unit, n, round(plus, 2) as w_plus, round(minus, 2) as w_minus, round(w, 2) as w, round(p, 6) as p from tested""")
+def signed_rank_groups(spark, sf_dir):
+    """Signed-rank tests of all nations in one pass: open against finished orders of each customer, by number and by value."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    status = lambda s, c, f: F.coalesce(f(F.when(F.col("o_orderstatus") == s, c)), F.lit(0))
+    cents = lambda s: F.round(status(s, F.col("o_totalprice"), F.sum) * 100).cast("long")
+    h = read("customer").join(read("orders"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "c_custkey").agg(
+        status("F", F.lit(1), F.count).alias("a"), status("O", F.lit(1), F.count).alias("b"), cents("F").alias("x"), cents("O").alias("y")
+    )
+    unit = lambda name, a, b: F.struct(F.concat(F.lit(f"{name} "), F.col("c_nationkey").cast("string")).alias("unit"), F.col(a).alias("a"), F.col(b).alias("b"))
+    pairs = h.select(F.explode(F.array(unit("orders", "a", "b"), unit("cents", "x", "y"))).alias("p")).select("p.*")
+    found = ranks.signed_rank(pairs, "a", "b", ("unit",))
+    return found.select("unit", "n", *(F.round(c, 2).alias(c) for c in ("w_plus", "w_minus", "w")), near(F.col("p")).alias("p"))
+
+
+@query(f"""with c as (select c_nationkey as nation, c_acctbal as x, count(o_orderkey) as y from customer left join orders on o_custkey = c_custkey group by c_nationkey, c_custkey, c_acctbal),
+r as (select nation, rank() over (partition by nation order by x) + (count(*) over (partition by nation, x) - 1) / 2.0 as rx, rank() over (partition by nation order by y) + (count(*) over (partition by nation, y) - 1) / 2.0 as ry from c),
+k as (select nation, corr(rx, ry) as rho, count(*) as n from r group by nation), t as (select *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) as t, n - 2.0 as v from k)
+select nation, n, round(rho, 6) as rho, round(1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_integral("pow(1 + u * u / v, -(v + 1) / 2)", "t")}, 6) as p from t""")
+def spearman_groups(spark, sf_dir):
+    """Rank correlation of a customer's balance and orders in every nation, tails included."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    placed = read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("y"))
+    c = read("customer").join(placed, "c_custkey", "left").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+    return ranks.spearman(c, "x", "y", ("nation",)).select("nation", "n", near(F.col("rho")).alias("rho"), near(F.col("p")).alias("p"))
+
+
+_SEASONS = 5
+
+
+def _by_seasons(spark, sf_dir) -> DataFrame:
+    """Scores of means of the same month over the last 1 to 5 years, on the last year of every nation's orders."""
+    p = sources.nation_months(spark, sf_dir).groupBy("uid").agg(transforms.pack().alias("y"))
+    s = sources.split(p.withColumn("n_train", F.lit(_NT)))
+    made = lambda k: F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda t: sum(F.get("y_train", F.lit(_NT - M * j) + t) for j in range(1, k + 1)) / float(k))
+    arms = F.array(*[F.struct(F.lit(f"k{k}").alias("strategy"), made(k).alias("f")) for k in range(1, _SEASONS + 1)])
+    rows = s.select("uid", "y_test", F.explode(arms).alias("p")).select("uid", "y_test", "p.strategy", "p.f")
+    smape = metrics.array_mean(F.zip_with("y_test", "f", lambda y, f: F.when(y + f > 0, 200 * F.abs(y - f) / F.greatest(y + f, F.lit(1e-9))).otherwise(0.0)))
+    return rows.select("uid", "strategy", near(smape, 4).alias("smape"))
+
+
+_BY_SEASONS = f"""s as ({sources.NATIONS_SQL}), f as (select a.uid, a.idx, a.y, k, avg(b.y) as f from s a cross join (select unnest(range(1, {_SEASONS + 1})) as k) x join s b on a.uid = b.uid and (a.idx - b.idx) % {M} = 0 and a.idx > b.idx and a.idx - b.idx <= {M} * k where a.idx > {_NT} group by all),
+scores as (select uid, 'k' || k as strategy, round(avg(case when y + f > 0 then 200 * abs(y - f) / (y + f) else 0 end), 4) as smape from f group by uid, k),
+base as (select uid, smape as a from scores where strategy = 'k1'), ab as (select strategy, uid, a, smape as b, smape - a as d from scores join base using (uid) where strategy <> 'k1')"""
+
+
+@query(f"""with recursive {_BY_SEASONS}, {_signed_rank_sql("ab", "strategy")},
+hard as (select uid, ceil(row_number() over (order by a, uid) * 10 / count(*) over ()) = 10 as hardest from base),
+told as (select strategy, count(*) as n, avg(d) as mean_difference, avg(case when b < a then 1.0 else 0.0 end) as win_rate, avg(d) filter (where hardest) as hardest_difference, avg(d) filter (where not hardest) as other_difference from ab join hard using (uid) group by strategy)
+select strategy, told.n, round(mean_difference, 6) as mean_difference, round(win_rate, 6) as win_rate, round(hardest_difference, 6) as hardest_difference, round(other_difference, 6) as other_difference, round(w, 2) as w, round(p, 6) as p from told join tested using (strategy)""")
+def paired_by_k(spark, sf_dir):
+    """Averages of k years against one year: paired tests for every k, and differences on the hardest tenth of the series."""
+    t = experiment.paired_tests(_by_seasons(spark, sf_dir), "k1")
+    return t.select("strategy", "n", *(near(F.col(c)).alias(c) for c in ("mean_difference", "win_rate", "hardest_difference", "other_difference")), F.round("w", 2).alias("w"), near(F.col("p")).alias("p"))
+
+
+@query(f"""with recursive {_BY_SEASONS}, halved as (select *, cast(cast('0x' || md5('7:' || uid)[1:8] as bigint) % 2 as varchar) as half from ab),
+chosen as (select half, min(row(error, strategy)) as best from (select half, strategy, avg(b) as error from halved group by all) group by half),
+scored as (select h.half, h.strategy, h.d from halved h join chosen c on c.half <> h.half and h.strategy = c.best[2]),
+parts as (select half, strategy, d from scored union all select 'both', strategy, d from scored), {_signed_rank_sql("parts", "half")},
+told as (select half, string_agg(distinct strategy, ',' order by strategy) as strategy, count(*) as n, avg(d) as mean_difference from parts group by half)
+select half, strategy, told.n, round(mean_difference, 6) as mean_difference, round(w, 2) as w, round(p, 6) as p from told join tested using (half)""")
+def split_half_k(spark, sf_dir):
+    """The number of years chosen on one half of the series and judged on the other."""
+    found = experiment.split_half(_by_seasons(spark, sf_dir), [f"k{k}" for k in range(2, _SEASONS + 1)], "k1", seed=7)
+    return found.select("half", "strategy", "n", near(F.col("mean_difference")).alias("mean_difference"), F.round("w", 2).alias("w"), near(F.col("p")).alias("p"))
+
+
+@query("""with c as (select c_mktsegment as segment, c_nationkey as cluster, count(*) as size from customer group by all), q as (select c.*, n, sum(size) over (partition by segment, n) as pool from c cross join (select unnest([10, 100, 280]) as n) x),
+b as (select *, size / pool * n as share, floor(size / pool * n) as low from q),
+w as (select *, cast(least(size, greatest(1, low + case when row_number() over (partition by segment, n order by low - share, cluster) <= n - sum(low) over (partition by segment, n) then 1 else 0 end)) as bigint) as wanted from b),
+units as (select segment, n, cluster, row_number() over (partition by segment, n order by h desc, cluster) as rn, over_ from (select segment, n, cluster, unnest(range(0, wanted)) as h, over_ from (select *, sum(wanted) over (partition by segment, n) - n as over_ from w))),
+lost as (select segment, n, cluster, count(*) as lost from units where rn <= over_ group by all),
+v as (select w.*, wanted - coalesce(lost, 0) as kept from w left join lost using (segment, n, cluster)),
+rooms as (select segment, n, cluster, row_number() over (partition by segment, n order by h desc, cluster) as rn, under from (select segment, n, cluster, unnest(range(0, size - kept)) as h, under from (select *, n - sum(kept) over (partition by segment, n) as under from v))),
+more as (select segment, n, cluster, count(*) as more from rooms where rn <= under group by all)
+select segment, cast(n as integer) as n, cluster, size, cast(kept + coalesce(more, 0) as bigint) as take from v left join more using (segment, n, cluster)""")
+def exact_allocations(spark, sf_dir):
+    """Members a cluster gives, many pools at once: fewer members than clusters, some, and nearly all of the pool."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("cluster")).agg(F.count("*").alias("size"))
+    pools = c.withColumn("n", F.explode(F.array(*map(F.lit, (10, 100, 280)))))
+    return aggregates.allocate(pools, ["segment", "n"], F.col("n")).select("segment", "n", "cluster", "size", "take")
+
+
+@query("""with v as (select l_returnflag as flag, l_extendedprice as v, count(*) filter (where l_discount < 0.05) as a, count(*) filter (where l_discount >= 0.05) as b from lineitem group by all),
+r as (select flag, sum(a) over (partition by flag order by v) as ra, sum(b) over (partition by flag order by v) as rb, sum(a) over (partition by flag) as n, sum(b) over (partition by flag) as m from v),
+g as (select flag, any_value(n) as n, any_value(m) as m, max(abs(ra / n - rb / m)) as gap from r group by flag), z as (select *, gap * sqrt(n * m / (n + m)) as z from g)
+select flag, cast(n as bigint) as n, cast(m as bigint) as m, round(gap, 8) as gap, round(case when z < 0.2 then 1 else greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: case when k % 2 = 1 then 2 else -2 end * exp(-2 * k * k * z * z))))) end, 6) as p from z""")
+def price_samples(spark, sf_dir):
+    """Do prices of what is sold cheaper follow those of the rest? Two-sample tests by return flag over the whole table."""
+    found = ranks.two_samples(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", F.col("l_discount") >= 0.05, ("l_returnflag",))
+    return found.select(F.col("l_returnflag").alias("flag"), "n", "m", F.round("gap", 8).alias("gap"), near(F.col("p")).alias("p"))
+
+
+@query("""with l as (select c_mktsegment as segment, c_nationkey as a, c_nationkey % 5 as b from customer), c as (select segment, a, b, count(*) as c from l group by all),
+x as (select segment, sum(c * (c - 1) / 2.0) as same, sum(c) as n from c group by segment), ra as (select segment, sum(c * (c - 1) / 2.0) as p from (select segment, a, sum(c) as c from c group by all) group by segment),
+rb as (select segment, sum(c * (c - 1) / 2.0) as p from (select segment, b, sum(c) as c from c group by all) group by segment)
+select segment, cast(n as bigint) as n, round((same - ra.p * rb.p / (n * (n - 1) / 2.0)) / ((ra.p + rb.p) / 2 - ra.p * rb.p / (n * (n - 1) / 2.0)), 8) as ari from x join ra using (segment) join rb using (segment)""")
+def rand_index(spark, sf_dir):
+    """Agreement of two labellings of the customers, by market segment."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("a"), (F.col("c_nationkey") % 5).alias("b"))
+    return ranks.adjusted_rand(c, "a", "b", ("segment",)).select("segment", "n", F.round("ari", 8).alias("ari"))
+
+
+@query(f"""{_REPLICAS}, fits as (select a.uid, a.member, a.idx, b.y as fitted from rep a join rep b on a.uid = b.uid and a.member = b.member and b.idx = a.idx - {M}),
+chosen as (select member, 'first10' as strategy from mem where member < 10 union all select member, 'odd' from mem where member % 2 = 1)
+select fits.uid, strategy, cast(fits.idx as integer) as idx, round(avg(fitted), 4) as fitted, round(any_value(s.y) - avg(fitted), 4) as residual, count(*) as n
+from fits join chosen using (member) join s on s.uid = fits.uid and s.idx = fits.idx group by fits.uid, strategy, fits.idx""")
+def insample_fits(spark, sf_dir):
+    """What two ensembles of seasonal learners would have said one step ahead, and their residuals."""
+    members = _replicas(spark, sf_dir)
+    made = experiment.forecasts(members.select("uid", F.lit(M).alias("m"), F.lit(H).alias("h"), F.lit(0).alias("h_val"), F.col("member").cast("int").alias("member"), "y"), "snaive", validate=False, fitted=True)
+    chosen = lambda name, rows: rows.select("uid", "member", F.lit(name).alias("strategy"), F.lit(0).alias("seed"))
+    selected = chosen("first10", members.where("member < 10")).unionByName(chosen("odd", members.where("member % 2 = 1")))
+    found = reports.fitted_ensemble(made, selected, packed(spark, sf_dir))
+    return found.select("uid", "strategy", F.col("idx").cast("int").alias("idx"), near(F.col("fitted"), 4).alias("fitted"), near(F.col("residual"), 4).alias("residual"), "n")

@@ -111,8 +111,7 @@ def main(argv: list[str] | None = None) -> int:
         if len(arms) > 2:
             print(experiment.compare(made, args.metric, args.control))
         else:
-            wide = experiment.paired(made, *arms, args.metric).toPandas()
-            print(ranktests.wilcoxon(wide[arms[0]], wide[arms[1]]))
+            experiment.paired_tests(made, arms[0], args.metric).show(truncate=False)
             experiment.win_rate(made, arms[0], arms[1], args.metric).show()
     else:  # seeds
         lengths = series.select("uid", "m", "h", F.size("y_train").alias("n_train"))

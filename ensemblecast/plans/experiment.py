@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ensemblecast.functions import aggregates, metrics, ranks, transforms
+from ensemblecast.functions import aggregates, metrics, ranks, tails, transforms
 from ensemblecast.operators import bootstrap, ets, ranktests
 from ensemblecast.operators.engines import build_engine
 from ensemblecast.operators.selection import Artifacts, FirstN, TopK
 from ensemblecast.plans.strategies import Spec, parse
-from ensemblecast.session import ship
+from ensemblecast.session import cut, ship
 
 #: Members that one task fits.
 MEMBERS_A_TASK = 2000
@@ -195,7 +195,7 @@ def stage_b(artifacts: DataFrame, series: DataFrame, texts: list[str], n: int =
 def compare(scores: DataFrame, metric: str = "smape", control: str | None = None) -> dict:
     """Friedman's test, and every strategy against the control with Hochberg's adjustment.
 
-    The table has a row a strategy, so its tails are computed on the driver.
+    The table has a row a strategy.
     """
     mean = scores.groupBy("uid", "strategy").agg(F.avg(metric).alias(metric))
     holes = mean.groupBy("strategy").agg(F.count(metric).alias("n")).collect()
@@ -203,15 +203,14 @@ def compare(scores: DataFrame, metric: str = "smape", control: str | None = None
         raise ValueError(f"not every strategy has every series: { {r['strategy']: r['n'] for r in holes} }")
     if control is not None and control not in {r["strategy"] for r in holes}:
         raise ValueError(f"unknown control {control!r}")
-    parts = ranks.friedman_parts(mean, metric).first()
-    table = ranks.rank_z(mean, metric, control).orderBy("mean_rank", "strategy").toPandas()
-    base = control or table["strategy"].iloc[0]
-    others = table[table["strategy"] != base].reset_index(drop=True)
-    others["p_raw"] = [ranktests.normal_two_sided(z) for z in others["z"]]
+    parts = ranks.friedman_parts(mean, metric).withColumn("p", tails.chi2(F.col("statistic"), (F.col("k") - 1).cast("double"))).first()
+    judged = ranks.rank_z(mean, metric, control).withColumn("p_raw", tails.normal(F.col("z"))).orderBy("mean_rank", "strategy").toPandas()  # a row a strategy
+    base = control or judged["strategy"].iloc[0]
+    others = judged[judged["strategy"] != base].reset_index(drop=True)
     others["p_hochberg"] = ranktests.hochberg(others["p_raw"].to_numpy())
     return {
-        "friedman_pvalue": ranktests.chi2_tail(parts["statistic"], parts["k"] - 1), "control": base,
-        "control_mean_rank": float(table.loc[table["strategy"] == base, "mean_rank"].iloc[0]), "n_series": int(parts["n"]), "table": others,
+        "friedman_pvalue": parts["p"], "control": base,
+        "control_mean_rank": float(judged.loc[judged["strategy"] == base, "mean_rank"].iloc[0]), "n_series": int(parts["n"]), "table": others,
     }
 
 
@@ -227,6 +226,47 @@ def win_rate(scores: DataFrame, a: str, b: str, metric: str = "smape") -> DataFr
     return paired(scores, a, b, metric).agg(F.count("*").alias("n"), F.avg(wins).alias("win_rate"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
 
 
+def against(scores: DataFrame, control: str, metric: str = "smape") -> DataFrame:
+    """(strategy, uid, a, b): every other strategy's average ``b`` beside the control's ``a``, on the series that both have."""
+    mean = scores.groupBy("uid", "strategy").agg(F.avg(metric).alias("b"))
+    base = mean.where(F.col("strategy") == control).select("uid", F.col("b").alias("a"))
+    return mean.where(F.col("strategy") != control).join(base, "uid").select("strategy", "uid", "a", "b")
+
+
+def paired_tests(scores: DataFrame, control: str, metric: str = "smape") -> DataFrame:
+    """Every strategy against the control in one pass: n, mean difference, share of wins, w and p; and the mean difference on
+    the tenth of the series that is hardest for the control, and on the others.
+
+    The tenth is exact: places in order of the control's error (ties by uid) beyond nine tenths of their number.
+    """
+    pairs = cut(against(scores, control, metric))
+    hard = ranks.global_order(pairs.select("uid", "a").distinct(), "a", "uid")
+    total = hard.count()
+    pairs = pairs.join(hard.select("uid", (F.ceil(F.col("r") * 10 / F.lit(max(1, total))) == 10).alias("hardest")), "uid")
+    gap = F.col("b") - F.col("a")
+    told = pairs.groupBy("strategy").agg(
+        F.count("*").alias("n"), F.avg(gap).alias("mean_difference"), F.avg((F.col("b") < F.col("a")).cast("double")).alias("win_rate"),
+        F.avg(F.when(F.col("hardest"), gap)).alias("hardest_difference"), F.avg(F.when(~F.col("hardest"), gap)).alias("other_difference"),
+    )
+    return told.join(ranks.signed_rank(pairs, "b", "a", ("strategy",)).select("strategy", "w", "p"), "strategy")
+
+
+def split_half(scores: DataFrame, candidates: list[str], control: str, metric: str = "smape", seed: int = 0) -> DataFrame:
+    """A choice that is judged on other series than it was made on.
+
+    Series fall into two halves by a hash of seed and uid. On each half the candidate with the least mean error is chosen (ties by
+    name) and scored on the other one. (half, strategy, n, mean_difference, w, p), the half that was scored; ``both`` has all series.
+    """
+    half = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "uid")), 1, 8), 16, 10).cast("long") % 2).cast("string")
+    pairs = cut(against(scores.where(F.col("strategy").isin([*candidates, control])), control, metric).withColumn("half", half))
+    mean = pairs.groupBy("half", "strategy").agg(F.avg("b").alias("error"))
+    chosen = mean.groupBy("half").agg(F.min(F.struct("error", "strategy"))["strategy"].alias("strategy"))
+    scored = pairs.join(chosen.select((1 - F.col("half").cast("int")).cast("string").alias("half"), "strategy"), ["half", "strategy"])
+    scored = cut(scored.select(F.explode(F.array("half", F.lit("both"))).alias("part"), F.col("strategy"), "a", "b"))
+    told = scored.groupBy("part").agg(F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategy"), F.count("*").alias("n"), F.avg(F.col("b") - F.col("a")).alias("mean_difference"))
+    return told.join(ranks.signed_rank(scored, "b", "a", ("part",)).select("part", "w", "p"), "part").withColumnRenamed("part", "half")
+
+
 def require_agreement(one: DataFrame, other: DataFrame, value: str = "smape", most: float = 1e-4) -> float:
     """The greatest distance of two columns by uid, over the series that both have; an error if it isn't under ``most``."""
     both = one.select("uid", F.col(value).alias("a")).join(other.select("uid", F.col(value).alias("b")), "uid", "left")
@@ -363,18 +403,19 @@ def gains(scores: DataFrame, plain: str, **others: str) -> DataFrame:
 def instability(entropy: DataFrame, gained: DataFrame, alpha: float = 0.05) -> dict:
     """Does disagreement of the members on a form predict the gain of bagging?
 
-    Rank correlations of every predictor with every gain (a handful of pairs, tails on the driver), averages by
+    Rank correlations of every predictor with every gain, all in one pass, averages by
     quarter of the first predictor, and the least correlation that the number of series could show.
     """
-    both = entropy.join(gained, "uid").cache()
+    both = cut(entropy.join(gained, "uid"))
     names = [c for c in gained.columns if c != "uid"]
+    spread = lambda names, to: F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])).alias(to)
+    long = both.select("uid", spread(PREDICTORS, "x"), *names).select("uid", "x", spread(names, "y"))
+    long = long.select(F.col("x.name").alias("predictor"), F.col("y.name").alias("gain"), F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+    found = {(r["predictor"], r["gain"]): r for r in ranks.spearman(long, "x", "y", ("predictor", "gain")).collect()}  # a row a pair of measures
     rows = []
-    for predictor in PREDICTORS:
-        for gain in names:
-            r = ranks.spearman(both, predictor, gain).first()
-            rho, n = r["rho"], r["n"]
-            p = 1.0 if rho is None or n < 3 else 0.0 if abs(rho) >= 1 else ranktests.student_two_sided(rho * ((n - 2) / (1 - rho * rho)) ** 0.5, n - 2)
-            rows.append((predictor, gain, rho, p, p < alpha and (rho or 0) > 0))
+    for key in ((p, g) for p in PREDICTORS for g in names):
+        rho, p = (found[key]["rho"], found[key]["p"]) if key in found else (None, 1.0)
+        rows.append((*key, rho, p, p < alpha and (rho or 0) > 0))
     total = both.count()
     table = pd.DataFrame(rows, columns=["predictor", "gain", "rho", "p", "supported"])
     return {"n": total, "least_rho": ranktests.least_detectable_rho(total, alpha) if total > 3 else None, "table": table, "quartiles": quartiles(both, PREDICTORS[0], names)}

@@ -111,7 +111,7 @@ def fitted_ensemble(artifacts: DataFrame, selected: DataFrame, series: DataFrame
     the members are, before the shuffle; residuals come from a join by place.
     """
     own = artifacts.select("uid", "member", "fitted").join(selected.select("uid", "strategy", "seed", "member"), ["uid", "member"])
-    rows = own.select("uid", "strategy", "seed", F.posexplode("fitted").alias("k", "f")).where("not isnan(f)")
+    rows = own.select("uid", "strategy", "seed", F.posexplode("fitted").alias("k", "f")).where("f is not null and not isnan(f)")
     mean = rows.groupBy("uid", "strategy", "seed", "k").agg(F.avg("f").alias("fitted"), F.count("*").alias("n"))
     actual = series.select("uid", F.posexplode("y_train").alias("k", "y"))
     return mean.join(actual, ["uid", "k"]).select("uid", "strategy", "seed", (F.col("k") + 1).alias("idx"), "fitted", (F.col("y") - F.col("fitted")).alias("residual"), "n")
