@@ -3,9 +3,10 @@
 Each rule reads lazily computed text measures. A sample of about ``sample_rows`` rows, chosen by hash from the whole
 table, gives every rule's rejections, and its cost beside the measures that are returned anyway; rules then run in
 order of rejections per second (ties: as they are given), each on the rows that the earlier ones left. The order never
-changes a verdict, only the work.
+changes a verdict, only the work; but as costs are measured, ``rejected_by``, the first rule that rejects a text, may differ
+between two runs where several would.
 
-Null texts have no words; a text may have any length: all of it is read, and it is held alone beyond a megabyte; an
+Null texts have no words; a text may have any length: all of it is read, one of over a megabyte a section at a time; an
 empty table gives an empty result; repeated rows are judged alike; other columns are ignored, whatever their names.
 """
 
@@ -93,6 +94,99 @@ class Measures:
         return self._sum(UPPER[self.data]) / np.maximum(1, self._sum(LETTER[self.data]))
 
 
+class LongMeasures(Measures):
+    """Of one long text, a section at a time; what is held of it whole is a hash for each word, twice at most, and for each line."""
+
+    def _hashes(self):
+        parts = [tk.section_hashes(self.data[a:b], tk.CHUNK_BYTES) for a, b in tk.word_sections(self.data, tk.CHUNK_BYTES)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+    def _n_words(self):
+        return np.array([len(self.hashes)])
+
+    def _parts(self) -> Iterator[np.ndarray]:
+        for a in range(0, len(self.data), tk.CHUNK_BYTES):
+            yield self.data[a : a + tk.CHUNK_BYTES]
+
+    def _word_chars(self):
+        return np.array([sum(int(tk.in_words(p).sum()) for p in self._parts())])
+
+    def _sum(self, mask: np.ndarray) -> np.ndarray:
+        raise NotImplementedError("masks of a long text aren't made")
+
+    def _n_symbols(self):
+        return np.array([sum(int(SYMBOLS[p].sum()) for p in self._parts())])
+
+    def _upper_share(self):
+        upper, letters = (sum(int(kind[p].sum()) for p in self._parts()) for kind in (UPPER, LETTER))
+        return np.array([upper / max(1, letters)])
+
+    def _lines(self):
+        """A line that goes on in the next section is held as its sum so far, its length, and whether it has a word."""
+        made: list[np.ndarray] = []
+        total, length, worded, base = 0, 0, False, int(tk.BASES[0])
+
+        def close() -> None:
+            nonlocal total, length, worded
+            if worded:
+                made.append(tk.mix(np.array([(total + length) % (1 << 64)], np.uint64)))
+            total, length, worded = 0, 0, False
+
+        for part in self._parts():
+            starts, ends, _ = tk.runs(part != 10, np.array([0, len(part)]))
+            if len(part) and part[0] == 10:
+                close()
+            if not len(starts):
+                continue
+            sums, inverse = tk.prefix(tk.BYTE_VALUES[0][part]), tk.powers(len(part) + 1, inverse=True)
+            own = (sums[ends] - sums[starts]) * inverse[starts]
+            full = np.append(0, np.cumsum(~tk.SPACE[part]))
+            has = full[ends] > full[starts]
+            first = int(starts[0] == 0)
+            if first:
+                total += int(own[0]) * pow(base, length, 1 << 64)
+                length, worded = length + int(ends[0]), worded or bool(has[0])
+                if ends[0] < len(part):
+                    close()
+            last = len(starts) - int(ends[-1] == len(part) and len(starts) > first)
+            whole = slice(first, last)
+            made.append(tk.mix(own[whole] + (ends - starts)[whole].astype(np.uint64))[has[whole]])
+            if last < len(starts):
+                total, length, worded = int(own[last]), int(ends[last] - starts[last]), bool(has[last])
+        close()
+        hashes = np.concatenate(made) if made else np.zeros(0, np.uint64)
+        return np.zeros(len(hashes), np.int64), hashes
+
+    def _n_dup_lines(self):
+        hashes = np.sort(self.lines[1])
+        return np.array([int((hashes[1:] == hashes[:-1]).sum())])
+
+    def _grams(self) -> Iterator[tuple[int, np.ndarray]]:
+        """First window and hashes, a section of windows at a time."""
+        size = tk.CHUNK_BYTES // 8
+        for a in range(0, len(self.hashes) - 4, size):
+            own = self.hashes[a : a + size + 4]
+            yield a, tk.grams(own, np.zeros(len(own), np.int8), 5)[1]
+
+    def _n_repeat_words(self):
+        every = np.concatenate([g for _, g in self._grams()]) if len(self.hashes) > 4 else np.zeros(0, np.uint64)
+        every.sort()
+        again = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
+        covered = np.zeros(len(self.hashes), bool)
+        for a, g in self._grams():
+            near = np.minimum(np.searchsorted(again, g), len(again) - 1) if len(again) else None
+            if near is not None:
+                hit = np.flatnonzero(again[near] == g) + a
+                for k in range(5):
+                    covered[hit + k] = True
+        return np.array([int(covered.sum())])
+
+
+def measures_of(data: np.ndarray, offs: np.ndarray) -> Measures:
+    return LongMeasures(data, offs) if len(offs) == 2 and len(data) > tk.CHUNK_BYTES else Measures(data, offs)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -123,7 +217,7 @@ def cascade(data: np.ndarray, offs: np.ndarray, rules: tuple[Rule, ...], measure
     ``measures`` may bring in measures that are known already; texts are copied only once half have gone.
     """
     verdict, left = np.full(len(offs) - 1, -1), np.arange(len(offs) - 1)
-    m = measures or Measures(data, offs)
+    m = measures or measures_of(data, offs)
     view = left
     for k, rule in enumerate(rules):
         if not len(left):
@@ -154,9 +248,9 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
         spent, rejected = np.full(len(rules), 1e-9), np.zeros(len(rules), int)
         for batch in batches:
             for _, _, data, offs in tk.chunks(batch.column(0)):
-                known = _returned(Measures(data, offs))
+                known = _returned(measures_of(data, offs))
                 for k, rule in enumerate(rules):
-                    m = Measures(data, offs)
+                    m = measures_of(data, offs)
                     vars(m).update(known)
                     began = time.perf_counter()
                     rejected[k] += int(rule.rejects(m).sum())
@@ -182,7 +276,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in tk.chunks(batch.column(1)):
-                m = Measures(data, offs)
+                m = measures_of(data, offs)
                 failed = np.logical_or.reduce([r.rejects(m) for r in BASE])
                 verdict = np.where(failed, 0, -1)
                 left = np.flatnonzero(~failed)

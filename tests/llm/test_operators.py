@@ -269,6 +269,46 @@ def test_order_of_rules(spark):
     assert quality.order_rules(docs, spy, 40) == spy and quality.order_rules(docs.where("false"), rules) == rules
 
 
+@pytest.mark.parametrize("chunk", [16, 40, 1000])
+def test_measures_in_sections(monkeypatch, chunk):
+    """A long text's measures, section by section, are those of the whole text."""
+    rnd = random.Random(11)
+    monkeypatch.setattr(quality.tk, "CHUNK_BYTES", chunk)
+    for k in range(40):
+        t = "".join(rnd.choice(["ab ", "c ", "Éx", "\n", "\n\n", "#", "same line\n", " ", "\t", "Q", "x" * 30]) for _ in range(rnd.choice([3, 60, 300])))
+        data = np.frombuffer(t.encode(), np.uint8)
+        offs = np.array([0, len(data)])
+        whole, parts = quality.Measures(data, offs), quality.LongMeasures(data, offs)
+        for name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "upper_share"):
+            assert getattr(whole, name).tolist() == getattr(parts, name).tolist(), (name, t)
+
+
+LONG = """
+import sys, tracemalloc
+import numpy as np
+sys.path.insert(0, {root!r})
+from ensemblecast.llm import quality
+rng = np.random.default_rng(1)
+size = 64 << 20
+text = np.where(rng.random(size) < 0.17, np.where(rng.random(size) < 0.1, 10, 32), rng.integers(97, 123, size)).astype(np.uint8)
+"""
+
+
+def test_measures_of_a_long_text_in_little_memory():
+    """64 MB of words: what is held beside the text stays under 500 MB."""
+    code = LONG.format(root=str(Path(__file__).parents[2])) + """
+tracemalloc.start()
+m = quality.measures_of(text, np.array([0, size]))
+quality._returned(m)
+for r in quality.RULES:
+    r.rejects(m)
+print(tracemalloc.get_traced_memory()[1] >> 20)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.splitlines()[-1]) < 500
+
+
 # language
 
 
