@@ -83,8 +83,13 @@ def main(argv: list[str] | None = None) -> int:
         agreed.run(done.select("uid").distinct(), lambda own: experiment.family_entropy(done.join(own, "uid", "left_semi")))
         agreed.read().write.mode("overwrite").parquet(entropy)
     elif args.command == "instability":
-        specs = args.strategies.split(",")
-        gained = experiment.gains(spark.read.parquet(scores), specs[0], **{f"gain_{i}": s for i, s in enumerate(specs[1:], 1)})
+        specs, made = args.strategies.split(","), spark.read.parquet(scores)
+        if files.exists("ablation") and not made.where("strategy = 'original'").isEmpty():
+            # member 0 alone and the plain strategy are one forecast, however they were computed
+            alone = spark.read.parquet(f"{args.root}/ablation").where("arm = 'member0'")
+            plain = made.where("strategy = 'original'").groupBy("uid").agg(F.avg("smape").alias("smape"))
+            print(f"member 0 and the plain strategy differ by {experiment.require_agreement(alone, plain):.1e} at most")
+        gained = experiment.gains(made, specs[0], **{f"gain_{i}": s for i, s in enumerate(specs[1:], 1)})
         found = experiment.instability(spark.read.parquet(entropy), gained)
         print(f"n = {found['n']}, least rho at 80 % power: {found['least_rho']}")
         print(found["table"].to_string(index=False))

@@ -243,7 +243,7 @@ def test_commands(spark, tmp_path, capsys):
     assert sorted((r["case"], r["seed"]) for r in found) == [(f"s{k}", seed) for k in range(4) for seed in (1, 2, 3)]
     assert all(len(r["point"]) == 18 and r["variant"] == "k5" and r["n_members"] for r in found)
     out = capsys.readouterr().out
-    assert "friedman_pvalue" in out
+    assert "friedman_pvalue" in out and "differ by" in out
     with pytest.raises(LookupError, match="there are"):
         cli.main([*base, "evaluate", *small, "--engine", "ets"])
 
