@@ -29,6 +29,9 @@ from ensemblecast.llm import textkit as tk
 from ensemblecast.session import cut, ship
 
 
+_LAST = (1 << 63) - 1
+
+
 class Items:
     """Token hashes of benchmark items and the postings of their grams."""
 
@@ -61,17 +64,36 @@ class _Side:
         near = free.copy()
         near[1:] |= free[:-1]  # a token that can't be marked stays between runs
         self.at = np.flatnonzero(near)
-        self.free, self.sums = free[self.at], tk.prefix(tokens[self.at])
+        self.tokens = tokens[self.at]
+        self.free, self.sums = free[self.at], tk.prefix(self.tokens)
+
+    def grams(self, tile: int) -> np.ndarray:
+        """The different grams of tokens that may be marked."""
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], self.free.astype(np.int8), [0]])))
+        stretch = np.repeat(np.arange(len(edge) // 2), edge[1::2] - edge[::2])
+        return np.unique(tk.grams(self.tokens[self.free], stretch, tile)[1])
 
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         starts = _whole(self.free, size)
         return starts, tk.range_hash(self.sums, starts, starts + size)
 
 
+def _shared(tokens: np.ndarray, grams: np.ndarray, tile: int) -> np.ndarray:
+    """Which tokens lie in a gram that is among ``grams`` (in ascending order)."""
+    free = np.zeros(len(tokens), bool)
+    if len(grams):
+        for a, own in tk.gram_sections(tokens, tile):
+            at = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, own), len(grams) - 1)] == own) + a
+            for k in range(tile):
+                free[at + k] = True
+    return free
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
     """(document position, item position, tokens) of the tiles of two arrays of token hashes."""
-    grams = [tk.grams(x, np.zeros(len(x), int), tile)[1] for x in (doc, item)]
-    sides = [_Side(x, tk.spread(np.flatnonzero(np.isin(own, other)), tile, len(x))) for x, own, other in ((doc, *grams), (item, *grams[::-1]))]
+    of_item = [g for _, g in tk.gram_sections(item, tile)]
+    left = _Side(doc, _shared(doc, np.unique(np.concatenate(of_item)) if of_item else item[:0], tile))
+    sides = [left, _Side(item, _shared(item, left.grams(tile), tile))]
 
     def longest_first(size: int) -> tuple[int, int] | None:
         (at_d, of_d), (at_i, of_i) = sides[0].runs(size), sides[1].runs(size)
@@ -136,10 +158,16 @@ def leaks(data: np.ndarray, offs: np.ndarray, items: Items, tile: int, threshold
     """(row, item index, coverage) of the items that reach the threshold."""
     if not len(items.grams):
         return
-    _, _, owner, hashes = tk.tokens(data, offs)
-    at, grams = tk.grams(hashes, owner, tile)
-    first = np.searchsorted(owner, np.arange(len(offs)))
-    for r, i in _candidates(owner[at], grams, items, tile, threshold):
+    if tk.is_long(data, offs):
+        hashes = tk.long_hashes(data, folded=True)
+        known = [own[items.grams[np.minimum(np.searchsorted(items.grams, own), len(items.grams) - 1)] == own] for _, own in tk.gram_sections(hashes, tile)]
+        grams = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+        row, first = np.zeros(len(grams), int), np.array([0, len(hashes)])
+    else:
+        _, _, owner, hashes = tk.tokens(data, offs)
+        at, grams = tk.grams(hashes, owner, tile)
+        row, first = owner[at], np.searchsorted(owner, np.arange(len(offs)))
+    for r, i in _candidates(row, grams, items, tile, threshold):
         found = coverage(hashes[first[r] : first[r + 1]], items.hashes[items.first[i] : items.first[i + 1]], tile)
         if found >= threshold:
             yield r, i, float(found)
@@ -189,27 +217,32 @@ def _joined(rows: DataFrame, items: DataFrame, tile: int, threshold: float) -> D
     items = cut(items.withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]))
     theirs = cut(items.select("item", "text").mapInArrow(_seeds(tile, False), "item long, gram long, place long, size long"))
     ours = rows.select("rid", "doc_id", "text").mapInArrow(_seeds(tile, True), "rid long, doc_id long, gram long, place long, size long").select("rid", "doc_id", "gram")
-    shared = ours.join(theirs, "gram").groupBy("rid", "doc_id", "item").agg(F.array_sort(F.collect_set("place")).alias("at"), F.max("size").alias("size"))
+    shared = ours.join(theirs, "gram").groupBy("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "item").agg(F.array_sort(F.collect_set("place")).alias("at"), F.max("size").alias("size"))
     step = F.aggregate(F.sequence(F.lit(1), F.size("at") - 1), F.lit(0).cast("long"), lambda s, k: s + F.least(F.lit(tile).cast("long"), F.col("at")[k] - F.col("at")[k - 1]))
     reach = F.lit(tile) + F.when(F.size("at") > 1, step).otherwise(F.lit(0).cast("long"))
-    pairs = cut(shared.where(reach >= threshold * F.col("size")).select("rid", "item"))
-    texts = rows.select("rid", "text").dropDuplicates(["rid"]).join(pairs, "rid").select("rid", "item", "text")
-    both = texts.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("rid", "item_id", "text", "item_text")
+    pairs = cut(shared.where(reach >= threshold * F.col("size")).select("rid", "doc", "item"))
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
+    texts = rows.select("rid", "doc", "text").dropDuplicates(["rid", "doc"]).join(pairs, ["rid", "doc"])
+    both = texts.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").select("rid", "doc", "item_id", "text", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in tk.chunks(batch.column(2)):
+            for lo, hi, data, offs in tk.chunks(batch.column(3)):
                 sides = []
-                for d, o in ((data, offs), tk.buffer(batch.column(3)[lo:hi])):
+                for d, o in ((data, offs), tk.buffer(batch.column(4)[lo:hi])):
+                    if tk.is_long(d, o):
+                        hashes = tk.long_hashes(d, folded=True)
+                        sides.append((hashes, np.array([0, len(hashes)])))
+                        continue
                     _, _, owner, hashes = tk.tokens(d, o)
                     sides.append((hashes, np.searchsorted(owner, np.arange(hi - lo + 1))))
                 (doc, a), (item, b) = sides
                 found = [coverage(doc[a[k] : a[k + 1]], item[b[k] : b[k + 1]], tile) for k in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(found, pa.float64())], names=["rid", "item_id", "coverage"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(3)), pa.array(found, pa.float64())], names=["rid", "doc", "item_id", "coverage"])
 
-    found = both.mapInArrow(run, "rid long, item_id long, coverage double").where(F.col("coverage") >= threshold)
-    found = found.groupBy("rid").agg(F.max("coverage").alias("coverage"), F.collect_set("item_id").alias("items"))
-    return rows.select("doc_id", "rid").join(found, "rid", "left").select(
+    found = both.mapInArrow(run, "rid long, doc long, item_id long, coverage double").where(F.col("coverage") >= threshold)
+    found = found.groupBy("rid", "doc").agg(F.max("coverage").alias("coverage"), F.collect_set("item_id").alias("items"))
+    return rows.select("doc_id", "rid", "doc").join(found, ["rid", "doc"], "left").select(
         "doc_id", "rid", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
     )
 

@@ -69,6 +69,13 @@ def next_depth(found: dict[int, int], threshold: float, trees: int, recall: floa
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the different shingles of each text, in order."""
+    if tk.is_long(data, offs):
+        h = tk.long_hashes(data)
+        value = np.concatenate([g for _, g in tk.gram_sections(h, k)]) if len(h) >= k else tk.range_hash(tk.prefix(h, 1), np.zeros(min(1, len(h)), int), np.full(min(1, len(h)), len(h)), 1)
+        del h
+        value.sort()
+        value = value[np.append(True, value[1:] != value[:-1])] if len(value) else value
+        return np.zeros(len(value), np.int8), value
     starts, ends, rows = tk.words(data, offs)
     h = tk.word_hashes(data, starts, ends)
     at, grams = tk.grams(h, rows, k)
@@ -83,25 +90,34 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
     return row[fresh], value[fresh]
 
 
+#: Shingles that are hashed at once; runs of several texts have fewer.
+BLOCKED = 1 << 20
+
+
 def _signatures(k: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in tk.chunks(batch.column(2)):
                 row, value = shingles(data, offs, k)
-                own, at, size = np.unique(row, return_index=True, return_counts=True)
-                if not len(own):
+                if not len(row):
                     continue
-                sid = tk.mix(np.add.reduceat(tk.mix(value), at) + size.astype(np.uint64)).view(np.int64)
-                check = np.add.reduceat(tk.mix(value * tk.BASES[1] + tk.BASES[0]), at).view(np.int64)
-                low = (value >> np.uint64(32)).astype(np.uint32)
-                signature = np.empty((len(own), trees, MAX_DEPTH), "<u2")
-                for t in range(trees):
-                    for d in range(MAX_DEPTH):
-                        x = low * _SCALE[t, d] + _SHIFT[t, d]
-                        x ^= x >> np.uint32(15)
-                        x *= np.uint32(0x2C1B3C6D)
-                        least = np.minimum.reduceat(x, at)  # its high bits are near zero; mixed, the low ones serve
-                        signature[:, t, d] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+                own, at, size = np.unique(row, return_index=True, return_counts=True)
+                sums, check, least = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64), np.full((len(own), trees, MAX_DEPTH), 0xFFFFFFFF, np.uint32)
+                for a in range(0, len(value), BLOCKED):  # more than one for a long text only
+                    part = value[a : a + BLOCKED]
+                    near = at if len(part) == len(value) else at[:1]
+                    sums += np.add.reduceat(tk.mix(part), near)
+                    check += np.add.reduceat(tk.mix(part * tk.BASES[1] + tk.BASES[0]), near)
+                    low = (part >> np.uint64(32)).astype(np.uint32)
+                    for t in range(trees):
+                        for d in range(MAX_DEPTH):
+                            x = low * _SCALE[t, d] + _SHIFT[t, d]
+                            x ^= x >> np.uint32(15)
+                            x *= np.uint32(0x2C1B3C6D)
+                            np.minimum(least[:, t, d], np.minimum.reduceat(x, near), out=least[:, t, d])
+                sid, check = tk.mix(sums + size.astype(np.uint64)).view(np.int64), check.view(np.int64)
+                # the high bits of a least value are near zero; mixed, the low ones serve
+                signature = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
                 width = trees * MAX_DEPTH * VALUE
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(own), [None, pa.py_buffer(signature.tobytes())]).cast(pa.binary())
                 pick = pa.array(lo + own)

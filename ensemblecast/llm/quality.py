@@ -98,8 +98,7 @@ class LongMeasures(Measures):
     """Of one long text, a section at a time; what is held of it whole is a hash for each word, twice at most, and for each line."""
 
     def _hashes(self):
-        parts = [tk.section_hashes(self.data[a:b], tk.CHUNK_BYTES) for a, b in tk.word_sections(self.data, tk.CHUNK_BYTES)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return tk.long_hashes(self.data)
 
     def _n_words(self):
         return np.array([len(self.hashes)])
@@ -161,20 +160,13 @@ class LongMeasures(Measures):
         hashes = np.sort(self.lines[1])
         return np.array([int((hashes[1:] == hashes[:-1]).sum())])
 
-    def _grams(self) -> Iterator[tuple[int, np.ndarray]]:
-        """First window and hashes, a section of windows at a time."""
-        size = tk.CHUNK_BYTES // 8
-        for a in range(0, len(self.hashes) - 4, size):
-            own = self.hashes[a : a + size + 4]
-            yield a, tk.grams(own, np.zeros(len(own), np.int8), 5)[1]
-
     def _n_repeat_words(self):
-        every = np.concatenate([g for _, g in self._grams()]) if len(self.hashes) > 4 else np.zeros(0, np.uint64)
+        every = np.concatenate([g for _, g in tk.gram_sections(self.hashes, 5)]) if len(self.hashes) > 4 else np.zeros(0, np.uint64)
         every.sort()
         again = np.unique(every[1:][every[1:] == every[:-1]])
         del every
         covered = np.zeros(len(self.hashes), bool)
-        for a, g in self._grams():
+        for a, g in tk.gram_sections(self.hashes, 5):
             near = np.minimum(np.searchsorted(again, g), len(again) - 1) if len(again) else None
             if near is not None:
                 hit = np.flatnonzero(again[near] == g) + a
@@ -184,7 +176,7 @@ class LongMeasures(Measures):
 
 
 def measures_of(data: np.ndarray, offs: np.ndarray) -> Measures:
-    return LongMeasures(data, offs) if len(offs) == 2 and len(data) > tk.CHUNK_BYTES else Measures(data, offs)
+    return (LongMeasures if tk.is_long(data, offs) else Measures)(data, offs)
 
 
 @dataclass(frozen=True)

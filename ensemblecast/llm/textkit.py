@@ -137,30 +137,35 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return range_hash(prefix(BYTE_VALUES[which][data], which), starts, ends, which)
 
 
-def word_sections(data: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Stretches of at most ``most`` bytes that cut no word of a text; a longer word is one stretch alone."""
+def word_sections(data: np.ndarray, most: int = CHUNK_BYTES, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``most`` bytes that cut no word of a text; a longer word is one stretch alone. ``gaps`` are the bytes between words."""
     lo, n = 0, len(data)
     while lo < n:
         hi = min(lo + most, n)
         if hi < n:
-            gap = np.flatnonzero(SPACE[data[lo:hi]])
+            gap = np.flatnonzero(gaps[data[lo:hi]])
             if len(gap):
                 hi = lo + int(gap[-1]) + 1
             while not len(gap) and hi < n:
-                gap = np.flatnonzero(SPACE[data[hi : hi + most]])
+                gap = np.flatnonzero(gaps[data[hi : hi + most]])
                 hi = min(hi + (int(gap[0]) if len(gap) else most), n)
         yield lo, hi
         lo = hi
 
 
-def section_hashes(data: np.ndarray, most: int = CHUNK_BYTES) -> np.ndarray:
-    """Hashes of the words of one stretch, a piece at a time where it is one long word."""
+def section_hashes(data: np.ndarray, most: int = CHUNK_BYTES, folded: bool = False) -> np.ndarray:
+    """Hashes of the words (``folded``: the tokens) of one stretch, a piece at a time where it is one long word."""
     if len(data) <= most:
+        if folded:
+            return tokens(data, np.array([0, len(data)]))[3]
         starts, ends, _ = words(data, np.array([0, len(data)]))
         return word_hashes(data, starts, ends)
     total, factor, base = 0, 1, int(BASES[0])
     for a in range(0, len(data), most):
-        piece = BYTE_VALUES[0][data[a : a + most]]
+        piece = data[a : a + most]
+        if folded:  # a letter of two bytes may be cut
+            piece = fold(data[max(0, a - 1) : a + most])[min(1, a) :]
+        piece = BYTE_VALUES[0][piece]
         total += int((piece * powers(len(piece))).sum(dtype=np.uint64)) * factor
         factor = factor * pow(base, len(piece), 1 << 64) % (1 << 64)
     return mix(np.array([(total + len(data)) % (1 << 64)], np.uint64))
@@ -199,6 +204,25 @@ def spread(at: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
+def long_hashes(data: np.ndarray, folded: bool = False) -> np.ndarray:
+    """Hashes of the words (or tokens) of one long text, worked out a stretch at a time."""
+    parts = [section_hashes(data[a:b], CHUNK_BYTES, folded) for a, b in word_sections(data, CHUNK_BYTES, ~_TOKEN if folded else SPACE)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def gram_sections(hashes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First position and hashes of the k-grams of one text, some at a time."""
+    size = max(1, CHUNK_BYTES // 8)
+    for a in range(0, len(hashes) - k + 1, size):
+        own = hashes[a : a + size + k - 1]
+        yield a, grams(own, np.zeros(len(own), np.int8), k)[1]
+
+
+def is_long(data: np.ndarray, offs: np.ndarray) -> bool:
+    """Whether a run is one text of over a megabyte."""
+    return len(offs) == 2 and len(data) > CHUNK_BYTES
+
+
 def in_words(data: np.ndarray) -> np.ndarray:
     """Where a code point of a word begins."""
     return ~SPACE[data] & ((data & 0xC0) != 0x80)

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ensemblecast.llm import decontam, langid, packing, quality, queries, sharding, toxicity
+from ensemblecast.llm import decontam, jaccard, langid, packing, quality, queries, sharding, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -283,6 +284,60 @@ def test_measures_in_sections(monkeypatch, chunk):
             assert getattr(whole, name).tolist() == getattr(parts, name).tolist(), (name, t)
 
 
+@pytest.mark.parametrize("chunk", [40, 200])
+def test_hashes_in_sections(monkeypatch, chunk):
+    """Words, tokens, shingles, signatures and leaks of a long text, section by section, are those of the whole text."""
+    rnd = random.Random(12)
+    items = decontam.Items([(k, " ".join(rnd.choice("ab cd É ef gh".split()) for _ in range(30))) for k in range(6)], 5)
+    names = ["rid", "doc", "text"]
+    for k in range(25):
+        t = " ".join(rnd.choice(["ab", "cd", "É", "ÀÉ" * 30, "ef gh", "x" * 90, "ab,cd", "\n"]) for _ in range(rnd.choice([0, 3, 40, 200])))
+        data, offs = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
+        rows = lambda: next(iter(jaccard._signatures(5, 3)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([t])], names=names)]))), None)
+        results = []
+        for size, block in ((1 << 20, 1 << 20), (chunk, 7)):
+            monkeypatch.setattr(jaccard.tk, "CHUNK_BYTES", size)
+            monkeypatch.setattr(jaccard, "BLOCKED", block)
+            got = rows()
+            results.append((tk_words(data), jaccard.shingles(data, offs, 5)[1].tolist(), got and got.to_pylist(), sorted(decontam.leaks(data, offs, items, 5, 0.3))))
+        assert results[0] == results[1]
+        assert jaccard.tk.long_hashes(data, folded=True).tolist() == jaccard.tk.tokens(data, offs)[3].tolist()
+
+
+def tk_words(data):
+    return jaccard.tk.long_hashes(data).tolist()
+
+
+OTHERS = """
+import sys, tracemalloc
+import numpy as np, pyarrow as pa
+sys.path.insert(0, {root!r})
+from ensemblecast.llm import decontam, jaccard, toxicity
+rng = np.random.default_rng(1)
+size = 64 << 20
+text = np.where(rng.random(size) < 0.17, 32, rng.integers(97, 123, size)).astype(np.uint8)
+own = text[5000:6000].tobytes().decode()
+items = decontam.Items([(1, own), (2, "not in there at all, not one word")], 5)
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text.tobytes().decode()])], names=["rid", "doc", "text"])
+text = rng = None
+tracemalloc.start()
+if {which!r} == "leaks":
+    data, offs = decontam.tk.buffer(batch.column(2))
+    assert [x[1] for x in decontam.leaks(data, offs, items, 5, 0.6)] == [0]
+else:
+    assert next(iter(jaccard._signatures(5, 20)(iter([batch])))).num_rows == 1
+print(tracemalloc.get_traced_memory()[1] >> 20)
+"""
+
+
+@pytest.mark.parametrize("which", ["leaks", "signatures"])
+def test_others_of_a_long_text_in_little_memory(which):
+    """64 MB of words: what is held beside the text stays under 500 MB."""
+    done = subprocess.run([sys.executable, "-c", OTHERS.format(root=str(Path(__file__).parents[2]), which=which)], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.splitlines()[-1]) < 500
+
+
 LONG = """
 import sys, tracemalloc
 import numpy as np
