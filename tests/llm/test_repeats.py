@@ -196,3 +196,28 @@ def test_memory_of_a_long_text(module, one):
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout.split()[1]) < 500, done.stdout
+
+
+def test_planted_passages(spark):
+    """Passages of 51 to 120 words, each in two documents of a whole table: all rows equal brute force; by the contract's
+    400 bytes the longer ones lose their bytes in both documents, the shorter ones alone are no reason to."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null").orderBy("doc_id").collect()]
+    rnd = random.Random(51)
+    before = {r[0]: r for r in brute_bytes([(d, t, None, None) for d, t in docs], 400)}
+    fresh = [d for d, _ in docs if not before[d][2]]  # documents that lose nothing by themselves
+    rnd.shuffle(fresh)
+    texts_, planted = dict(docs), []
+    for one, two in zip(fresh[0::2], fresh[1::2]):
+        passage = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.choice([51, 52, 55, 60, 90, 120])))
+        for d in (one, two):
+            own = texts_[d].split(" ")
+            at = rnd.randrange(len(own) + 1)
+            texts_[d] = " ".join([*own[:at], passage, *own[at:]])
+        planted.append((one, two, len(passage.encode())))
+    rows = [(d, t, "xx", "s") for d, t in texts_.items()]
+    got = {r["doc_id"]: tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(4)).drop("kept").collect()}
+    assert Counter(got.values()) == brute_bytes(rows, 400)
+    longer, shorter = [p for p in planted if p[2] >= 400], [p for p in planted if p[2] < 397]
+    assert len(longer) > 30 and shorter
+    assert all(got[d][2] >= p[2] for p in longer for d in p[:2])
+    assert all(got[d][2] == 0 for p in shorter for d in p[:2])
