@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ensemblecast.functions import ranks
 from ensemblecast.plans import experiment, reports
-from ensemblecast.session import local_session
+from ensemblecast.session import forget, local_session
 from ensemblecast.sources import series as sources
 from ensemblecast.sources import store
 from ensemblecast.sources.ledger import Ledger
@@ -122,6 +122,7 @@ def main(argv: list[str] | None = None) -> int:
         lengths = series.select("uid", "m", "h", F.size("y_train").alias("n_train"))
         rows = reports.seed_runs(series, reports.runnable_cases(lengths), args.eval_seeds, f"{args.root}/seeds", args.members, args.n_select, args.engine)
         rows.groupBy("case", "variant").agg(F.count("*").alias("seeds"), F.avg("smape").alias("mean_smape"), F.stddev("smape").alias("sd_smape")).orderBy("case", "variant").show(100, False)
+    forget(spark)
     return 0
 
 

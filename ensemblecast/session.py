@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Tables that cut lineage, by application.
+_CUTS: dict[str, list[str]] = {}
 
 #: Spark's own bound on the bytes of a batch for Python, and a lower one: batches of long texts are held several times.
 _BATCH, _DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "8m"
@@ -81,5 +83,18 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as a compressed table in the shared folder and read it again."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _CUTS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written for this application so far, and tell how many there were.
+
+    To be called once the results that need them are written; a DataFrame that still reads one of them fails afterwards.
+    """
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

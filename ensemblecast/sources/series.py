@@ -50,20 +50,24 @@ def month_index(date: str):
     return ((F.year(date) - 1995) * 12 + F.month(date)).cast("int")
 
 
-def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals, and quantities by return flag; months 2 to 79 from January 1995 are complete in all tables."""
+#: Months from January 1995 on that are complete in all of the given tables.
+FIRST, LAST = 2, 79
+
+
+def monthly(spark: SparkSession, sf_dir: str, first: int = FIRST, last: int = LAST) -> DataFrame:
+    """Order totals, and quantities by return flag, of the months from ``first`` to ``last``."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.lit("orders").alias("uid"), month_index("o_orderdate").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("y"))
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.concat(F.lit("flag_"), "l_returnflag").alias("uid"), month_index("l_shipdate").alias("month")).agg(F.round(F.sum("l_quantity"), 2).alias("y"))
-    both = orders.unionByName(items).where("month between 2 and 79")
-    return both.select("uid", (F.col("month") - 1).cast("int").alias("idx"), "y")
+    both = orders.unionByName(items).where(F.col("month").between(first, last))
+    return both.select("uid", (F.col("month") - first + 1).cast("int").alias("idx"), "y")
 
 
-MONTHLY_SQL = """
-select uid, cast(month - 1 as integer) as idx, y from (
+MONTHLY_SQL = f"""
+select uid, cast(month - {FIRST} + 1 as integer) as idx, y from (
   select 'orders' as uid, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) as month, round(sum(o_totalprice), 2) as y from orders group by all
   union all
   select 'flag_' || l_returnflag as uid, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) as month, round(sum(l_quantity), 2) as y from lineitem group by all
-) where month between 2 and 79
+) where month between {FIRST} and {LAST}
 """
 
 
@@ -75,13 +79,13 @@ def nation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
         read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_nationkey").alias("n_nationkey"), month_index("o_orderdate").alias("idx")).agg(F.count("*").alias("c"))
     )
-    spine = nations.select("n_nationkey", F.col("n_name").alias("uid"), F.explode(F.sequence(F.lit(1), F.lit(79))).alias("idx"))
+    spine = nations.select("n_nationkey", F.col("n_name").alias("uid"), F.explode(F.sequence(F.lit(1), F.lit(LAST))).alias("idx"))
     return spine.join(counted, ["n_nationkey", "idx"], "left").select("uid", "idx", F.coalesce("c", F.lit(0)).cast("double").alias("y"))
 
 
-NATIONS_SQL = """
+NATIONS_SQL = f"""
 select n_name as uid, cast(i as integer) as idx, cast(coalesce(c, 0) as double) as y
-from nation cross join (select unnest(range(1, 80)) as i) s
+from nation cross join (select unnest(range(1, {LAST} + 1)) as i) s
 left join (select c_nationkey, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) as month, count(*) as c
            from orders join customer on o_custkey = c_custkey group by all) k on c_nationkey = n_nationkey and month = i
 """

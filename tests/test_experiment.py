@@ -313,6 +313,14 @@ def test_clusters_need_a_shared_folder(tmp_path):
     assert session.shared_folder(fake) == str(tmp_path)
 
 
+def test_cuts_can_be_forgotten(spark):
+    made = session.cut(spark.range(5))
+    assert made.count() == 5 and session.forget(spark) >= 1 and session.forget(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        made.sparkSession.catalog.clearCache()
+        made.count()
+
+
 def test_outside_gates(spark):
     """Cases that can run, and the gates over cases, by hand."""
     cases = spark.createDataFrame([("a", 12, 18, 49), ("b", 12, 18, 48), ("c", 1, 6, 21), ("synthetic_ar1", 1, 6, 90)], "uid string, m int, h int, n_train int")

@@ -66,6 +66,22 @@ def test_strategies():
         selection.Clusters(allocation="x").select(a, 5, rng)
 
 
+def test_portfolio_by_definition():
+    """Each pick makes the mean of the team least risky: squared mean bias plus variance of the mean."""
+    for seed in range(5):
+        a = pool(seed)
+        errors = a.val_forecasts - a.val_actuals
+        bias, cov = errors.mean(axis=1), selection.shrunk_covariance(errors.T)
+        team = []
+        for _ in range(12):
+            def risk(k):
+                own = [*team, k]
+                return bias[own].mean() ** 2 + cov[np.ix_(own, own)].sum() / len(own) ** 2
+
+            team.append(min((k for k in range(len(bias)) if k not in team), key=risk))
+        assert selection.Portfolio().select(a, 12, None)[0].tolist() == sorted(team)
+
+
 def test_ranks(golden):
     rows = golden["ranks"]
     control = next(r for r in rows["summary"] if r["strategy"] not in {t["strategy"] for t in rows["stats"]})
