@@ -33,7 +33,7 @@ def _rows(docs: DataFrame, *but: str) -> DataFrame:
 
 
 def language_verdicts(docs: DataFrame) -> DataFrame:
-    """row, body and ``reason``, null for texts that stay: no_letter, foreign (far from every learned language), contradicted.
+    """row, lang, text and ``reason``, null for texts that stay: no_letter, foreign (far from every learned language), contradicted.
 
     How far is too far is measured on texts that the model hasn't seen and whose predicted language is the claimed one: the tail of
     their typicality between the shares of TAIL, carried on to FALSE_ALARMS. A claim of a learned language is contradicted where another
@@ -42,7 +42,7 @@ def language_verdicts(docs: DataFrame) -> DataFrame:
     held = queries.id_hash(4) == 2
     model = langid.fit(docs.where(~held))
     judged = cut(
-        langid.classify(_rows(docs, "text", "lang").withColumn("body", F.col("text")), model, ("row", "lang", "body"))
+        langid.classify(_rows(docs, "text", "lang"), model, ("row", "lang", "text"))
         .withColumn("held", F.crc32(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))) % 4 == 2)
     )
     own = judged.where("held and lang_pred = lang and typicality is not null")
@@ -51,13 +51,13 @@ def language_verdicts(docs: DataFrame) -> DataFrame:
     learned = F.col("lang").isin(list(model.languages)) if len(model.languages) <= 1000 else F.col("lang").isNotNull()
     against = learned & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= CONTRADICTED)
     reason = F.when(F.col("lang_pred") == "und", "no_letter").when(F.col("typicality") < F.lit(least), "foreign").when(against, "contradicted")
-    return judged.select("row", "lang", "body", reason.alias("reason"))
+    return judged.select("row", "lang", "text", reason.alias("reason"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, foreign to every learned language, or of another language than claimed, go; ``lang`` stays as it is."""
     kept = language_verdicts(docs).where("reason is null")
-    own = {"text": F.col("body"), "lang": F.col("lang")}
+    own = {"text": F.col("text"), "lang": F.col("lang")}
     return kept.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 

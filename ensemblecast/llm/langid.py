@@ -247,11 +247,12 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    out = docs.select(*keep, "text")
+    out = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    at = out.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             for lo, hi, texts in _batched(column, len(model.languages)):
                 langs, score, typicality = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -259,4 +260,4 @@ def classify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                     names=[*keep, "lang_pred", "score", "typicality"],
                 )
 
-    return out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("typicality", T.DoubleType())]))
+    return out.mapInArrow(run, T.StructType([*out.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("typicality", T.DoubleType())]))
