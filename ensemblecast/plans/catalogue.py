@@ -792,8 +792,9 @@ def signed_rank_groups(spark, sf_dir):
 
 @query(f"""with c as (select c_nationkey as nation, c_acctbal as x, count(o_orderkey) as y from customer left join orders on o_custkey = c_custkey group by c_nationkey, c_custkey, c_acctbal),
 r as (select nation, rank() over (partition by nation order by x) + (count(*) over (partition by nation, x) - 1) / 2.0 as rx, rank() over (partition by nation order by y) + (count(*) over (partition by nation, y) - 1) / 2.0 as ry from c),
-k as (select nation, corr(rx, ry) as rho, count(*) as n from r group by nation), t as (select *, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) as t, n - 2.0 as v from k)
-select nation, n, round(rho, 6) as rho, round(1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_integral("pow(1 + u * u / v, -(v + 1) / 2)", "t")}, 6) as p from t""")
+k as (select nation, case when stddev_pop(rx) * stddev_pop(ry) > 0 then corr(rx, ry) end as rho, count(*) as n from r group by nation),
+t as (select *, n < 3 or rho is null as none, abs(rho) >= 1 - 1e-15 as sure, case when n >= 3 and abs(rho) < 1 - 1e-15 then abs(rho) * sqrt((n - 2) / (1 - rho * rho)) else 0 end as t, greatest(1, n - 2.0) as v from k)
+select nation, n, round(rho, 6) as rho, case when none then 1 when sure then 0 else round(1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * {_integral("pow(1 + u * u / v, -(v + 1) / 2)", "t")}, 6) end as p from t""")
 def spearman_groups(spark, sf_dir):
     """Rank correlation of a customer's balance and orders in every nation, tails included."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
