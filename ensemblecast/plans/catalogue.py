@@ -654,13 +654,6 @@ def family_diagnostics(spark, sf_dir):
     return experiment.family_diagnostics(cut(experiment.family_table(packed(spark, sf_dir))))
 
 
-@query()
-def strategy_tests(spark, sf_dir):
-    """Friedman's test and Hochberg's comparisons with the best learner, tails included."""
-    found = experiment.compare(_scores(spark, sf_dir))
-    return spark.createDataFrame(found["table"]).withColumns({"control": F.lit(found["control"]), "friedman_p": F.lit(found["friedman_pvalue"])})
-
-
 # Lengths, cases and comparisons with an outside run.
 
 #: Invented lengths, seasons and horizons of the customers' series.
@@ -892,3 +885,18 @@ def insample_fits(spark, sf_dir):
     selected = chosen("first10", members.where("member < 10")).unionByName(chosen("odd", members.where("member % 2 = 1")))
     found = reports.fitted_ensemble(made, selected, packed(spark, sf_dir))
     return found.select("uid", "strategy", F.col("idx").cast("int").alias("idx"), near(F.col("fitted"), 4).alias("fitted"), near(F.col("residual"), 4).alias("residual"), "n")
+
+
+@query(f"""{_SCORES}{_RANKED}, t as (select sum(c * c * c - c) as ties from (select count(*) as c from rk group by uid, smape)), g as (select strategy, sum(rs) as total, avg(rs) as mean_rank, count(*) as n from rk group by strategy),
+p as (select max(n) as n, count(*) as k, sum(total * total) as sq, min(row(mean_rank, strategy)) as base from g),
+x as (select k, base[1] as least, base[2] as control, sqrt(k * (k + 1) / (6.0 * n)) as scale, (12.0 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) as chi from p cross join t),
+z as (select strategy, mean_rank, (mean_rank - least) / scale as z, control, chi from g cross join x where strategy <> control),
+w as (select *, 1 - sqrt(2 / pi()) * {_integral("exp(-u * u / 2)", "z")} as p_raw from z),
+h as (select *, row_number() over (order by p_raw desc) as place from w)
+select strategy, round(mean_rank, 6) as mean_rank, round(z, 6) as z, round(p_raw, 6) as p_raw, round(least(1.0, min(p_raw * place) over (order by place)), 6) as p_hochberg, control,
+ round(1 - sqrt(2 / pi()) * {_integral("exp(-u * u / 2)", "sqrt(chi)")} + sqrt(2 * chi / pi()) * exp(-chi / 2), 6) as friedman_p from h""")
+def strategy_tests(spark, sf_dir):
+    """Friedman's test (four strategies, so three degrees of freedom) and Hochberg's comparisons with the best learner, tails included."""
+    found = experiment.compare(_scores(spark, sf_dir))
+    table = spark.createDataFrame(found["table"]).select("strategy", *(near(F.col(c)).alias(c) for c in ("mean_rank", "z", "p_raw", "p_hochberg")))
+    return table.withColumns({"control": F.lit(found["control"]), "friedman_p": near(F.lit(found["friedman_pvalue"]))})

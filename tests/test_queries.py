@@ -113,10 +113,6 @@ def decisive(rows, duck):
     assert all(1 <= r["n_families"] <= 15 and 0 < r["w_best"] <= 1 and r["delta_aicc_12"] >= 0 and 1 <= r["n_eff_models"] <= r["n_families"] + 1e-9 for r in rows)
 
 
-def tails(rows, duck):
-    assert all(0 <= r["p_raw"] <= r["p_hochberg"] <= 1 and 0 <= r["friedman_p"] <= 1 for r in rows)
-
-
 def ablated(rows, duck):
     assert all(r["first_minus_random_no0"] == pytest.approx(r["first"] - r["random_no0"]) for r in rows) and {r["n"] for r in rows} == {5, 10}
 
@@ -127,7 +123,7 @@ CONTRACTS = {
     "family_averaging": scored("ets_best", "top1_mean", "top15_mean", "aicc_weighted", "all_median", "top5_median"), "pam_labels": clusters,
     "greedy_selection": scored("greedy", "greedy:trimmed", "greedy:mean"), "portfolio_selection": scored("portfolio", "portfolio:mean"),
     "strategy_sweep": scored("original", "none", "topk", "random", "greedy", "portfolio", "cluster-k3", "cluster-auto", "paper-k3"),
-    "bagged_pipeline": scored("original", "none:trimmed", "topk", "cluster-k3"), "member0_ablation": ablated, "family_diagnostics": decisive, "strategy_tests": tails,
+    "bagged_pipeline": scored("original", "none:trimmed", "topk", "cluster-k3"), "member0_ablation": ablated, "family_diagnostics": decisive,
 }
 
 
