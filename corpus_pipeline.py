@@ -37,7 +37,8 @@ def language_verdicts(docs: DataFrame) -> DataFrame:
 
     How far is too far is measured on texts that the model hasn't seen and whose predicted language is the claimed one: the tail of
     their typicality between the shares of TAIL, carried on to FALSE_ALARMS. A claim of a learned language is contradicted where another
-    one has odds of CONTRADICTED or more.
+    one has odds of CONTRADICTED or more and the text is no less typical of it than nine tenths of those texts are; texts in two
+    languages, one of them the claimed one, stay.
     """
     held = queries.id_hash(4) == 2
     model = langid.fit(docs.where(~held))
@@ -49,7 +50,7 @@ def language_verdicts(docs: DataFrame) -> DataFrame:
     far, near = own.agg(F.percentile_approx("typicality", list(TAIL), 100_000)).first()[0] or (float("-inf"), float("-inf"))
     least = far + (near - far) * math.log(FALSE_ALARMS / TAIL[0]) / math.log(TAIL[1] / TAIL[0]) if math.isfinite(far) else far
     learned = F.col("lang").isin(list(model.languages)) if len(model.languages) <= 1000 else F.col("lang").isNotNull()
-    against = learned & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= CONTRADICTED)
+    against = learned & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= CONTRADICTED) & (F.col("typicality") >= F.lit(near))
     reason = F.when(F.col("lang_pred") == "und", "no_letter").when(F.col("typicality") < F.lit(least), "foreign").when(against, "contradicted")
     return judged.select("row", "lang", "text", reason.alias("reason"))
 

@@ -18,8 +18,8 @@ def brute_language(rows, model):
     own = sorted(t for r, lang, t in zip(rows, langs, far) if lang == r[2] and zlib.crc32(str(r[0]).encode()) % 4 == 2)
     a, b = (own[max(0, math.ceil(share * len(own)) - 1)] for share in pipeline.TAIL)
     least = a + (b - a) * math.log(pipeline.FALSE_ALARMS / pipeline.TAIL[0]) / math.log(pipeline.TAIL[1] / pipeline.TAIL[0])
-    claimed = lambda r, lang, p: r[2] in model.languages and r[2] != lang and p >= pipeline.CONTRADICTED
-    return [r for r, lang, p, t in zip(rows, langs, odds, far) if lang != "und" and t >= least and not claimed(r, lang, p)]
+    claimed = lambda r, lang, p, t: r[2] in model.languages and r[2] != lang and p >= pipeline.CONTRADICTED and t >= b
+    return [r for r, lang, p, t in zip(rows, langs, odds, far) if lang != "und" and t >= least and not claimed(r, lang, p, t)]
 
 
 def brute_lines(rows, run=3):
@@ -139,12 +139,15 @@ def test_foreign_texts_go(spark):
         *("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(300)) for _ in range(5)), "1234 %% 5678", "",
     ]
     planted = spark.createDataFrame([(10**6 + k, t, "en", "planted", len(t)) for k, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
-    claims = docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(8).select((F.col("doc_id") + 10**7).alias("doc_id"), "text", F.lit("fr").alias("lang"), F.lit("planted").alias("source"), "n_chars")
-    whole = docs.unionByName(planted.unionByName(claims).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).cache()
+    claims = docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(20).select((F.col("doc_id") + 10**7).alias("doc_id"), "text", F.lit("fr").alias("lang"), F.lit("claim").alias("source"), "n_chars")
+    mixed = docs.where("lang = 'en' and length(text) > 400").orderBy(F.desc("doc_id")).limit(10).select((F.col("doc_id") + 10**8).alias("doc_id"), "text").crossJoin(docs.where("lang = 'fr' and length(text) > 400").orderBy("doc_id").limit(1).select(F.substring("text", 1, 400).alias("other")))
+    mixed = mixed.select("doc_id", F.concat(F.substring("text", 1, 400), F.lit(" "), "other").alias("text"), F.lit("en").alias("lang"), F.lit("mixed").alias("source"), F.lit(801).alias("n_chars"))
+    whole = docs.unionByName(planted.unionByName(claims).unionByName(mixed).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).cache()
     kept = pipeline.language(spark, whole, "").cache()
-    assert kept.columns == docs.columns and kept.where("source = 'planted'").count() == 0 and kept.count() >= 0.995 * docs.count()
+    assert kept.columns == docs.columns and kept.where("source = 'planted'").count() == 0 and kept.where("source like 'src%'").count() >= 0.995 * docs.count()
+    assert kept.where("source = 'claim'").count() <= 5 and kept.where("source = 'mixed'").count() >= 9
     reasons = {r[0]: r[1] for r in pipeline.language_verdicts(whole).groupBy("reason").count().collect()}
-    assert reasons["no_letter"] == 2 and reasons["contradicted"] >= 8 and reasons["foreign"] >= 7
+    assert reasons["no_letter"] == 2 and reasons["contradicted"] >= 15 and reasons["foreign"] >= 7
 
 
 def test_repeated_ids_and_rows(spark, tmp_path):
